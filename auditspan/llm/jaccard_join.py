@@ -260,7 +260,7 @@ def links(docs: DataFrame, text: str, profile: DataFrame, n: int, percent: int,
     if not large.isEmpty():
         parts = F.ceil(F.col("size") / leaf).cast("int")
         part = large.select("pivot", "node", F.pmod(F.xxhash64("node"), parts).alias("part")).where("pivot <> node")
-        own = large.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), parts - 1)).cast("long").alias("part"), ).distinct()
+        own = large.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))).alias("part")).distinct()
         far = written(_pivot_distances(part.unionByName(own), sets, percent))
         found = found.union(far.where("hit and pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         width = (100 - percent) / 100 + 1e-9
@@ -282,14 +282,14 @@ def links(docs: DataFrame, text: str, profile: DataFrame, n: int, percent: int,
     return found
 
 
-def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
     """(id_col, n_shingles, component_id) of each row: the size of its set and the least id that links and equal sets reach.
 
     Rows without words or text are linked with nothing and are their own component. Equal ids do not link; repeated rows do, by their sets.
     A null id is in its component but never names it, unless there is none else; an empty table stays empty. Other columns do not matter."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     profile = written(profiles(narrow, "text", n, percent))
-    of = written(components(links(narrow, "text", profile, n, percent)))
+    of = written(components(links(narrow, "text", profile, n, percent, leaf)))
     base = profile.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     labelled = base.join(small(of, BROADCAST_ROWS), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
