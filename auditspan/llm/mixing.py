@@ -9,6 +9,7 @@ blocks, which are shuffled within. DataFrame functions only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,30 +30,29 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NO_SPACE)), F.lit(0)).cast("long")
 
 
-def _curve(totals: DataFrame, exponents: list[float], budget: int, whole: int) -> list[tuple[float, float]]:
+def _curve(totals: DataFrame, exponents: list[float], budget: int | None, whole: int) -> list[tuple[float, float]]:
     """(entropy, most repeats of a source) at each exponent, by one aggregation of the sources' totals."""
     tried = totals.where("tokens > 0").select("tokens", F.explode(F.lit(exponents)).alias("a")).withColumn("p", F.pow(F.col("tokens") / whole, F.col("a")))
-    sums = tried.groupBy("a").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.log("p")).alias("pl"), F.max(F.col("p") / F.col("tokens")).alias("r")).collect()  # one row an exponent
-    at = {r["a"]: (math.log(r["z"]) - r["pl"] / r["z"], r["r"] / r["z"] * budget) for r in sums}
+    each = F.col("p") / F.col("tokens")
+    sums = tried.groupBy("a").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.log("p")).alias("pl"), F.max(each).alias("most"), F.min(each).alias("least")).collect()  # one row an exponent
+    at = {r["a"]: (math.log(r["z"]) - r["pl"] / r["z"], r["most"] / r["least"] if budget is None else r["most"] / r["z"] * budget) for r in sums}
     return [at[a] for a in exponents]
 
 
-def _bisect(totals: DataFrame, good, budget: int, whole: int) -> float:
-    """The largest exponent in [0, 1] up to which `good` holds, or the least one from which it holds; four halvings in each pass over the totals."""
+def _bisect(totals: DataFrame, good: Callable[[float, float], bool], budget: int | None, whole: int) -> float:
+    """The least exponent in [0, 1] from which `good` holds, to STEPS halvings; four of them in each pass over the totals."""
     low, high = 0.0, 1.0
     for _ in range(STEPS // 4):
         inner = [low + (high - low) * i / 16 for i in range(1, 16)]
-        held = [good(*x) for x in _curve(totals, inner, budget, whole)]
-        k = sum(held)  # good is monotone: it holds for the last k
-        low, high = ([low, *inner][15 - k], [*inner, high][15 - k])
+        k = sum(good(*x) for x in _curve(totals, inner, budget, whole))  # good is monotone: it holds for the last k
+        low, high = [low, *inner][15 - k], [*inner, high][15 - k]
     return high
 
 
-def exponent(totals: DataFrame, budget: int, evenness: float = EVENNESS, most_repeats: float = MOST_REPEATS) -> float:
+def exponent(totals: DataFrame, budget: int | None, whole: int, evenness: float = EVENNESS, most_repeats: float = MOST_REPEATS) -> float:
     """The exponent, rounded. Entropy and the largest repetition both fall as it grows. totals: (source, tokens)."""
-    whole = totals.agg(F.sum("tokens")).first()[0] or 0
     sources = totals.where("tokens > 0").count()
-    if sources < 2 or not budget:
+    if sources < 2:
         return 1.0
     natural = _curve(totals, [1.0], budget, whole)[0][0]
     target = natural + evenness * (math.log(sources) - natural)
@@ -64,7 +64,7 @@ def exponent(totals: DataFrame, budget: int, evenness: float = EVENNESS, most_re
 def mixed(docs: DataFrame, budget: int | None = None, evenness: float = EVENNESS, most_repeats: float = MOST_REPEATS, block_tokens: int = BLOCK_TOKENS, bucket_rows: int = BUCKET_ROWS, seed: str = SEED, id_col: str = "doc_id", text: str = "text", source: str = "source", tokens: Column | None = None, digest: Column | None = None) -> DataFrame:
     """A row for each draw: docs' columns, then mix_tokens, mix_copy (from 0) and mix_block; extra columns of those names give way.
 
-    budget: tokens to draw, by default as many as docs have. tokens, digest: a row's token count and text hash, where docs have them already. A source draws its documents in the order of a seeded hash, whole rounds
+    budget: tokens to draw, by default as many as it takes for each source to be drawn whole at least once. tokens, digest: a row's token count and text hash, where docs have them already. A source draws its documents in the order of a seeded hash, whole rounds
     and then the start of one more round, as long as a document begins within the source's budget. A null source is a source of its own.
     Null and empty texts have no tokens: they are drawn as often as the place in the order says, at no cost. Of a source without any token
     nothing is drawn; an empty table stays empty. Equal rows are drawn as rows of their own.
@@ -78,13 +78,16 @@ def mixed(docs: DataFrame, budget: int | None = None, evenness: float = EVENNESS
     rows = docs.withColumn(n, tokens).withColumn(order, hashed).withColumn(src, F.struct(F.col(source).alias("source")))
 
     totals = written(rows.groupBy(src).agg(F.sum(n).alias("tokens"), F.count(F.lit(1)).alias("rows")))  # a row for each source
-    whole = totals.agg(F.sum("tokens")).first()[0] or 0
-    budget = whole if budget is None else min(budget, int(most_repeats * whole))
-    a = exponent(totals, budget, evenness, most_repeats)
-    blocks = max(1, -(-budget // block_tokens))
+    whole = int(totals.agg(F.sum("tokens")).first()[0] or 0)
+    budget = None if budget is None else min(budget, int(most_repeats * whole))
+    a = exponent(totals, budget, whole, evenness, most_repeats)
     power = F.pow(F.col("tokens") / max(1, whole), F.lit(a))
-    z = totals.where("tokens > 0").agg(F.sum(power)).first()[0] or 1.0
-    plan = totals.where("tokens > 0").select(F.col(src).alias("_s"), "tokens", "rows", F.floor(F.round(power / z * budget, 3)).alias(share))
+    sums = totals.where("tokens > 0").agg(F.sum(power).alias("z"), F.max(F.col("tokens") / power).alias("cover")).first()
+    z, covering = sums["z"] or 1.0, budget is None
+    budget = math.ceil(round(z * (sums["cover"] or 0.0), 3)) if covering else budget
+    blocks = max(1, -(-budget // block_tokens))
+    weighed = F.floor(F.round(power / z * budget, 3))
+    plan = totals.where("tokens > 0").select(F.col(src).alias("_s"), "tokens", "rows", (F.greatest("tokens", weighed) if covering else weighed).alias(share))
     plan = plan.withColumn("_buckets", F.ceil(F.col("rows") / bucket_rows)).where(F.col(share) > 0)
 
     place = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.col("_buckets") / F.lit(1 << 32)).cast("int")
@@ -97,8 +100,9 @@ def mixed(docs: DataFrame, budget: int | None = None, evenness: float = EVENNESS
     ready = ready.withColumn(before, F.col("_ahead") + F.coalesce(F.sum(n).over(inner), F.lit(0)))
     # Round c of a document begins at c * tokens + before; it is drawn if that is within the source's budget.
     last = F.floor((F.col(share) - 1 - F.col(before)) / F.col("tokens"))
+    last = F.greatest(last, F.lit(0)) if covering else last
     drawn = ready.where(last >= 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    block = F.floor((F.col("mix_copy") * F.col("tokens") + F.col(before)) / F.col(share) * F.lit(float(blocks)))
+    block = F.least(F.floor((F.col("mix_copy") * F.col("tokens") + F.col(before)) / F.col(share) * F.lit(float(blocks))), F.lit(blocks - 1))
     return drawn.select(*names, F.col(n).alias("mix_tokens"), F.col("mix_copy").cast("int").alias("mix_copy"), block.cast("long").alias("mix_block"))
 
 

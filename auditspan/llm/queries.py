@@ -69,4 +69,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": sql.DECONTAMINATION, "op7_pii": sql.PII}
+    return {"op3_benchmark_decontamination": sql.DECONTAMINATION, "op4_source_mixing": sql.MIXING, "op7_pii": sql.PII, "op9_ngram_jaccard_join": sql.JACCARD}

@@ -58,3 +58,67 @@ PII = (
   coalesce(string_agg(printf('%.2f', score::DOUBLE), ',' ORDER BY ord, s), '') AS scores
 FROM doc LEFT JOIN (SELECT * FROM span WHERE ord < 4 OR score >= 0.5) USING (row_id) GROUP BY doc_id, row_id"""
 )
+
+MIXING = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS row_id, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n, md5(coalesce(text, '')) AS digest FROM documents
+), total AS (
+  SELECT source, sum(n)::BIGINT AS tokens FROM doc GROUP BY source HAVING sum(n) > 0
+), list AS (
+  SELECT list(tokens::DOUBLE) AS t, sum(tokens)::DOUBLE AS whole, count(*) AS sources FROM total
+), goal AS (
+  SELECT t, whole, CASE WHEN sources < 2 THEN NULL ELSE h + 0.5 * (ln(sources) - h) END AS target
+  FROM (SELECT *, -list_sum(list_transform(t, lambda x: x / whole * ln(x / whole))) AS h FROM list)
+), step AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0.0::DOUBLE AS low2, 1.0::DOUBLE AS high2
+  UNION ALL
+  SELECT i + 1, CASE WHEN even THEN low ELSE mid END, CASE WHEN even THEN mid ELSE high END, CASE WHEN few THEN low2 ELSE mid2 END, CASE WHEN few THEN mid2 ELSE high2 END
+  FROM (
+    SELECT i, low, high, low2, high2, (low + high) / 2 AS mid, (low2 + high2) / 2 AS mid2,
+           ln(list_sum(list_transform(t, lambda x: pow(x / whole, (low + high) / 2))))
+             - list_sum(list_transform(t, lambda x: pow(x / whole, (low + high) / 2) * ln(pow(x / whole, (low + high) / 2)))) / list_sum(list_transform(t, lambda x: pow(x / whole, (low + high) / 2))) <= target AS even,
+           list_max(list_transform(t, lambda x: pow(x / whole, (low2 + high2) / 2) / x)) / list_min(list_transform(t, lambda x: pow(x / whole, (low2 + high2) / 2) / x)) <= 2.0 AS few
+    FROM step, goal WHERE i < 20)
+), alpha AS (
+  SELECT CASE WHEN (SELECT target FROM goal) IS NULL THEN 1.0 ELSE round(greatest(high, high2), 6) END AS a FROM step WHERE i = 20
+), sums AS (
+  SELECT sum(pow(tokens / whole, a)) AS z, max(tokens / pow(tokens / whole, a)) AS cover FROM total, list, alpha
+), plan AS (
+  SELECT source, tokens, budget, ceil(budget / 200000)::BIGINT AS blocks, greatest(tokens, floor(round(pow(tokens / whole, a) / z * budget, 3))::BIGINT) AS share
+  FROM total, list, alpha, (SELECT z, ceil(round(z * cover, 3)) AS budget FROM sums)
+), placed AS (
+  SELECT doc.*, tokens, share, blocks, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5('2025|' || coalesce(doc_id::VARCHAR, '') || '|' || digest), row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM doc JOIN plan USING (source)
+), drawn AS (
+  SELECT *, unnest(range(greatest(0, floor((share - 1 - before) / tokens)::BIGINT) + 1)) AS copy FROM placed
+), blocked AS (
+  SELECT *, least(floor((copy * tokens + before) / share * blocks::DOUBLE)::BIGINT, blocks - 1) AS block FROM drawn
+)
+SELECT doc_id, source, n AS n_tokens, copy::INT AS copy, block,
+       row_number() OVER (PARTITION BY block ORDER BY md5('2025|' || block || '|' || copy || '|' || coalesce(doc_id::VARCHAR, '') || '|' || digest)) - 1 AS slot
+FROM blocked
+"""
+
+JACCARD = r"""
+WITH RECURSIVE word AS (
+  SELECT row_number() OVER () AS row_id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), held AS (
+  SELECT row_id, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) END AS s FROM word
+), gram AS (
+  SELECT row_id, len(s) AS n, unnest(s) AS g FROM held
+), numbered AS (
+  SELECT row_id, n, g, count(*) OVER (PARTITION BY g) AS df FROM gram
+), prefix AS (
+  SELECT row_id, n, g FROM numbered QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY df, g) <= n - ceil(0.9 * n) + 1
+), pair AS (
+  SELECT DISTINCT a.row_id AS a, b.row_id AS b, a.n AS an, b.n AS bn FROM prefix a JOIN prefix b ON a.g = b.g AND a.row_id < b.row_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+), link AS (
+  SELECT a, b FROM (SELECT pair.a, pair.b, an, bn, len(list_intersect(x.s, y.s)) AS k FROM pair JOIN held x ON x.row_id = pair.a JOIN held y ON y.row_id = pair.b) WHERE 100 * k >= 90 * (an + bn - k)
+), edge AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (
+  SELECT row_id AS a, row_id AS b FROM held UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+)
+SELECT h.doc_id, len(h.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN held h ON h.row_id = reach.a JOIN held o ON o.row_id = reach.b GROUP BY h.row_id, h.doc_id, h.s
+"""
