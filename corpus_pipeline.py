@@ -1,8 +1,60 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: language ID, Jaccard join, decontamination, source mixing, sharding.
 
-STAGES = []
+Each stage takes the rows its predecessor kept, with the columns of documents, and returns what it keeps or makes. The language stage
+drops documents without a letter or with a language probability under LEAST_SCORE; of each component of near duplicates the document with
+the least id stays; documents with a benchmark hit go; mixing draws every remaining document at least once, and those of rare sources
+more often; sharding adds shard and slot. Sharding uses a Fisher-Yates shuffle, which SQL can't express, so ORACLE_SQL is None and the
+tests hold the pipeline against plain versions of its stages.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from auditspan.llm import decontaminate, jaccard_join, language_id, mixing, sharding
+from auditspan.llm.common import table, written
+
+#: Just over what four languages share evenly: short texts in one language stay.
+LEAST_SCORE = 0.3
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.identified(docs, LEAST_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.sharded(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", drop_benchmark_passages),
+    ("source_mixing", mix_sources),
+    ("sharding", shard),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
