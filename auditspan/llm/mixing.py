@@ -71,7 +71,8 @@ def mixed(docs: DataFrame, budget: int | None = None, evenness: float = EVENNESS
     A hot source is ordered in many buckets: only the buckets' totals meet in a window of their source."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("mix_tokens", "mix_copy", "mix_block")])
     names = docs.columns
-    src, order, n, bucket, before, share = fresh(docs, "_src", "_order", "_n", "_bucket", "_before", "_share")
+    src, order, n, bucket, before, share, own, whole_tokens, buckets = fresh(docs, "_src", "_order", "_n", "_bucket", "_before", "_share", "_own", "_tokens", "_buckets")
+    own2, bucket2, ahead_of = fresh(docs, "_own2", "_bucket2", "_ahead")
     tokens = token_count(F.col(text)) if tokens is None else tokens
     digest = F.md5(F.coalesce(text, F.lit(""))) if digest is None else digest
     hashed = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), digest))
@@ -87,22 +88,22 @@ def mixed(docs: DataFrame, budget: int | None = None, evenness: float = EVENNESS
     budget = math.ceil(round(z * (sums["cover"] or 0.0), 3)) if covering else budget
     blocks = max(1, -(-budget // block_tokens))
     weighed = F.floor(F.round(power / z * budget, 3))
-    plan = totals.where("tokens > 0").select(F.col(src).alias("_s"), "tokens", "rows", (F.greatest("tokens", weighed) if covering else weighed).alias(share))
-    plan = plan.withColumn("_buckets", F.ceil(F.col("rows") / bucket_rows)).where(F.col(share) > 0)
-
-    place = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.col("_buckets") / F.lit(1 << 32)).cast("int")
-    ready = rows.join(small(plan, 100_000), F.col(src) == F.col("_s")).withColumn(bucket, place)
-    sums = ready.groupBy("_s", bucket).agg(F.sum(n).alias("_sum"))
-    ahead = Window.partitionBy("_s").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("_s").alias("_t"), F.col(bucket).alias("_b"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
-    ready = ready.join(small(sums, 100_000), (F.col("_s") == F.col("_t")) & (F.col(bucket) == F.col("_b")))
-    inner = Window.partitionBy("_s", bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ready = ready.withColumn(before, F.col("_ahead") + F.coalesce(F.sum(n).over(inner), F.lit(0)))
+    plan = totals.where("tokens > 0").select(F.col(src).alias(own), F.col("tokens").alias(whole_tokens), F.ceil(F.col("rows") / bucket_rows).alias(buckets), (F.greatest("tokens", weighed) if covering else weighed).alias(share))
+    plan = plan.where(F.col(share) > 0)
+
+    place = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.col(buckets) / F.lit(1 << 32)).cast("int")
+    ready = rows.join(small(plan, 100_000), F.col(src) == F.col(own)).withColumn(bucket, place)
+    sums = ready.groupBy(own, bucket).agg(F.sum(n).alias("_sum"))
+    ahead = Window.partitionBy(own).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(own).alias(own2), F.col(bucket).alias(bucket2), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias(ahead_of))
+    ready = ready.join(small(sums, 100_000), (F.col(own) == F.col(own2)) & (F.col(bucket) == F.col(bucket2)))
+    inner = Window.partitionBy(own, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ready = ready.withColumn(before, F.col(ahead_of) + F.coalesce(F.sum(n).over(inner), F.lit(0)))
     # Round c of a document begins at c * tokens + before; it is drawn if that is within the source's budget.
-    last = F.floor((F.col(share) - 1 - F.col(before)) / F.col("tokens"))
+    last = F.floor((F.col(share) - 1 - F.col(before)) / F.col(whole_tokens))
     last = F.greatest(last, F.lit(0)) if covering else last
     drawn = ready.where(last >= 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    block = F.least(F.floor((F.col("mix_copy") * F.col("tokens") + F.col(before)) / F.col(share) * F.lit(float(blocks))), F.lit(blocks - 1))
+    block = F.least(F.floor((F.col("mix_copy") * F.col(whole_tokens) + F.col(before)) / F.col(share) * F.lit(float(blocks))), F.lit(blocks - 1))
     return drawn.select(*names, F.col(n).alias("mix_tokens"), F.col("mix_copy").cast("int").alias("mix_copy"), block.cast("long").alias("mix_block"))
 
 
