@@ -24,7 +24,7 @@ def source_files(spark: SparkSession, root: str, patterns: list[str] | None = No
         ending |= F.col("path").endswith(s)
     inner = F.regexp_replace("path", "^.*?" + r"\Q" + root.rstrip("/") + r"\E/", "")
     kept = rows.where(ending & ~F.col("path").rlike("/(" + "|".join(p.replace(".", r"\.") for p in PRUNED) + ")/"))
-    return kept.select(inner.alias("file"), F.decode("content", F.lit("UTF-8")).alias("text")).where("text is not null").dropDuplicates(["file"])
+    return kept.select(inner.alias("file"), F.decode("content", "UTF-8").alias("text")).where("text is not null").dropDuplicates(["file"])
 
 
 def reports(spark: SparkSession, root: str) -> DataFrame:
