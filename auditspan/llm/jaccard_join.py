@@ -7,7 +7,7 @@
 3. In each class shared by several nodes the node with the most shared classes is the pivot. A pivot's Voronoi region has the members of
    its classes. A small region is joined at once. A large one is cut by the triangle inequality: linked nodes' distances to the pivot differ
    by the radius at most, so they lie in one ring of that width or in adjacent ones; nodes of a ring are replicated to the next. The
-   innermost ring is linked through the pivot. Rings are joined block by block.
+   innermost ring is linked through the pivot. Rings are joined block by block, and all that travels of a set is its difference from the pivot.
 4. Each task returns a forest of the links it found; label propagation joins the forests to components.
 
 Sets are compared by 64-bit hashes of their shingles, and nodes by a 64-bit hash of their sets.
@@ -28,7 +28,7 @@ from .common import fresh, small, written
 
 N, PERCENT = 3, 90
 #: A region of so many nodes is joined in one task; larger ones go by rings and blocks of this size.
-LEAF = 256
+LEAF = 512
 #: Classes of this many shingles or fewer are like in unrelated sets. A set with SPARE of them or fewer leaves them out.
 POOR = 1
 BROADCAST_ROWS = 500_000
@@ -37,11 +37,11 @@ _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 
 class _Hashes(dict):
-    """64-bit hashes of words, the first million kept."""
+    """64-bit hashes of words; the first ones are kept, about 20 MB of them."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
@@ -176,30 +176,34 @@ def _edges(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def _region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within each group of (group, node): LEAF nodes or fewer, or a block against a block by `side` 0 and 1."""
+def _region_links(members: DataFrame, percent: int, relative: bool) -> DataFrame:
+    """Links within each group of (group, node): LEAF nodes or fewer, or a block against a block by `side` 0 and 1.
+
+    relative: shingles are a set's differences from the region's pivot, which are few. Two sets differ where exactly one of their
+    differences from the pivot has a shingle, so these and the sizes give the intersection."""
 
     def join(part: pa.Table) -> pa.Table:
         part = part.sort_by("node")
-        names, found = part.column("node").to_numpy(), _sets_of(part)
-        size = np.array([len(s) for s in found])
-        side, far, ring0 = (part.column(c).to_numpy() for c in ("side", "far", "inner"))
+        names, size, found = part.column("node").to_numpy(), part.column("size").to_numpy(), _sets_of(part)
+        side, far = (part.column(c).to_numpy() for c in ("side", "far"))
         rows, columns = (side != 1).nonzero()[0], (side != 0).nonzero()[0]  # side 2: both
         if not len(rows) or not len(columns):
             return _edges([])
         common = _common([found[i] for i in rows], [found[j] for j in columns])
+        if relative:
+            held = np.array([len(s) for s in found])
+            common = ((size - held)[rows][:, None] + (size - held)[columns][None, :]) // 2 + common
         good = _linked(common, size[rows][:, None], size[columns][None, :], percent)
         good &= names[rows][:, None] != names[columns][None, :]
-        good &= ~(ring0[rows][:, None] & ring0[columns][None, :])
         good &= ~(np.abs(far[rows][:, None] - far[columns][None, :]) > (100 - percent) / 100 + 1e-9)
         i, j = good.nonzero()
         return _edges(_forest(names, np.stack([rows[i], columns[j]], axis=1)))
 
-    return members.join(sets, "node").groupBy("group").applyInArrow(join, "a long, b long")
+    return members.select("group", "node", "size", "side", "far", "shingles").groupBy("group").applyInArrow(join, "a long, b long")
 
 
 def _pivot_distances(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(pivot, node, far, hit): the distance of each node to its pivot. The pivot's set goes to each part of its region."""
+    """(pivot, node, far, hit, size, shingles): each node's distance to its pivot, and the shingles that one of the two sets has. The pivot's set goes to each part of its region."""
 
     def measure(part: pa.Table) -> pa.Table:
         pivot = part.column("pivot")[0].as_py()
@@ -208,9 +212,13 @@ def _pivot_distances(members: DataFrame, sets: DataFrame, percent: int) -> DataF
         common = _common(found, [found[at]])[:, 0]
         size = np.array([len(s) for s in found])
         union = size + size[at] - common
-        return pa.table({"pivot": part.column("pivot"), "node": part.column("node"), "far": pa.array(1 - common / union), "hit": pa.array(100 * common >= percent * union)})
+        apart = [np.setxor1d(s, found[at], assume_unique=True).view(np.int64) for s in found]
+        ends = np.cumsum([0, *map(len, apart)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(apart)))
+        keep = pa.array((names != pivot) | (part.column("part").to_numpy() == 0))
+        return pa.table({"pivot": part.column("pivot"), "node": part.column("node"), "far": pa.array(1 - common / union), "hit": pa.array(100 * common >= percent * union), "size": pa.array(size), "shingles": lists}).filter(keep)
 
-    return members.join(sets, "node").groupBy("pivot", "part").applyInArrow(measure, "pivot long, node long, far double, hit boolean").distinct()
+    return members.join(sets, "node").groupBy("pivot", "part").applyInArrow(measure, "pivot long, node long, far double, hit boolean, size long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,8 +261,8 @@ def links(docs: DataFrame, text: str, profile: DataFrame, n: int, percent: int,
 
     sets = written(chosen.mapInArrow(make, "node long, shingles array<long>").join(small(active, BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"]))
 
-    plain = [F.lit(2).alias("side"), F.lit(0.0).alias("far"), F.lit(False).alias("inner")]
-    found = _region_links(regions.where(F.col("size") <= leaf).select(F.col("pivot").alias("group"), "node", *plain), sets, percent)
+    small_ones = regions.where(F.col("size") <= leaf).select(F.col("pivot").alias("group"), "node").join(sets, "node")
+    found = _region_links(small_ones.withColumns({"size": F.size("shingles").cast("long"), "side": F.lit(2), "far": F.lit(0.0)}), percent, relative=False)
 
     large = regions.where(F.col("size") > leaf)
     if not large.isEmpty():
@@ -264,10 +272,10 @@ def links(docs: DataFrame, text: str, profile: DataFrame, n: int, percent: int,
         far = written(_pivot_distances(part.unionByName(own), sets, percent))
         found = found.union(far.where("hit and pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         width = (100 - percent) / 100 + 1e-9
-        rings = far.withColumn("ring", F.floor(F.col("far") / width).cast("int")).withColumn("inner", F.col("hit"))
+        rings = far.select("pivot", "node", "far", F.floor(F.col("far") / width).cast("int").alias("ring"))
         sizes = rings.groupBy("pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("blocks"))
         placed = rings.join(sizes, ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        # A block meets the blocks of its own ring from itself on, and all of the next ring; each meeting is a group.
+        # A block meets the blocks of its own ring, but for the innermost, whose nodes the pivot links, and all of the next ring; each meeting is a group.
         after = sizes.select("pivot", (F.col("ring") - 1).alias("ring"), F.col("blocks").alias("next"))
         before = sizes.select("pivot", (F.col("ring") + 1).alias("ring"), F.col("blocks").alias("last"))
         placed = placed.join(after, ["pivot", "ring"], "left").join(before, ["pivot", "ring"], "left")
@@ -277,8 +285,9 @@ def links(docs: DataFrame, text: str, profile: DataFrame, n: int, percent: int,
         out = F.when(F.col("next").isNotNull(), meet(F.col("next"), ring, lambda k: mine, ring + 1, lambda k: k, lambda k: F.lit(0)))
         inw = F.when(F.col("last").isNotNull(), meet(F.col("last"), ring - 1, lambda k: k, ring, lambda k: mine, lambda k: F.lit(1)))
         none = F.array().cast("array<struct<group:string,side:int>>")
-        met = placed.select("node", "far", "inner", F.explode(F.concat(same, F.coalesce(out, none), F.coalesce(inw, none))).alias("m"))
-        found = found.union(_region_links(met.select(F.col("m.group").alias("group"), "node", F.col("m.side").alias("side"), "far", "inner"), sets, percent))
+        met = placed.select("pivot", "node", F.explode(F.concat(F.when(ring > 0, same).otherwise(none), F.coalesce(out, none), F.coalesce(inw, none))).alias("m"))
+        blocks = met.select("pivot", "node", F.col("m.group").alias("group"), F.col("m.side").alias("side")).join(far.select("pivot", "node", "far", "size", "shingles"), ["pivot", "node"])
+        found = found.union(_region_links(blocks, percent, relative=True))
     return found
 
 
