@@ -103,15 +103,21 @@ def fingerprint_report(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataF
     parts = min(MOST_RANGES, max(2, total // range_bytes, 3 * docs.sparkSession.sparkContext.defaultParallelism))
     cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * parts).alias("cuts")).first()["cuts"] or []
     # The bounds are doubles, which keep the order of ids; each range's true first row is looked up, so rounding moves no row.
-    splits = sorted({float("-inf"), *(float(c) for c in cuts), float("inf")})
+    splits = sorted({float("-inf"), 0.0, *(float(c) for c in cuts), float("inf")})
     ranged = Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(rows.withColumn("place", F.col("key").cast("double"))).drop("place").withColumn("range", F.col("range").cast("int"))
-    tops = ranged.groupBy("range").agg(F.max("key").alias("key"))  # a row for each range
+    tops = ranged.groupBy("range").agg(F.max("key").alias("key"))  # a row for each range that has rows
     first = ranged.join(F.broadcast(tops), ["range", "key"], "left_semi")
     lead = first.groupBy("range").agg(F.max("text").alias("text"))
     count = len(splits) - 1
-    ghosts = lead.select(F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("key"), "text", ((F.col("range") + 1) % count).alias("range"), F.lit(True).alias("ghost"))
+    filled = sorted(r["range"] for r in tops.select("range").collect())
+    follows = dict(zip(filled, filled[1:] + filled[:1]))  # where a range's first text goes: the range of the next larger ids, from the last to the first
+    ghosts = lead.select(F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("key"), "text", F.get(F.lit([follows.get(i, i) for i in range(count)]), F.col("range")).alias("range"), F.lit(True).alias("ghost"))
     every = ranged.select("doc_id", "key", "text", "range", F.lit(False).alias("ghost")).unionByName(ghosts)
-    every = every.repartition(count, "range").sortWithinPartitions("range", "ghost", F.col("key").desc(), F.col("text").desc())
+    # One range a task: of the numbers that Spark's hash sends to a task, its range goes by the least.
+    spread = docs.sparkSession.range(max(64, count * 32)).groupBy(F.pmod(F.hash("id"), F.lit(count)).alias("task")).agg(F.min("id").alias("id"))
+    lanes = {r.task: r.id for r in spread.collect()}  # a row for each range
+    lane = F.get(F.lit([lanes.get(i, i) for i in range(count)]), F.col("range"))
+    every = every.withColumn("lane", lane.cast("long")).repartition(count, "lane").sortWithinPartitions("range", "ghost", F.col("key").desc(), F.col("text").desc())
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
