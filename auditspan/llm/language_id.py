@@ -24,7 +24,9 @@ SIZE = 1 << BITS
 GRAMS = (1, 2, 3)
 #: The sample that the weights are fitted on: so many rows of each language at most, those with the least hashes of their ids.
 ROWS_PER_LANG = 1000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.05, 0.5
+EPOCHS, ALPHA, BETA, L1, L2 = 5, 0.5, 1.0, 0.05, 0.5
+#: Term frequencies are shares of a text; this brings their products with inverse document frequencies near 1.
+SCALE = 10.0
 #: Texts are turned into n-grams together until they have so many characters.
 CHUNK = 1 << 20
 SPACE, BREAK = 32, 0
@@ -156,7 +158,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, n_classe
     logits = np.array([np.append(x, 0.1) @ w[np.append(f, SIZE)] for f, x in (rows[i] for i in held)])
     truth = classes[held]
     loss = lambda t: -np.log(np.maximum(_softmax(logits / np.exp(t))[np.arange(len(truth)), truth], 1e-12)).mean()
-    low, high, golden = -4.0, 4.0, (5**0.5 - 1) / 2
+    low, high, golden = -1.0, 4.0, (5**0.5 - 1) / 2
     for _ in range(40):
         a, b = high - golden * (high - low), low + golden * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
@@ -192,15 +194,19 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model of the rows of docs that have an id, a text and a language. With no such row it has no languages and predicts `und`."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id is not null and text is not null and lang is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= ROWS_PER_LANG).select("id", "lang")
+    # A language's least hashes: those under a bound that some three times as many stay under, and of them the first.
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    many = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(3.0 * ROWS_PER_LANG) / F.count(F.lit(1))).alias("share"))
+    near = rows.select("id", "lang").join(F.broadcast(many), "lang").where(place < F.col("share") * (1 << 40)).select("id", "lang").distinct()
+    first = Window.partitionBy("lang").orderBy(place, "id")
+    ids = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= ROWS_PER_LANG).select("id", "lang")
     ids = written(ids)  # ROWS_PER_LANG rows a language
     sample = written(rows.join(F.broadcast(ids), ["id", "lang"]).dropDuplicates(["id", "lang"]))
     langs = sorted(r.lang for r in ids.select("lang").distinct().collect())
     if not langs:
         return Model([], np.zeros((SIZE + 1, 0)), np.zeros(SIZE), 1.0)
     counts = document_frequencies(rows, "text")
-    idf = np.log((1 + counts[SIZE]) / (1 + counts[:SIZE])) + 1
+    idf = SCALE * (np.log((1 + counts[SIZE]) / (1 + counts[:SIZE])) + 1)
 
     def learn(_: tuple, part: pa.Table) -> pa.Table:
         part = part.sort_by([("id", "ascending"), ("lang", "ascending")])
