@@ -9,15 +9,16 @@ not its pages.
 
 from __future__ import annotations
 
-import hashlib
 import html
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +45,10 @@ CLOSES_P = BLOCKS - {"body", "html", "head", "caption", "td", "th", "tr", "tbody
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+")
+TELLING = re.compile(r"class|id|role|hidden|style|itemprop", re.I)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """key: the path that merges the node with its like on other pages."""
 
@@ -60,22 +62,32 @@ class Node:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
-def _node(tag: str, raw: str, parent: Node | None) -> Node:
-    names = _attributes(raw)
-    words = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(names.get(k, "") for k in ("class", "id", "role"))).lower())) if names else set()
+@lru_cache(maxsize=1 << 14)
+def _look(tag: str, telling: str) -> tuple[str, bool, bool, bool]:
+    """(kind, noise, main, named) of a node by its tag and the attributes that tell its role."""
+    names = _attributes(telling)
+    words = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(names.get(k, "") for k in ("class", "id", "role"))).lower()))
     hidden = "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
     noise = tag in NOISE_TAGS or hidden or bool(words & NOISE_WORDS)
     main = (tag in MAIN_TAGS or names.get("role") == "main" or names.get("itemprop") == "articleBody") and not noise
-    kind = f"{tag}.{'.'.join(sorted(words))}" if words else tag
-    if parent is not None and (not parent.kinds or parent.kinds[-1] != kind):
+    return (f"{tag}.{'.'.join(sorted(words))}" if words else tag), noise, main, bool(words)
+
+
+def _node(tag: str, raw: str, parent: Node) -> Node:
+    kind, noise, main, named = _look(tag, raw if raw and TELLING.search(raw) else "")
+    if not parent.kinds or parent.kinds[-1] != kind:
         parent.kinds.append(kind)
-    return Node(tag, f"{parent.key}/{kind}" if parent else kind, parent, noise or bool(parent and parent.noise), main or bool(parent and parent.main), bool(words))
+    return Node(tag, f"{parent.key}/{kind}", parent, noise or parent.noise, main or parent.main, named)
+
 
+def _target(raw: str, name: str) -> str | None:
+    return _attributes(raw).get(name) if name in raw.lower() else None
 
-def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]], list[tuple[Node, str]]]:
+
+def parse(page: str, linked: bool = True) -> tuple[list[Node], list[tuple[Node, str]], list[tuple[Node, str]]]:
     """(nodes, blocks of text with the node they stand in, links and images with theirs), in page order."""
     root = Node("", "", None, False, False, False)
     nodes: list[Node] = [root]
@@ -86,6 +98,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]], list[tuple[Nod
 
     def flush() -> None:
         nonlocal owner
+        if not pieces:
+            owner = None
+            return
         text = " ".join("".join(pieces).split())
         if text and owner is not None:
             blocks.append((owner, text))
@@ -143,10 +158,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]], list[tuple[Nod
             ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at) if not raw.rstrip().endswith("/") else None
             at = ended.end() if ended else at if raw.rstrip().endswith("/") else len(page)
         elif tag in VOID:
-            if tag == "img" and (src := _attributes(raw).get("src")):
+            if linked and tag == "img" and (src := _target(raw, "src")):
                 links.append((node, src))
         else:
-            if tag == "a" and (href := _attributes(raw).get("href")):
+            if linked and tag == "a" and (href := _target(raw, "href")):
                 links.append((node, href))
             if not raw.endswith("/") or tag in BLOCKS or tag == "a":
                 stack.append(node)
@@ -192,7 +207,7 @@ def tree_counts(pages: DataFrame) -> DataFrame:
                     add((host, "page", key, ""), 1)
                     for run in runs:
                         add((host, "style", key, run), 1)
-                contents = Counter((node.key, hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()) for node, text in (*blocks, *links))
+                contents = Counter((node.key, xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))) for node, text in (*blocks, *links))
                 for (key, value), n in contents.items():
                     add((host, "text", key, value), n)
                 if len(sums) > 200_000:
@@ -234,7 +249,7 @@ def importances(counts: DataFrame) -> DataFrame:
 
 def main_text(page: str | None, low: set[str]) -> str:
     """The blocks of a page that are left, joined by spaces. low: nodes of the host's tree that are unimportant."""
-    _, blocks, _ = parse(page or "")
+    _, blocks, _ = parse(page or "", linked=False)
     kept = [(n, t) for n, t in blocks if not n.noise]
     if any(n.main for n, _ in kept):
         kept = [(n, t) for n, t in kept if n.main]
