@@ -123,7 +123,7 @@ class Scanner:
 def license_report(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
     """(doc_id, n_words, n_notices, license, coverage, notices) of each document.
 
-    license is the template of the best coverage, of equals the first by name, or empty; notices lists name:start:end:coverage by start.
+    license is the template of the best coverage, of equals the longest and then the first by name, or empty; notices lists name:start:end:coverage by start.
     Null and empty texts have none; texts of any length are scanned whole; repeated rows get equal results; an empty table stays empty."""
     docs = docs.select("doc_id", "text")
     scanner = Scanner(templates, least)
@@ -131,14 +131,14 @@ def license_report(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [scanner.scan(t.as_py()) for t in batch.column("text")]
-            best = [min(((1 - c, name) for *_, name, c in spans), default=(1.0, "")) for _, spans in found]
+            best = [min(((1 - c, -len(scanner.words[name]), name) for *_, name, c in spans), default=(1.0, 0, "")) for _, spans in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([n for n, _ in found], pa.int64()),
                     pa.array([len(spans) for _, spans in found], pa.int64()),
-                    pa.array([name for _, name in best], pa.string()),
-                    pa.array([round(1 - c, 4) for c, _ in best], pa.float64()),
+                    pa.array([name for *_, name in best], pa.string()),
+                    pa.array([round(1 - c, 4) for c, *_ in best], pa.float64()),
                     pa.array([",".join(f"{name}:{a}:{b}:{c:.4f}" for a, b, name, c in spans) for _, spans in found], pa.string()),
                 ],
                 ["doc_id", "n_words", "n_notices", "license", "coverage", "notices"],
