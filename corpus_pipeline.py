@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditspan.llm import decontaminate, jaccard_join, language_id, mixing, sharding
-from auditspan.llm.common import table, written
+from auditspan.llm.common import lean, table, written
 
 #: Just over what four languages share evenly: short texts in one language stay.
 LEAST_SCORE = 0.3
@@ -23,6 +23,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return language_id.identified(docs, LEAST_SCORE)
 
 
