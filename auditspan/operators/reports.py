@@ -54,8 +54,8 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
 def overlap(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row: sizes of both reports and the number of keys they share."""
     shared = old.select(*_key()).intersect(new.select(*_key())).agg(F.count(F.lit(1)).alias("shared"))
-    size = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return shared.join(size(old, "n_old")).join(size(new, "n_new"))  # one row each
+    size = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return shared.withColumns({"n_old": size(old), "n_new": size(new)})
 
 
 def ranked(triaged: DataFrame, k: int) -> DataFrame:

@@ -109,9 +109,9 @@ def design_decision(findings: DataFrame, nearest: DataFrame, threshold: float =
     """Layer 2: findings that passed are rejected if a documented decision is nearer than the threshold, else validated.
 
     Without any nearest section (no store) nothing is promoted. A finding without an embedding is validated at confidence 0.5."""
-    stored = nearest.limit(1).select(F.lit(True).alias("_stored"))
-    rows = findings.join(nearest.withColumnRenamed("vec_id", "_vec"), F.col("vec_id") == F.col("_vec"), "left").join(F.broadcast(stored), how="left")
-    passed = (F.col("triage_status") == "passed_layer1") & F.col("_stored").isNotNull()
+    stored = nearest.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
+    rows = findings.join(nearest.withColumnRenamed("vec_id", "_vec"), F.col("vec_id") == F.col("_vec"), "left").withColumn("_stored", stored)
+    passed = (F.col("triage_status") == "passed_layer1") & F.col("_stored")
     close = F.col("distance") < threshold
     status = F.when(passed, F.when(close, "rejected_by_ml").otherwise("validated")).otherwise(F.col("triage_status"))
     confidence = F.when(passed, F.when(F.col("distance").isNull(), 0.5).otherwise(F.round(F.least(F.lit(1.0), F.col("distance")), 6)))
@@ -128,9 +128,9 @@ def sast_crossval(findings: DataFrame, sast: DataFrame, slack: int = 3) -> DataF
     hits = sast.select(F.regexp_replace("file", r"\\", "/").alias("file"), F.col("line_start").alias("_start"), F.col("line_end").alias("_end"), "sast_pos", "rule_id").where("_start <= _end")
     touched = asked.join(hits, "file").where("_start <= _high and _end >= _low and _low <= _high")
     first = touched.groupBy("pos").agg(F.min_by("rule_id", F.struct(F.greatest("_start", "_low"), "sast_pos", "rule_id")).alias("semgrep_rule_match"))
-    known = sast.limit(1).select(F.lit(True).alias("_known"))
-    rows = findings.join(first, "pos", "left").join(F.broadcast(known), how="left")
-    live = (F.col("triage_status") != "rejected") & F.col("_known").isNotNull()
+    known = sast.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
+    rows = findings.join(first, "pos", "left").withColumn("_known", known)
+    live = (F.col("triage_status") != "rejected") & F.col("_known")
     hit = F.col("semgrep_rule_match").isNotNull()
     return rows.withColumns({"semgrep_corroborated": F.when(live, hit), "confidence_boost": F.when(live & hit, 0.2).otherwise(0.0), "confidence_penalty": F.when(live & ~hit, 0.1).otherwise(0.0)}).drop("_known")
 

@@ -56,8 +56,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "events").agg((F.max("user_id") + 1).alias("users"))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").join(F.broadcast(users))  # one row
+    users = table(spark, sf_dir, "events").agg(F.max("user_id") + 1).scalar()
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").withColumn("users", users)
     start = (F.col("l_linenumber") * 3).cast("int")
     return rows.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sast_pos"), _file(F.floor(F.col("l_orderkey") / 20) % F.col("users")).alias("file"),
@@ -74,9 +74,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(caller, callee, arg_index, arg, pos): a user calls another with one argument."""
     e = table(spark, sf_dir, "events")
-    users = e.agg((F.max("user_id") + 1).alias("users"))
+    users = e.agg(F.max("user_id") + 1).scalar()
     arg = _chosen(F.col("event_type"), {"click": "crypto.getRandomValues(x)", "view": "await deriveKey(k)", "purchase": "'fixed'", "error": "42"}, "param")
-    return e.join(F.broadcast(users)).select(
+    return e.withColumn("users", users).select(
         F.col("user_id").alias("caller"), ((F.col("user_id") * 7 + F.col("event_id") % 3) % F.col("users")).alias("callee"), (F.col("event_id") % 2).cast("int").alias("arg_index"), arg.alias("arg"), F.col("event_id").alias("pos"),
     )
 
