@@ -28,6 +28,7 @@ from .common import small, written
 LEAST_IMPORTANCE, GAMMA = 0.3, 0.9
 #: A node's importance is judged on so many pages at least.
 LEAST_PAGES = 5
+LONGEST_KEY = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea svg math object select title".split())
@@ -80,7 +81,8 @@ def _node(tag: str, raw: str, parent: Node) -> Node:
     kind, noise, main, named = _look(tag, raw if raw and TELLING.search(raw) else "")
     if not parent.kinds or parent.kinds[-1] != kind:
         parent.kinds.append(kind)
-    return Node(tag, f"{parent.key}/{kind}", parent, noise or parent.noise, main or parent.main, named)
+    # Below LONGEST_KEY a path is told apart no further, so nesting without end costs no more than its length.
+    return Node(tag, f"{parent.key}/{kind}" if len(parent.key) < LONGEST_KEY else parent.key, parent, noise or parent.noise, main or parent.main, named)
 
 
 def _target(raw: str, name: str) -> str | None:
@@ -94,6 +96,7 @@ def parse(page: str, linked: bool = True) -> tuple[list[Node], list[tuple[Node,
     blocks: list[tuple[Node, str]] = []
     links: list[tuple[Node, str]] = []
     stack, pieces, at = [root], [], 0
+    opened: Counter = Counter()  # tags on the stack
     owner: Node | None = None
 
     def flush() -> None:
@@ -118,11 +121,16 @@ def parse(page: str, linked: bool = True) -> tuple[list[Node], list[tuple[Node,
         pieces.append(html.unescape(raw) if "&" in raw else raw)
 
     def close(depth: int) -> None:
-        if any(n.tag in BLOCKS for n in stack[depth:]):
+        gone = stack[depth:]
+        if any(n.tag in BLOCKS for n in gone):
             flush()
+        for n in gone:
+            opened[n.tag] -= 1
         del stack[depth:]
 
-    def close_open(tags: set[str] | frozenset[str]) -> None:
+    def close_open(tags: set[str]) -> None:
+        if not any(opened[t] > 0 for t in tags):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in tags:
                 close(depth)
@@ -138,10 +146,11 @@ def parse(page: str, linked: bool = True) -> tuple[list[Node], list[tuple[Node,
             continue
         tag = tag.lower()
         if end:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
+            if opened[tag] > 0:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                close(depth)
             continue
         if tag == "br" or tag == "wbr":
             pieces.append(" " if tag == "br" else "")
@@ -165,6 +174,7 @@ def parse(page: str, linked: bool = True) -> tuple[list[Node], list[tuple[Node,
                 links.append((node, href))
             if not raw.endswith("/") or tag in BLOCKS or tag == "a":
                 stack.append(node)
+                opened[tag] += 1
     say(page[at:])
     flush()
     return nodes, blocks, links
@@ -256,7 +266,7 @@ def main_text(page: str | None, low: set[str]) -> str:
 
     def dull(node: Node) -> bool:
         """In main text only a branch that its class sets apart can be boilerplate: an article may be on many pages as it is."""
-        while node is not None and node.key:
+        while low and node is not None and node.key:
             if node.key in low and (not node.main or node.named and node.tag not in MAIN_TAGS):
                 return True
             node = node.parent
