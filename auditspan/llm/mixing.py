@@ -21,7 +21,7 @@ from .common import fresh, small, written
 EVENNESS, MOST_REPEATS, SEED = 0.5, 2.0, "2025"
 BLOCK_TOKENS = 200_000
 #: A source's documents are put in order in buckets of about so many rows.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 STEPS, DIGITS = 20, 6
 NO_SPACE = r"[^\x20\x09-\x0D]+"
 
