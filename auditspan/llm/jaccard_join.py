@@ -5,7 +5,7 @@
    first cut by hash into m classes. Linked sets differ in d shingles at most, so of m = d + 1 + SPARE classes more than SPARE are equal in
    both: nodes that share a class are neighbours, and no link joins nodes that don't.
 3. In each class shared by several nodes the node with the most shared classes is the pivot. A pivot's Voronoi region has the members of
-   its classes. A small region is joined at once. A large one is cut by the triangle inequality: linked nodes' distances to the pivot differ
+   its classes. Regions that overlap are a neighbourhood; a small one, or else a small region, is joined at once. A large region is cut by the triangle inequality: linked nodes' distances to the pivot differ
    by the radius at most, so they lie in one ring of that width or in adjacent ones; nodes of a ring are replicated to the next. The
    innermost ring is linked through the pivot. Rings are joined block by block, and all that travels of a set is its difference from the pivot.
 4. Each task returns a forest of the links it found; label propagation joins the forests to components.
@@ -243,12 +243,13 @@ def links(docs: DataFrame, text: str, profile: DataFrame, n: int, percent: int,
     members = written(marks.join(small(shared, BROADCAST_ROWS), "mark").distinct())
     weights = members.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
     pivots = members.join(weights, "node").groupBy("mark").agg(F.max(F.struct("weight", "node")).alias("top")).select("mark", F.col("top.node").alias("pivot"))
-    regions = members.join(pivots, "mark").select("pivot", "node").distinct()
-    counts = regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
-    regions = written(regions.join(counts, "pivot"))
+    regions = written(members.join(pivots, "mark").select("pivot", "node").distinct())
+    # Regions that overlap are one neighbourhood: if it is small, its nodes are joined once instead of in each region.
+    near = components(regions.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    near = written(near.join(near.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label"))
 
     # The sets of nodes in regions, made again from one text each.
-    active = regions.select("node").distinct()
+    active = near.select("node")
     ids = profile.join(small(active, BROADCAST_ROWS), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
     chosen = docs.join(small(ids, BROADCAST_ROWS), docs["id"].eqNullSafe(ids["id"]), "left_semi").select(text)
 
@@ -261,7 +262,12 @@ def links(docs: DataFrame, text: str, profile: DataFrame, n: int, percent: int,
 
     sets = written(chosen.mapInArrow(make, "node long, shingles array<long>").join(small(active, BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"]))
 
-    small_ones = regions.where(F.col("size") <= leaf).select(F.col("pivot").alias("group"), "node").join(sets, "node")
+    crowded = near.where(F.col("size") > leaf).select("node")
+    regions = regions.join(small(crowded, BROADCAST_ROWS), "node", "left_semi")
+    regions = written(regions.join(regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot"))
+    groups = near.where(F.col("size") <= leaf).select(F.col("label").alias("group"), "node").withColumn("kind", F.lit(0))
+    cells = regions.where(F.col("size") <= leaf).select(F.col("pivot").alias("group"), "node").withColumn("kind", F.lit(1))
+    small_ones = groups.unionByName(cells).withColumn("group", F.concat_ws(":", "kind", "group")).drop("kind").join(sets, "node")
     found = _region_links(small_ones.withColumns({"size": F.size("shingles").cast("long"), "side": F.lit(2), "far": F.lit(0.0)}), percent, relative=False)
 
     large = regions.where(F.col("size") > leaf)
