@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, small, written
@@ -237,10 +237,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, text: str, profile: DataFrame, n: int, percent: int, leaf: int = LEAF) -> DataFrame:
     """(a, b): nodes whose sets are linked, enough of them to connect all that links connect."""
-    marks = profile.select("node", F.explode("signatures").alias("mark"))
-    shared = marks.groupBy("mark").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("mark")
-    shared = written(shared)
-    members = written(marks.join(small(shared, BROADCAST_ROWS), "mark").distinct())
+    # Copies are one node from here on. One shuffle by class brings together the nodes that share it, in narrow rows.
+    unique = profile.where(F.size("signatures") > 0).groupBy("node").agg(F.first("signatures").alias("signatures"))
+    marks = unique.select("node", F.explode("signatures").alias("mark"))
+    same = Window.partitionBy("mark")
+    shared = marks.withColumns({"least": F.min("node").over(same), "most": F.max("node").over(same)}).where("least <> most")
+    members = written(shared.select("mark", "node"))
     weights = members.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
     pivots = members.join(weights, "node").groupBy("mark").agg(F.max(F.struct("weight", "node")).alias("top")).select("mark", F.col("top.node").alias("pivot"))
     regions = written(members.join(pivots, "mark").select("pivot", "node").distinct())
