@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,33 +73,34 @@ def evidence_quality(findings: DataFrame, files: DataFrame) -> DataFrame:
 def nearest_sections(queries: DataFrame, sections: DataFrame, block: int = 4096) -> DataFrame:
     """(vec_id, section_id, distance): each query's nearest section by cosine distance, of equals the least id; exact.
 
-    Sections are packed into blocks of a fixed size; each query meets each block once, so memory stays bounded and what is shuffled is
-    queries times blocks. Queries are the stated few: the design decisions looked up, not all pairs of a table."""
-    blocks = max(1, -(-sections.count() // block))
-    packed = sections.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-
-    def pack(part: pa.Table) -> pa.Table:
-        matrix = np.array(part.column("embedding").to_pylist(), np.float64)
-        np.savez(out := io.BytesIO(), ids=part.column("vec_id").to_numpy(), vectors=matrix)
-        return pa.table({"block": part.column("block").slice(0, 1), "data": pa.array([out.getvalue()], pa.binary())})
-
-    held = packed.groupBy("block").applyInArrow(pack, "block int, data binary")
-    asked = queries.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    many = asked.groupBy("block", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("asked")).join(held, "block")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asked_, data in zip(batch.column("asked").to_pylist(), batch.column("data").to_pylist()):
-                at = np.load(io.BytesIO(data))
-                order = np.argsort(at["ids"], kind="stable")
-                ids, there = at["ids"][order], at["vectors"][order]
-                q = np.array([x["embedding"] for x in asked_], np.float64)
-                norms = np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(there, axis=1)[None, :], 1e-300)
-                far = np.round(1 - q @ there.T / norms, 6)
+    Sections are dealt into blocks and queries into parts of about one size, so both grow in number, not in size; each part meets each block
+    once, in a group of its own. Memory stays bounded; the work is queries times sections."""
+    blocks, parts = (max(1, -(-df.count() // block)) for df in (sections, queries))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    held = sections.select(F.lit(True).alias("held"), "vec_id", "embedding", own(blocks).alias("block"), each(parts).alias("part"))
+    asked = queries.select(F.lit(False).alias("held"), "vec_id", "embedding", each(blocks).alias("block"), own(parts).alias("part"))
+
+    def matrix(part: pa.Table) -> np.ndarray:
+        flat = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.astype(np.float64).reshape(part.num_rows, -1)
+
+    def measure(group: pa.Table) -> pa.Table:
+        found, held_, asked_ = [], group.filter(group.column("held")), group.filter(pc.invert(group.column("held")))
+        if asked_.num_rows and held_.num_rows:
+            held_ = held_.sort_by("vec_id")
+            ids, there, asking = held_.column("vec_id").to_numpy(), matrix(held_), matrix(asked_)
+            lengths = np.linalg.norm(there, axis=1)[None, :]
+            for i in range(0, len(asking), 512):
+                q = asking[i:i + 512]
+                far = np.round(1 - q @ there.T / np.maximum(np.linalg.norm(q, axis=1)[:, None] * lengths, 1e-300), 6)
                 best = far.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([x["vec_id"] for x in asked_], pa.int64()), pa.array(ids[best], pa.int64()), pa.array(far[np.arange(len(q)), best])], ["vec_id", "section_id", "distance"])
+                found.append((ids[best], far[np.arange(len(q)), best]))
+        kinds = (np.int64, np.float64)
+        section, distance = (np.concatenate([np.empty(0, k), *(f[i] for f in found)]) for i, k in enumerate(kinds))
+        return pa.table({"vec_id": asked_.column("vec_id").cast(pa.int64()) if found else pa.array([], pa.int64()), "section_id": pa.array(section.astype(np.int64)), "distance": pa.array(distance)})
 
-    found = many.select("asked", "data").mapInArrow(measure, "vec_id long, section_id long, distance double")
+    found = held.unionByName(asked).groupBy("block", "part").applyInArrow(measure, "vec_id long, section_id long, distance double")
     return found.groupBy("vec_id").agg(F.min(F.struct("distance", "section_id")).alias("m")).select("vec_id", "m.section_id", F.col("m.distance").alias("distance"))
 
 

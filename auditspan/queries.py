@@ -40,11 +40,11 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections, asked = r.vectors(spark, sf_dir)
-    return layers.nearest_sections(asked.where("vec_id < 500"), sections)
+    return layers.nearest_sections(asked, sections)
 
 
 def _triaged(spark: SparkSession, sf_dir: str, upto: str = "confidence") -> DataFrame:
-    nearest = _nearest(spark, sf_dir) if upto not in ("rules", "evidence") else None
+    nearest = written(_nearest(spark, sf_dir)) if upto not in ("rules", "evidence") else None
     return cascade(_merged(spark, sf_dir), r.files(spark, sf_dir), nearest, r.sast(spark, sf_dir), WHITELIST, NEAR, upto)
 
 

@@ -35,17 +35,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of each run, before they are merged: a chunk is half a file."""
+    """Findings of each run, before they are merged: a chunk is half a file. Their vectors are dealt in turn from all query vectors; vec_ids run from 0 without gaps."""
     e, d = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.get_json_object("props", "$.k").cast("int") % 12
-    joined = e.join(d, e["user_id"] == d["doc_id"])
+    asked = vectors(spark, sf_dir)[1].agg(F.nullif(F.count(F.lit(1)), F.lit(0))).scalar()
+    joined = e.join(d, e["user_id"] == d["doc_id"]).withColumn("nth", F.col("event_id") % asked)
     return joined.select(
         F.col("event_id").alias("pos"), _file(F.col("user_id")).alias("file"), (F.col("user_id") * 2 + F.floor(F.col("event_id") / 3) % 2).alias("chunk_id"),
         (F.col("event_id") % RUNS).cast("int").alias("run_idx"), _chosen(F.col("event_type"), ITEMS).alias("checklist_item"),
         _chosen(F.col("event_id") % 5, {0: "critical", 1: "high", 2: "medium"}, "low").alias("severity"),
         k.alias("line_start"), (k + F.col("event_id") % 5).cast("int").alias("line_end"), (F.col("event_id") % 97 == 0).alias("parse_error"),
         F.when(F.col("event_id") % 5 == 0, "evidence that is not in the text").otherwise(F.substring("text", (1 + F.col("event_id") * 37 % 120).cast("int"), F.lit(40))).alias("evidence"),
-        F.substring("text", 1, 80).alias("finding"), (F.col("event_id") % 500).cast("int").alias("vec_id"),
+        F.substring("text", 1, 80).alias("finding"), (F.col("nth") + F.floor(F.col("nth") / 9) + 1).alias("vec_id"),
     )
 
 
