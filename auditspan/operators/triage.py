@@ -121,12 +121,14 @@ def design_decision(findings: DataFrame, nearest: DataFrame, threshold: float =
 def sast_crossval(findings: DataFrame, sast: DataFrame, slack: int = 3) -> DataFrame:
     """Layer 2.5: a finding is corroborated if a hit touches its lines, three either way; the hit of the first touched line names the rule.
 
-    An equality join by file with a range filter, then one aggregation by finding; no line is exploded. Without any hit nothing is said."""
+    Of hits on the same lines of a file the first stands for all, so a file has no more of them than pairs of lines, however hot it is. Then an
+    equality join by file with a range filter, and one aggregation by finding; no line is exploded. Without any hit nothing is said."""
     low, high = F.greatest(F.lit(1), F.col("line_start") - slack), F.col("line_end") + slack
     asked = findings.where("triage_status <> 'rejected'").select("pos", "file", low.alias("_low"), high.alias("_high"))
     hits = sast.select(F.regexp_replace("file", r"\\", "/").alias("file"), F.col("line_start").alias("_start"), F.col("line_end").alias("_end"), "sast_pos", "rule_id").where("_start <= _end")
+    hits = hits.groupBy("file", "_start", "_end").agg(F.min(F.struct("sast_pos", "rule_id")).alias("_hit"))
     touched = asked.join(hits, "file").where("_start <= _high and _end >= _low and _low <= _high")
-    first = touched.groupBy("pos").agg(F.min_by("rule_id", F.struct(F.greatest("_start", "_low"), "sast_pos", "rule_id")).alias("semgrep_rule_match"))
+    first = touched.groupBy("pos").agg(F.min_by("_hit.rule_id", F.struct(F.greatest("_start", "_low"), "_hit")).alias("semgrep_rule_match"))
     known = sast.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
     rows = findings.join(first, "pos", "left").withColumn("_known", known)
     live = (F.col("triage_status") != "rejected") & F.col("_known")

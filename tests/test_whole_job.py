@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from auditspan import queries
-from auditspan.operators import triage
+from auditspan.operators import triage as layers
 from auditspan.sources import relations as r
 
 
@@ -30,8 +31,8 @@ def test_nearest_sections_asks_every_query_vector(spark, wide):
     found = queries.queries()["l2_design_knn"](spark, wide).collect()
     assert len(found) == len(expected) and {x.vec_id: x.section_id for x in found} == expected
     sections_, asked = r.vectors(spark, wide)
-    assert triage.nearest_sections(asked, sections_, 50).exceptAll(spark.createDataFrame(found)).isEmpty()
-    assert triage.nearest_sections(asked, sections_.limit(0)).isEmpty()
+    assert layers.nearest_sections(asked, sections_, 50).exceptAll(spark.createDataFrame(found)).isEmpty()
+    assert layers.nearest_sections(asked, sections_.limit(0)).isEmpty()
 
 
 def test_every_finding_has_a_vector_that_is_asked(spark, wide):
@@ -44,3 +45,33 @@ def test_every_finding_has_a_vector_that_is_asked(spark, wide):
 def test_no_finding_is_validated_without_a_search(spark, wide):
     rows = queries._triaged(spark, wide, "design").where("triage_status in ('validated', 'rejected_by_ml')")
     assert rows.count() > 0 and rows.where("design_doc_distance is null").isEmpty()
+
+
+def test_every_line_item_is_a_hit(spark, sf_dir):
+    items = r.table(spark, sf_dir, "lineitem")
+    hits = r.sast(spark, sf_dir)
+    assert hits.count() == items.count()
+    assert {x[0] for x in hits.select(F.floor(hits["sast_pos"] / 10)).distinct().collect()} == {x[0] for x in items.select("l_orderkey").distinct().collect()}
+    known = [x.asDict() for x in hits.collect()]
+    by_file = {}
+    for h in known:
+        by_file.setdefault(h["file"], []).append(h)
+    rows = layers.rule_cascade(queries._merged(spark, sf_dir), r.files(spark, sf_dir))
+    expected = {}
+    for f in rows.where("triage_status <> 'rejected'").collect():
+        low, high = max(1, f.line_start - 3), f.line_end + 3
+        touching = [h for h in by_file.get(f.file, []) if h["line_start"] <= high and h["line_end"] >= low and low <= high]
+        first = min(touching, key=lambda h: (max(h["line_start"], low), h["sast_pos"], h["rule_id"]), default=None)
+        expected[f.pos] = first and first["rule_id"]
+    found = queries.queries()["l25_sast_crossval"](spark, sf_dir).where("semgrep_corroborated is not null").collect()
+    assert {x.pos: x.semgrep_rule_match for x in found} == expected
+
+
+def test_hints_of_every_hit(spark, sf_dir):
+    raw, hits = r.raw_findings(spark, sf_dir).collect(), r.sast(spark, sf_dir).collect()
+    chunks = {}
+    for x in raw:
+        a, z = chunks.get((x.chunk_id, x.file), (x.line_start, x.line_end))
+        chunks[x.chunk_id, x.file] = min(a, x.line_start), max(z, x.line_end)
+    expected = sum(f == h.file and h.line_start <= z and h.line_end >= a for (_, f), (a, z) in chunks.items() for h in hits)
+    assert len(hits) == r.table(spark, sf_dir, "lineitem").count() and queries.queries()["chunk_sast_overlap"](spark, sf_dir).count() == expected
