@@ -50,16 +50,17 @@ def sections(rows: DataFrame, header: str = "^## ", least: int = 80, most: int =
 def best_section(chunks: DataFrame, found: DataFrame, keywords: list[str], least: int = 20, cut: int = 500) -> DataFrame:
     """(chunk_id, file, section, score, excerpt): of each chunk the section that has most of the chunk's keywords, of equals the first.
 
-    Chunk and section meet through the keywords they share, an equality join, so nothing meets without one. keywords are a fixed list."""
+    Of sections with the same keywords the first stands for all, since no other can win; what is left is bounded by the fixed list of keywords.
+    Chunk and section meet through the keywords they share, an equality join, so nothing meets without one."""
     words = lambda text: F.filter(F.lit(keywords), lambda w: F.contains(F.lower(text), w))
-    held = found.where(F.char_length("text") >= least).select("file", "section", F.explode(words(F.col("text"))).alias("word"))
+    first = found.where(F.char_length("text") >= least).groupBy(words(F.col("text")).alias("words")).agg(F.min(F.struct("file", "section", F.substring("text", 1, cut).alias("excerpt"))).alias("f"))
+    held = first.select("f", F.explode("words").alias("word"))
     # Chunks with the same keywords have the same answer.
     sets = chunks.select("chunk_id", F.array_join(words(F.col("text")), "|").alias("asked")).where("asked <> ''")
     distinct = sets.select("asked").distinct().select("asked", F.explode(F.split("asked", r"\|")).alias("word"))
-    score = distinct.join(held, "word").groupBy("asked", "file", "section").agg(F.count(F.lit(1)).cast("int").alias("score"))
-    best = score.groupBy("asked").agg(F.min(F.struct((-F.col("score")).alias("back"), "file", "section")).alias("b")).select("asked", "b.file", "b.section", (-F.col("b.back")).alias("score"))
-    text = found.select("file", "section", F.substring("text", 1, cut).alias("excerpt"))
-    return sets.join(best, "asked").join(text, ["file", "section"]).select("chunk_id", "file", "section", "score", "excerpt")
+    score = distinct.join(held, "word").groupBy("asked", "f").agg(F.count(F.lit(1)).cast("int").alias("score"))
+    best = score.groupBy("asked").agg(F.min(F.struct((-F.col("score")).alias("back"), "f")).alias("b")).select("asked", "b.f.*", (-F.col("b.back")).alias("score"))
+    return sets.join(best, "asked").select("chunk_id", "file", "section", "score", "excerpt")
 
 
 def hunks(diff: DataFrame) -> DataFrame:

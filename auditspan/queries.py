@@ -116,7 +116,7 @@ def severity_histogram(spark, sf_dir):
 
 def _two_reports(spark, sf_dir):
     raw = r.raw_findings(spark, sf_dir).select("pos", "file", "checklist_item", "severity", "line_start")
-    return raw.where("pos % 3 = 0"), raw.where("pos % 3 = 1")
+    return raw.where("pos % 3 = 0"), raw.where("pos % 3 <> 0")
 
 
 def report_compare(spark, sf_dir):
@@ -164,7 +164,7 @@ def grep_first_hits(spark, sf_dir):
 
 
 def read_file_slice(spark, sf_dir):
-    return lines.read_slice(r.files(spark, sf_dir), 5)
+    return lines.read_slice(r.files(spark, sf_dir))
 
 
 def symbol_definition(spark, sf_dir):
@@ -184,7 +184,7 @@ def doc_sections(spark, sf_dir):
 
 
 def doc_excerpt_argmax(spark, sf_dir):
-    found = lines.sections(lines.lines(r.files(spark, sf_dir).where("file like '%5'")), HEADER, 20, 2000)
+    found = lines.sections(lines.lines(r.files(spark, sf_dir)), HEADER, 20, 2000)
     asked = r.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), "text")
     return lines.best_section(asked, found, KEYWORDS)
 
@@ -246,11 +246,11 @@ def cross_file_call_sites(spark, sf_dir):
 def callers_depth3(spark, sf_dir):
     sites = r.calls(spark, sf_dir)
     passed = sites.select("caller", "arg", (F.col("caller") % 2).cast("int").alias("param_index")).where("arg = 'param'").distinct()
-    return graphs.parameter_origins(sites.select("callee", "arg_index").where("callee % 10 = 0").distinct(), sites, passed)
+    return graphs.parameter_origins(sites.select("callee", "arg_index").distinct(), sites, passed)
 
 
 def call_components(spark, sf_dir):
-    sites = r.calls(spark, sf_dir).where("arg = 'param' and pos % 9 = 0")
+    sites = r.calls(spark, sf_dir).where("arg = 'param'")
     nodes = r.calls(spark, sf_dir).select(F.col("caller").alias("node")).distinct()
     return graphs.components(nodes, sites.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"), written)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditspan import queries
+from auditspan.operators import lines
 from auditspan.operators import triage as layers
 from auditspan.sources import relations as r
 
@@ -75,3 +76,46 @@ def test_hints_of_every_hit(spark, sf_dir):
         chunks[x.chunk_id, x.file] = min(a, x.line_start), max(z, x.line_end)
     expected = sum(f == h.file and h.line_start <= z and h.line_end >= a for (_, f), (a, z) in chunks.items() for h in hits)
     assert len(hits) == r.table(spark, sf_dir, "lineitem").count() and queries.queries()["chunk_sast_overlap"](spark, sf_dir).count() == expected
+
+
+def test_every_callee_is_a_root(spark, sf_dir):
+    found = queries.queries()["callers_depth3"](spark, sf_dir).select("root").distinct().collect()
+    assert {x.root for x in found} == {x.callee for x in r.calls(spark, sf_dir).select("callee").distinct().collect()}
+
+
+def test_every_parameter_call_is_an_edge(spark, sf_dir):
+    sites = r.calls(spark, sf_dir).collect()
+    least = {x.caller: x.caller for x in sites}
+    edges = [(x.caller, x.callee) for x in sites if x.arg == "param" and x.callee in least]
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {x.node: x.component for x in queries.queries()["call_components"](spark, sf_dir).collect()} == least
+
+
+def test_the_best_section_is_of_any_file(spark, sf_dir):
+    found = lines.sections(lines.lines(r.files(spark, sf_dir)), queries.HEADER, 20, 2000).collect()
+    held = [({w for w in queries.KEYWORDS if w in x.text.lower()}, x.file, x.section) for x in found]
+    expected = {}
+    for c in r.table(spark, sf_dir, "conversations").collect():
+        asked = {w for w in queries.KEYWORDS if w in c.text.lower()}
+        score, file, section = min((-len(asked & words), file, section) for words, file, section in held)
+        if score:
+            expected[f"{c.conv_id}:{c.turn}"] = file, section, -score
+    assert {x.chunk_id: (x.file, x.section, x.score) for x in queries.queries()["doc_excerpt_argmax"](spark, sf_dir).collect()} == expected
+
+
+def test_reports_hold_every_finding(spark, sf_dir):
+    raw = r.raw_findings(spark, sf_dir).collect()
+    key = lambda x: (x.file, x.checklist_item or "?", x.line_start // 10)
+    sides = [[x for x in raw if (x.pos % 3 > 0) == new] for new in (False, True)]
+    old, new = ({key(x) for x in side} for side in sides)
+    n = queries.queries()["report_overlap"](spark, sf_dir).first()
+    assert (n.shared, n.n_old, n.n_new) == (len(old & new), len(sides[0]), len(sides[1])) and n.n_old + n.n_new == len(raw)
+    assert {x.pos for x in queries.queries()["report_compare"](spark, sf_dir).collect()} == {x.pos for x in sides[0] if key(x) not in new} | {x.pos for x in sides[1] if key(x) not in old}
+
+
+def test_a_slice_has_four_hundred_lines(spark, sf_dir):
+    expected = {x.file: "\n".join(x.text.split("\n")[:400]) for x in r.files(spark, sf_dir).collect()}
+    assert any(t.count("\n") >= 5 for t in expected.values())
+    assert {x.file: x.text for x in queries.queries()["read_file_slice"](spark, sf_dir).collect()} == expected
