@@ -253,11 +253,11 @@ def test_window_entropy_equals_counting_anew():
 # Jaccard join
 
 
-def brute_components(texts):
+def brute_components(texts, n=3, percent=90):
     sets = []
     for t in texts:
         w = (t or "").encode().lower().split()
-        sets.append({tuple(w)} if 0 < len(w) < 3 else set(zip(w, w[1:], w[2:])))
+        sets.append({tuple(w)} if 0 < len(w) < n else set(zip(*(w[i:] for i in range(n)))))
     up = list(range(len(texts)))
 
     def root(i):
@@ -267,14 +267,15 @@ def brute_components(texts):
 
     for a, b in combinations(range(len(texts)), 2):
         common = len(sets[a] & sets[b])
-        if sets[a] and sets[b] and 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common):
+        if sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
 @pytest.mark.parametrize("leaf", [512, 4])
-def test_join_equals_brute_force(spark, leaf):
+def test_join_equals_brute_force(spark, leaf, n, percent):
     rng = np.random.default_rng(6)
     base = [[f"v{x}" for x in rng.integers(0, 90, n)] for n in (12, 30, 60, 140, 300)]
     texts = ODD + ["SAME text HERE", "a b", "A B", "b a"]
@@ -283,10 +284,54 @@ def test_join_equals_brute_force(spark, leaf):
         for _ in range(int(rng.integers(0, 1 + len(w) // 12))):
             w[int(rng.integers(0, len(w)))] = f"n{rng.integers(0, 9)}"
         texts.append(" ".join(w[int(rng.integers(0, 2)):]))
-    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(docs(spark, texts), leaf=leaf).collect()}
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(docs(spark, texts), n, percent, leaf=leaf).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_components(texts, n, percent)
+
+
+@pytest.mark.parametrize("spread, deepest", [(0.0, 0), (2.0, 12), (8.0, 1)])
+def test_join_of_dense_clouds_equals_brute_force(spark, monkeypatch, spread, deepest):
+    """Clouds of near copies at all distances from their centre, some centres alike; by rings alone, by both ways, and by cells first."""
+    monkeypatch.setattr(jaccard_join, "SPREAD", spread)
+    monkeypatch.setattr(jaccard_join, "DEEPEST", deepest)
+    rng = np.random.default_rng(16)
+    centres = [[f"v{x}" for x in rng.integers(0, 400, 120)] for _ in range(3)]
+    centres.append(centres[0][:110] + centres[1][:10])
+    texts = []
+    for i in range(260):
+        w = list(centres[i % 4])
+        for _ in range(int(rng.integers(0, 9))):
+            w[int(rng.integers(0, len(w)))] = f"n{rng.integers(0, 30)}"
+        texts.append(" ".join(w))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(docs(spark, texts), leaf=16).collect()}
     assert [out[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_nodes_meet_all_they_are_linked_with(spark):
+    """No link is lost by sending a node to the pivots of its first classes alone, and most go to one or two."""
+    rng = np.random.default_rng(26)
+    base = [[f"v{x}" for x in rng.integers(0, 300, 100)] for _ in range(8)]
+    texts = []
+    for i in range(200):
+        w = list(base[i % 8])
+        for _ in range(int(rng.integers(0, 5))):
+            w[int(rng.integers(0, len(w)))] = f"n{rng.integers(0, 9)}"
+        texts.append(" ".join(w))
+    sets = {jaccard_join._name(s): s for s in map(jaccard_join.shingles, texts)}
+    rows = []
+    for name, s in sets.items():
+        marks, needs = jaccard_join.signatures(s)
+        rows.append((name, len(s), marks.view(np.int64).tolist(), needs))
+    unique = spark.createDataFrame(rows, "node long, size long, signatures array<long>, needs array<int>")
+    of = {}
+    for r in jaccard_join.regions(unique).collect():
+        of.setdefault(r.node, set()).add(r.region)
+    for a, b in combinations(sets, 2):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common):
+            assert of[a] & of[b]
+    assert sum(map(len, of.values())) < 3 * len(sets)
+
+
 def test_join_of_odd_tables(spark):
     assert jaccard_join.joined(docs(spark, [])).count() == 0
     assert sorted(tuple(r) for r in jaccard_join.joined(docs(spark, ["a b c"] * 3, [5, 5, None])).fillna(-1).collect()) == [(-1, 1, 5), (5, 1, 5), (5, 1, 5)]

@@ -23,7 +23,7 @@ def test_pipeline(spark, sf_dir):
             assert set(ids) == {r.doc_id for r, x, s in zip(before, langs, scores) if x != "und" and s >= corpus_pipeline.LEAST_SCORE}
         elif name == "ngram_jaccard_join":
             before = sorted(before, key=lambda r: r.doc_id)
-            assert sorted(ids) == [r.doc_id for i, (r, (_, c)) in enumerate(zip(before, brute_components([r.text for r in before]))) if c == i]
+            assert sorted(ids) == [r.doc_id for i, (r, (_, c)) in enumerate(zip(before, brute_components([r.text for r in before], 5, 80))) if c == i]
         elif name == "benchmark_decontamination":
             assert set(ids) == {r.doc_id for r in before if not brute_hits(r.text, items)[1]}
         elif name == "source_mixing":
