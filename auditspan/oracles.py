@@ -9,8 +9,8 @@ findings AS (
          CASE e.event_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
          k AS line_start, (k + e.event_id % 5)::INT AS line_end, e.event_id % 97 = 0 AS parse_error,
          CASE WHEN e.event_id % 5 = 0 THEN 'evidence that is not in the text' ELSE substring(d.text, (1 + e.event_id * 37 % 120)::INT, 40) END AS evidence,
-         substring(d.text, 1, 80) AS finding, (e.event_id % 500)::INT AS vec_id
-  FROM (SELECT *, json_extract_string(props, '$.k')::INT % 12 AS k FROM events) e JOIN documents d ON d.doc_id = e.user_id
+         substring(d.text, 1, 80) AS finding, nth + nth // 9 + 1 AS vec_id
+  FROM (SELECT *, json_extract_string(props, '$.k')::INT % 12 AS k, event_id % nullif((SELECT count(*) FROM embeddings WHERE vec_id % 10 <> 0), 0) AS nth FROM events) e JOIN documents d ON d.doc_id = e.user_id
 )"""
 MERGED = """
 , merged AS (
@@ -64,7 +64,7 @@ L15 = f"""
 KNN = """
 , nearest AS (
   SELECT q.vec_id, min({'d': round(list_cosine_distance(q.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6), 's': s.vec_id}) AS m
-  FROM embeddings q, embeddings s WHERE q.vec_id < 500 AND q.vec_id % 10 <> 0 AND s.vec_id % 10 = 0 GROUP BY q.vec_id
+  FROM embeddings q, embeddings s WHERE q.vec_id % 10 <> 0 AND s.vec_id % 10 = 0 GROUP BY q.vec_id
 )"""
 L2 = """
 , l2 AS (
@@ -76,7 +76,7 @@ SAST = """
 , sast AS (
   SELECT l_orderkey * 10 + l_linenumber AS sast_pos, 'u' || ((l_orderkey // 20) % (SELECT max(user_id) + 1 FROM events)) AS file, 'rule-' || l_returnflag || l_linestatus AS rule_id,
          l_linenumber * 3 AS line_start, l_linenumber * 3 + trunc(l_quantity)::INT % 4 AS line_end
-  FROM lineitem WHERE l_orderkey % 20 = 0
+  FROM lineitem
 )"""
 
 
@@ -171,7 +171,7 @@ def _depth3() -> str:
       FROM front{d} f LEFT JOIN level l ON l.callee = f.callee AND l.arg_index = f.arg_index LEFT JOIN (SELECT DISTINCT callee FROM calls) c ON c.callee = f.callee GROUP BY ALL"""
     return (
         f"WITH {CALLS}, level AS (SELECT callee, arg_index, origin, count(*) AS n FROM calls GROUP BY ALL), onward AS (SELECT callee, arg_index, caller, (caller % 2)::INT AS param_index, count(*) AS n FROM calls WHERE origin = 'variable' GROUP BY ALL)"
-        ", front0 AS (SELECT DISTINCT callee AS root, arg_index AS root_index, callee, arg_index, 1 AS paths FROM calls WHERE callee % 10 = 0)"
+        ", front0 AS (SELECT DISTINCT callee AS root, arg_index AS root_index, callee, arg_index, 1 AS paths FROM calls)"
         + "".join(level.format(c=d - 1, d=d) for d in (1, 2, 3))
         + " ".join((" UNION ALL " if d else " ") + found.format(d=d) for d in range(3))
         + " UNION ALL SELECT root, root_index, 3, 'max_depth_reached', sum(paths)::BIGINT FROM front3 GROUP BY ALL"
@@ -184,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
     l2 = l15 + KNN + L2
     full = l2 + SAST + _crossed("l2", "status2") + _listed("crossed", "status2", "reason2") + SCORED
     staged = "WITH " + FINDINGS + MERGED + f", staged AS (SELECT *, {STAGE} AS stage, CASE WHEN pos % 13 = 0 THEN 'adversarial' ELSE 'checklist' END AS finding_type FROM merged)"
-    two = "WITH " + FINDINGS + ", rep AS (SELECT *, coalesce(checklist_item, '?') AS i, floor(line_start / 10) AS b, CASE pos % 3 WHEN 0 THEN 'old' ELSE 'new' END AS side FROM findings WHERE pos % 3 < 2)"
+    two = "WITH " + FINDINGS + ", rep AS (SELECT *, coalesce(checklist_item, '?') AS i, floor(line_start / 10) AS b, CASE pos % 3 WHEN 0 THEN 'old' ELSE 'new' END AS side FROM findings)"
     return {
         "consensus_merge": "WITH " + FINDINGS + MERGED + " SELECT chunk_id, coalesce(checklist_item, 'none') AS item, floor(line_start / 10)::BIGINT AS bucket, pos, severity, runs_agreed, total_runs, consensus FROM merged",
         "l1_rule_cascade": l1 + " SELECT pos, file, status1 AS triage_status, reason1 AS triage_reason FROM passed",
@@ -208,12 +208,12 @@ def oracle_sql() -> dict[str, str]:
         "verdict_tallies": "WITH " + FINDINGS + "," + VERDICTS + " SELECT count(*) AS raw, count(*) FILTER (verdict = 'confirmed') AS confirmed, count(*) FILTER (verdict = 'false_positive') AS suppressed, count(DISTINCT (file, segment)) AS segments FROM rows LEFT JOIN last USING (file, segment, idx)",
         "grep_lines": f"WITH {LINES} SELECT file, line_no, substring(trim(line), 1, 160) AS line FROM lines WHERE regexp_matches(line, '[0-9]+[a-z]|token|License')",
         "grep_first_hits": f"WITH {LINES} SELECT file, line_no, substring(trim(line), 1, 160) AS line FROM lines WHERE regexp_matches(line, 'token|License') ORDER BY file, line_no LIMIT 40",
-        "read_file_slice": "SELECT 'u' || doc_id AS file, array_to_string(string_split(text, chr(10))[1:5], chr(10)) AS text FROM documents",
+        "read_file_slice": "SELECT 'u' || doc_id AS file, array_to_string(string_split(text, chr(10))[1:400], chr(10)) AS text FROM documents",
         "symbol_definition": f"WITH {CODE}, sym AS (SELECT *, regexp_extract(line, '\\b(?:function|const|class|type|interface)\\s+([A-Za-z_]\\w*)', 1) AS symbol FROM code), first AS (SELECT symbol, min({{'f': file, 'l': line_no}}) AS a FROM sym WHERE symbol <> '' GROUP BY symbol) SELECT symbol, a.f AS file, a.l AS line_no, string_agg(line, chr(10) ORDER BY c.line_no) AS snippet FROM first JOIN code c ON c.file = a.f AND c.line_no >= a.l AND c.line_no < a.l + 6 GROUP BY ALL",
         "context_window": f"WITH {CODE} SELECT file, line_no, array_to_string(list(line) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 2 FOLLOWING), chr(10)) AS context FROM code",
         "numbered_lines": f"WITH {LINES} SELECT file, string_agg(printf('%4d | ', line_no) || line, chr(10) ORDER BY line_no) AS numbered FROM lines GROUP BY file",
         "doc_sections": f"WITH {LINES}{SECTIONS} SELECT file, section, substring(text, 1, 2000) AS text FROM sectioned WHERE length(text) >= 80",
-        "doc_excerpt_argmax": f"WITH {LINES}{SECTIONS}, sec AS (SELECT file, section, substring(text, 1, 2000) AS text FROM sectioned WHERE length(text) >= 20 AND file LIKE '%5'), chunk AS (SELECT conv_id || ':' || turn AS chunk_id, list_filter({_KEYWORDS}, lambda w: contains(lower(text), w)) AS kw FROM conversations), scored AS (SELECT chunk_id, file, section, text, len(list_filter(kw, lambda w: contains(lower(text), w)))::INT AS score FROM chunk, sec) SELECT chunk_id, file, section, score, substring(text, 1, 500) AS excerpt FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, file, section) = 1",
+        "doc_excerpt_argmax": f"WITH {LINES}{SECTIONS}, sec AS (SELECT kw, min({{'file': file, 'section': section, 'excerpt': substring(text, 1, 500)}}) AS f FROM (SELECT file, section, substring(text, 1, 2000) AS text, list_filter({_KEYWORDS}, lambda w: contains(lower(substring(text, 1, 2000)), w)) AS kw FROM sectioned WHERE length(text) >= 20) GROUP BY kw), chunk AS (SELECT conv_id || ':' || turn AS chunk_id, list_filter({_KEYWORDS}, lambda w: contains(lower(text), w)) AS asked FROM conversations), best AS (SELECT asked, arg_max(f, {{'s': score, 'b': -place}}) AS f, max(score) AS score FROM (SELECT asked, f, len(list_intersect(asked, kw))::INT AS score, row_number() OVER (ORDER BY f) AS place FROM (SELECT DISTINCT asked FROM chunk), sec) WHERE score > 0 GROUP BY asked) SELECT chunk_id, f.file AS file, f.section AS section, score, f.excerpt AS excerpt FROM chunk JOIN best USING (asked)",
         "hunk_ranges": f"WITH {DIFF} SELECT file, first, last FROM hunk",
         "focus_notes": f"WITH {DIFF} SELECT file, 'Focus on changed lines: ' || string_agg(CASE WHEN first = last THEN first::VARCHAR ELSE first || '-' || last END, ', ' ORDER BY first, last) AS note FROM (SELECT DISTINCT * FROM hunk) WHERE file LIKE '%.ts' OR file LIKE '%.tsx' GROUP BY file",
         "jaccard_pairs": f"SELECT conv_id, turn, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END, 4)::DOUBLE AS similarity FROM (SELECT a.conv_id, a.turn, list_distinct(list_filter(string_split(lower({_flat('a.text')}), ' '), lambda w: w <> '')) AS x, list_distinct(list_filter(string_split(lower({_flat('b.text')}), ' '), lambda w: w <> '')) AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)",
@@ -224,7 +224,7 @@ def oracle_sql() -> dict[str, str]:
         "call_graph": f"WITH {CODE}{OWNED}{CALLED} SELECT DISTINCT c.file, o.name AS src, t.name AS dst FROM called c JOIN owned o ON o.file = c.file AND c.line_no BETWEEN o.start_line AND o.end_line JOIN owned t ON t.file = c.file AND t.name = c.callee WHERE o.name <> t.name",
         "cross_file_call_sites": f"WITH {CODE}{OWNED}{CALLED}, target AS (SELECT name, min(file) AS target FROM owned GROUP BY name), site AS (SELECT c.file AS caller_file, o.name AS caller, c.line_no, target AS callee_file, callee FROM called c JOIN target ON name = callee JOIN owned o ON o.file = c.file AND c.line_no BETWEEN o.start_line AND o.end_line) SELECT site.*, unnest([0, 1, 2]) AS arg_index, unnest(['key', '''fixed''', 'data']) AS arg FROM site",
         "callers_depth3": _depth3(),
-        "call_components": f"WITH RECURSIVE {CALLS}, node AS (SELECT DISTINCT caller AS n FROM calls), edge AS (SELECT caller AS a, callee AS b FROM calls SEMI JOIN node ON node.n = calls.callee WHERE origin = 'variable' AND pos % 9 = 0), both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge), reach AS (SELECT n AS a, n AS b FROM node UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a",
+        "call_components": f"WITH RECURSIVE {CALLS}, node AS (SELECT DISTINCT caller AS n FROM calls), edge AS (SELECT caller AS a, callee AS b FROM calls SEMI JOIN node ON node.n = calls.callee WHERE origin = 'variable'), both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge), reach AS (SELECT n AS a, n AS b FROM node UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a",
         "file_segments": f"WITH cut AS (SELECT 'u' || doc_id AS file, string_split(text, chr(10)) AS l FROM documents), step AS (SELECT *, CASE WHEN len(l) <= 20 THEN len(l) ELSE 8 END AS n FROM cut), part AS (SELECT *, unnest(range(0, (len(l) + n - 1) // n)) AS segment FROM step) SELECT file, segment::INT AS segment, (segment * n + 1)::INT AS line_start, least(len(l), segment * n + n)::INT AS line_end, array_to_string(l[segment * n + 1:segment * n + n], chr(10)) AS text FROM part",
         "chunk_sast_overlap": "WITH " + FINDINGS + SAST + ", chunk AS (SELECT chunk_id, file, min(line_start) AS a, max(line_end) AS z FROM findings GROUP BY ALL) SELECT chunk_id, 'src/' || c.file AS file, rule_id, s.line_start FROM chunk c JOIN sast s ON s.file = c.file AND s.line_start <= z AND s.line_end >= a",
         "sast_rule_algebra": f"WITH {CODE}{OWNED}, counted AS (SELECT DISTINCT o.* FROM owned o JOIN code c ON c.file = o.file AND c.line LIKE '%const count%' AND c.line_no BETWEEN start_line AND end_line) SELECT 'short-random-value' AS rule_id, file, line_no AS line_start, line_no AS line_end, 'WARNING' AS severity FROM code c WHERE (line LIKE '%new Uint8Array(12)%' OR line LIKE '%deriveKey(%') AND EXISTS (SELECT 1 FROM owned o WHERE o.file = c.file AND line_no BETWEEN start_line AND end_line) AND NOT EXISTS (SELECT 1 FROM counted o WHERE o.file = c.file AND line_no BETWEEN start_line AND end_line)",
@@ -236,9 +236,10 @@ def oracle_sql() -> dict[str, str]:
 def _traces() -> str:
     origins = " ".join(f"WHEN line LIKE '%const {v} =%' THEN '{o}'" for v, o in (("iv", "crypto_random"), ("salt", "derived"), ("count", "hardcoded"), ("out", "computed"), ("k2", "derived")))
     vias = " ".join(f"WHEN line LIKE '%const {v} =%' THEN '{o}'" for v, o in (("iv", "crypto.getRandomValues"), ("salt", "hkdf"), ("count", "42"), ("out", "crypto.subtle.encrypt"), ("k2", "crypto.subtle.deriveKey")))
-    return rf"""WITH {CODE}, wide AS (
-  SELECT *, array_to_string(list(line) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 2 FOLLOWING), chr(10)) AS c1, array_to_string(list(line) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 4 FOLLOWING), chr(10)) AS c2,
-    array_to_string(list(line) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 8 PRECEDING AND 2 FOLLOWING), chr(10)) AS c3, first_value(line) OVER (PARTITION BY file ORDER BY line_no) AS l1 FROM code
+    return rf"""WITH {CODE.replace("code AS (", "code AS MATERIALIZED (")}, wide AS MATERIALIZED (
+  SELECT c.file, c.line_no, c.line, (SELECT f.line FROM code f WHERE f.file = c.file AND f.line_no = 1) AS l1,
+    string_agg(a.line, chr(10) ORDER BY a.line_no) FILTER (a.line_no <= c.line_no + 2) AS c1, string_agg(a.line, chr(10) ORDER BY a.line_no) AS c2, string_agg(a.line, chr(10) ORDER BY a.line_no) FILTER (a.line_no BETWEEN c.line_no - 8 AND c.line_no + 2) AS c3
+  FROM code c JOIN code a ON a.file = c.file AND a.line_no BETWEEN c.line_no - 10 AND c.line_no + 4 WHERE c.line LIKE '%subtle.encrypt(%' OR c.line LIKE '%subtle.deriveKey(%' GROUP BY c.file, c.line_no, c.line
 ), t AS (
   SELECT file, line_no, l1, 'encrypt' AS operation, 'iv' AS role, CASE WHEN regexp_extract(c1, '\biv\s*:\s*(\w+)', 1) <> '' THEN regexp_extract(c1, '\biv\s*:\s*(\w+)', 1) ELSE 'unknown' END AS var, regexp_extract(c3, 'name\s*:\s*[''"](\w[\w-]*)[''"]', 1) AS algorithm FROM wide WHERE line LIKE '%subtle.encrypt(%'
   UNION ALL SELECT file, line_no, l1, 'encrypt', 'key', CASE WHEN regexp_extract(line, '(?:encrypt|decrypt|wrapKey|unwrapKey)\s*\([^,]+,\s*(\w+)', 1) <> '' THEN regexp_extract(line, '(?:encrypt|decrypt|wrapKey|unwrapKey)\s*\([^,]+,\s*(\w+)', 1) ELSE 'unknown' END, regexp_extract(c3, 'name\s*:\s*[''"](\w[\w-]*)[''"]', 1) FROM wide WHERE line LIKE '%subtle.encrypt(%'
