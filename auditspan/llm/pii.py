@@ -70,26 +70,61 @@ BASE = KINDS[:4]
 #: Added spans need this score; an ssn-like number reaches it only by a context word.
 LEAST_SCORE = 0.5
 CONTEXT, BONUS = 40, 0.2
+#: Offsets are added up in runs of so many matches.
+RUN = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def spans(text: Column, kind: Kind) -> Column:
     """The confirmed, non-overlapping matches of one kind, leftmost first, with their scores.
 
-    A regex split gives the gaps between the matches and regexp_extract_all the matches; adding lengths up gives the offsets."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.transform(F.split(text, kind.pattern, -1), F.char_length)
-    steps = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    A regex split gives the gaps between the matches and regexp_extract_all the matches; adding lengths up gives the offsets. Lengths are
+    added up in runs of RUN matches and then over the runs, and contexts are put together from the ends of nearby gaps, so the work is
+    linear in the text, however many matches it has."""
+    none = F.array().cast(SPAN)
+
+    def pieces(found: Column) -> Column:
+        piece = lambda g, m: F.struct(F.left(g, F.lit(CONTEXT // 2)).alias("head"), F.right(g, F.lit(CONTEXT)).alias("tail"), m.alias("match"), F.char_length(g).alias("gap"), F.coalesce(F.char_length(m), F.lit(0)).alias("size"))
+        return F.zip_with(F.split(text, kind.pattern, -1), found, piece)
 
-    def step(a: Column, x: Column) -> Column:
-        start = (a["at"] + x["gap"]).cast("int")
-        end = (start + F.char_length(x["match"])).cast("int")
-        near = F.lower(F.concat(F.substring(text, F.greatest(F.lit(1), start - CONTEXT + 1), start - F.greatest(F.lit(0), start - CONTEXT)), F.lit(" "), F.substring(text, end + 1, F.lit(CONTEXT // 2))))
-        score = F.round(F.when(near.rlike(kind.words), F.least(F.lit(1.0), F.lit(kind.score + BONUS))).otherwise(F.lit(kind.score)), 2)
-        kept = F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), score.alias("score"))))
-        return F.when(x["match"].isNull(), a).otherwise(F.struct(end.alias("at"), F.when(kind.confirm(x["match"]), kept).otherwise(a["out"]).alias("out")))
+    def judged(steps: Column) -> Column:
+        """(gap, size, score) of each step; score is null if there is no match or it isn't confirmed."""
 
-    none = F.array().cast(SPAN)
-    out = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+        def judge(x: Column, i: Column) -> Column:
+            # A match has five characters at least, so eight steps before and four after hold the context.
+            past = F.transform(F.slice(steps, F.greatest(F.lit(1), i - 7), F.least(i, F.lit(8))), lambda y: F.concat(y["tail"], y["match"]))
+            to_come = F.transform(F.slice(steps, i + 2, F.lit(5)), lambda y: F.concat(y["head"], F.coalesce(y["match"], F.lit(""))))
+            before = F.right(F.concat(F.array_join(past, ""), x["tail"]), F.lit(CONTEXT))
+            near = F.lower(F.concat(before, F.lit(" "), F.left(F.array_join(to_come, ""), F.lit(CONTEXT // 2))))
+            score = F.round(F.when(near.rlike(kind.words), F.least(F.lit(1.0), F.lit(kind.score + BONUS))).otherwise(F.lit(kind.score)), 2)
+            return F.struct(x["gap"].alias("gap"), x["size"].alias("size"), F.when(x["match"].isNotNull() & kind.confirm(x["match"]), score).alias("score"))
+
+        return F.transform(steps, judge)
+
+    def placed(rated: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(rated) - 1) / RUN).cast("int")), lambda k: F.slice(rated, k * RUN + 1, F.lit(RUN)))
+        length = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["gap"] + x["size"])
+
+        def offsets(runs: Column) -> Column:
+            first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+            step = lambda a, run: F.struct((a["at"] + length(run)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all"))
+            return F.aggregate(runs, first, step, lambda a: a["all"])
+
+        def within(run: Column, start: Column) -> Column:
+            def step(a: Column, x: Column) -> Column:
+                at = a["at"] + x["gap"]
+                span = F.struct(at.alias("start"), (at + x["size"]).alias("end"), x["score"].alias("score"))
+                return F.struct((at + x["size"]).alias("at"), F.when(x["score"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(span))).alias("out"))
+
+            return F.aggregate(run, F.struct(start.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+        return _let(runs, lambda r: F.flatten(F.zip_with(r, offsets(r), within)))
+
+    out = _let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(_let(pieces(found), lambda s: _let(judged(s), placed))))
     if kind not in BASE:
         out = F.filter(out, lambda s: s["score"] >= LEAST_SCORE)
     return F.when(F.contains(text, F.lit(kind.sign)), out).otherwise(none) if kind.sign else out

@@ -229,6 +229,17 @@ def test_pii_spans_equal_plain_regexes(spark):
     assert clean == ["to [email] now", None, "x"] and pii.pii_report(docs(spark, [])).count() == 0
 
 
+def test_pii_of_a_text_with_many_matches(spark):
+    """Offsets and contexts past several runs of matches, and a hundred thousand matches in one text."""
+    few = "".join(f"{'mail' if i % 3 else ''} x{i}@y{i % 7}.de{' ' * (i % 50)}" for i in range(1500))
+    r = pii.pii_report(docs(spark, [few, "a@b.cd " * 100_000])).orderBy("doc_id").collect()
+    plain = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", few)]
+    word = re.compile("mail|contact|write|kontakt|correo|courriel")
+    near = [bool(word.search(few[max(0, a - 40):a] + " " + few[b:b + 20])) for a, b in plain]
+    assert r[0].spans == ",".join(f"email:{a}:{b}" for a, b in plain) and r[0].scores == ",".join("1.00" if x else "0.80" for x in near)
+    assert r[1].n_email == 100_000 and r[1].spans.endswith("email:699993:699999")
+
+
 # Secrets
 
 
