@@ -18,12 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lean(spark: SparkSession) -> SparkSession:
     """The session, with Arrow batches of fewer rows: texts are long, and Python workers hold a batch and what they make of it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     return spark
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A hint to broadcast df if a count shows at most `rows` rows, else df itself, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: What is broadcast has so many bytes at most, written as JSON, which is longer than in memory for all but short strings.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A hint to broadcast df if it is seen to have at most `rows` rows and `most` bytes, else df itself, for a shuffled join."""
+    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= rows and (seen["bytes"] or 0) <= most else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -1,6 +1,7 @@
 """A two-pass external shuffle into shards.
 
-Pass one scatters the records uniformly over memory-sized buckets by a seeded hash; pass two shuffles each bucket by Fisher-Yates.
+Pass one scatters the records uniformly over memory-sized buckets by a seeded hash of the whole row and of its number among equal rows;
+pass two shuffles each bucket by Fisher-Yates.
 The buckets end to end are one random order of all records, which is cut into shards whose counts differ by one at most (law `rows`).
 """
 
@@ -30,39 +31,47 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return np.random.default_rng(seed).permutation(n)
 
 
-def _scatter(docs: DataFrame, keys: list[Column], buckets: int, seed: int) -> Column:
-    """The bucket of a record. The hash covers the whole key, so copies of one text with ids of their own spread out."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(buckets)).cast("int")
+def _numbered(docs: DataFrame, number: str) -> DataFrame:
+    """docs with a number from 0 that tells equal rows apart. Rows are counted by hash first, and only those of repeated hashes are brought together, as counts."""
+    digest, n = fresh(docs, "_hash", "_count")
+    hashed = docs.withColumn(digest, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    repeated = written(hashed.groupBy(digest).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(digest))
+    if repeated.isEmpty():
+        return docs.withColumn(number, F.lit(0).cast("long"))
+    repeated = small(repeated, 500_000)
+    counted = hashed.join(repeated, digest, "left_semi").groupBy(*(F.col(f"`{c}`") for c in docs.columns)).agg(F.count(F.lit(1)).alias(n))
+    copies = counted.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))).drop(n)
+    return hashed.join(repeated, digest, "left_anti").drop(digest).withColumn(number, F.lit(0).cast("long")).unionByName(copies)
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text: str = "text", size: Column | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with shard (int) and slot (long, from 0 without gaps in each shard).
 
-    The order depends on seed, ids, texts and the bucket size alone, not on how Spark partitions docs. Null ids and texts hash like any value;
-    equal rows are interchangeable; an empty table stays empty. Extra columns named shard or slot give way.
+    The order depends on the seed, the rows and the bucket size alone, not on how Spark partitions docs or on how many cores there are.
+    Null ids and texts hash like any value; equal rows are numbered and scatter like others; an empty table stays empty. A text of any length
+    is one record. Extra columns named shard or slot give way, and other names don't matter.
     A lost executor's buckets are made again the same, since each bucket is sorted before it is shuffled."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "slot")])
-    weight = record_size(F.col(text)) if size is None else size
-    total = docs.agg(F.sum(weight).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    total = docs.agg(F.sum(record_size(F.col(text))).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     rows = int(total["rows"])
-    buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-int(total["bytes"] or 0) // bucket_bytes))
-    bucket, digest, before = fresh(docs, "_bucket", "_digest", "_before")
-    keys = [F.col(id_col), F.col(text)]
-    placed = docs.withColumn(digest, F.xxhash64(F.lit(seed + 1), *keys)).withColumn(bucket, _scatter(docs, keys, buckets, seed))
+    buckets = max(shards, -(-int(total["bytes"] or 0) // bucket_bytes))
+    bucket, digest, before, number = fresh(docs, "_bucket", "_digest", "_before", "_number")
+    key = [*(F.col(f"`{c}`") for c in docs.columns), F.col(number)]
+    placed = _numbered(docs, number).withColumn(digest, F.xxhash64(F.lit(seed + 1), *key)).withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).cast("int"))
 
-    counts = placed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))  # a row for each bucket
+    counts = written(placed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")))  # a row for each bucket
     starts = counts.select(bucket, (F.sum("_n").over(Window.orderBy(bucket)) - F.col("_n")).alias(before))
     joined = placed.join(small(starts, 100_000), bucket)
     out = StructType([*(StructField(f.name, f.dataType, True) for f in docs.schema), StructField("shard", IntegerType()), StructField("slot", LongType())])
 
     def shuffle(key: tuple, part: pa.Table) -> pa.Table:
-        part = part.sort_by([(digest, "ascending"), (id_col, "ascending")])
+        part = part.sort_by([(digest, "ascending"), (number, "ascending")])
         n, start = part.num_rows, part.column(before)[0].as_py()
         part = part.take(pa.array(fisher_yates(n, [seed, key[0].as_py()])))
         at = np.arange(start, start + n, dtype=np.int64)
         shard = at * shards // rows
         slot = at - -(-shard * rows // shards)  # less the first place of its shard
-        part = part.drop_columns([bucket, digest, before])
+        part = part.drop_columns([bucket, digest, before, number])
         return part.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(slot))
 
     return joined.groupBy(bucket).applyInArrow(shuffle, out)
