@@ -1,6 +1,7 @@
 """Corpus operators against brute force and their edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import math
 import html
 import re
 import zlib
@@ -62,6 +63,84 @@ def test_extraction_of_odd_pages(spark):
     assert site_tree.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_the_tree_finds_boilerplate_that_nothing_names(spark):
+    """Pages without articles or telling classes: only what repeats over a site's pages tells its frame from the texts."""
+    page = "<body><div><p>Home of all our offers and pages</p></div><div><h2>Story {0}</h2><p>What happened on day {0}, told by number {1}.</p></div><div><p>Imprint and rights of the house</p></div></body>"
+    few = "<body><section><p>Welcome to a site of two pages</p></section><div><p>Text {0}</p></div></body>"
+    pages = [(i, "http://a.example/x", page.format(i, i * 7)) for i in range(40)] + [(100 + i, "http://b.example/", few.format(i)) for i in range(2)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in site_tree.extracted(rows).collect()}
+    # The three boxes of the first site are one node of its tree, whose paragraphs do differ; the second site's frame is a node of its own.
+    assert out[100] == "Text 0" and out[101] == "Text 1"
+    named = [(i, u, h.replace("<div><p>Home", "<div class=x><p>Home").replace("<div><p>Imprint", "<div class=y><p>Imprint")) for i, u, h in pages]
+    rows = spark.createDataFrame(named, "page_id long, url string, html string")
+    for most in (1 << 20, -1):  # unimportant nodes broadcast, and joined by (host, node)
+        out = {r.page_id: r.text for r in site_tree.extracted(rows, most_bytes=most).collect()}
+        assert out[3] == "Story 3 What happened on day 3, told by number 21." and out[101] == "Text 1"
+    assert site_tree.main_text(named[3][2], set()) != out[3] and "Home of all" in site_tree.main_text(named[3][2], set())
+
+
+def plain_importances(pages):
+    """{(host, path): (pages, importance)} from the leaves up, by the definition."""
+    seen, runs, texts = Counter(), defaultdict(Counter), defaultdict(lambda: defaultdict(list))
+    kids, names = defaultdict(set), {}
+    for host, page in pages:
+        nodes, blocks, links = site_tree.parse(page)
+        for n in nodes[1:]:
+            kids[host, n.parent.key].add((host, n.key))
+            names[host, n.key] = n.kind
+        for key in {n.key for n in nodes[1:]}:
+            seen[host, key] += 1
+            for run in {" ".join(n.kinds) for n in nodes if n.key == key}:
+                runs[host, key][run] += 1
+        for (key, text), n in Counter((n.key, t) for n, t in (*blocks, *links)).items():
+            texts[host, key][text].append(n)
+
+    def entropy(counts):
+        return -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts)
+
+    def importance(x):
+        m = math.log(seen[x])
+        if seen[x] == 1:
+            return 1.0
+        if texts[x]:
+            return 1 - sum(map(entropy, texts[x].values())) / len(texts[x]) / m
+        keep, total, below = 0.9 ** len(runs[x]), sum(runs[x].values()), 0.0
+        for run, n in runs[x].items():
+            for kind in run.split():
+                child = next(c for c in kids[x] if names[c] == kind)
+                below += n / total * importance(child) / len(run.split())
+        return (1 - keep) * entropy(runs[x].values()) / m + keep * below
+
+    return {x: (seen[x], importance(x)) for x in seen}
+
+
+def test_importances_equal_the_plain_definition(spark):
+    rng = np.random.default_rng(3)
+    tags = ["div", "p class=a", "p class=b", "ul", "li", "section", "a href=/x"]
+
+    def page(depth=0):
+        if depth > 4 or rng.random() < 0.3:
+            return f"t{rng.integers(0, 4)}"
+        return "".join(f"<{(t := tags[rng.integers(0, 7)])}>{page(depth + 1)}</{t.split()[0]}>" for _ in range(rng.integers(1, 4)))
+
+    pages = [(f"h{i % 3}", f"<body>{page()}</body>") for i in range(60)] + [("once", "<body><p>x</p></body>")]
+    rows = spark.createDataFrame([(f"http://{h}/", p) for h, p in pages], "url string, html string")
+    out = {(r.host, r.node): (r.pages, r.importance) for r in site_tree.importances(site_tree.tree_counts(rows)).collect()}
+    want = plain_importances(pages)
+    assert out.keys() == want.keys() and all(out[k][0] == want[k][0] and out[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+
+
+def test_roles_of_wrappers_and_deep_nests(spark):
+    body = "<body class='has-sidebar header-fixed'><form id=aspnetForm><div class=content><p>one two three</p></div><div class=sidebar>s</div></form></body>"
+    teaser = "<div><p>" + "long text " * 30 + "</p></div><div><article>teaser</article></div>"
+    boxed = "<article class='share-box'><p>main words of it</p></article><aside><article>t</article></aside>"
+    assert site_tree.main_text(body, set()) == "one two three"
+    assert site_tree.main_text(teaser, set()).startswith("long text") and site_tree.main_text(boxed, set()) == "main words of it"
+    assert site_tree.main_text("<p>the story of the day</p><aside><article>t</article></aside><article class=comment>me too</article>", set()) == "the story of the day"
+    assert site_tree.main_text("<div>" * 20_000 + "deep", set()) == "deep" and max(n.depth for n in site_tree.parse("<div>" * 2_000)[0]) == site_tree.DEEPEST
+
+
 # Language ID
 
 
