@@ -192,7 +192,9 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model of the rows of docs that have an id, a text and a language. With no such row it has no languages and predicts `und`."""
+    """A model of the rows of docs that have an id, a text and a language. With no such row it has no languages and predicts `und`.
+
+    Of rows equal in id and language the least text is in the sample, so the model does not depend on how Spark partitions docs."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id is not null and text is not null and lang is not null")
     # A language's least hashes: those under a bound that some three times as many stay under, and of them the first.
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
@@ -201,7 +203,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     first = Window.partitionBy("lang").orderBy(place, "id")
     ids = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= ROWS_PER_LANG).select("id", "lang")
     ids = written(ids)  # ROWS_PER_LANG rows a language
-    sample = written(rows.join(F.broadcast(ids), ["id", "lang"]).dropDuplicates(["id", "lang"]))
+    sample = written(rows.join(F.broadcast(ids), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")))
     langs = sorted(r.lang for r in ids.select("lang").distinct().collect())
     if not langs:
         return Model([], np.zeros((SIZE + 1, 0)), np.zeros(SIZE), 1.0)

@@ -1,7 +1,8 @@
 """License notices found by patience alignment of a text with templates.
 
 Words that occur once in both stretches are anchors; their longest increasing subsequence is kept, and the gaps between are aligned
-the same way. Coverage is the share of a template's words that are aligned, each word weighed by how few templates have it.
+the same way. Coverage is the share of a template's words that are aligned, each word weighed by how few templates have it. A notice
+must have the words that tell its license from its like aligned, such as the version, and none of its relatives' within.
 Each row is scanned whole and alone, so the job has no shuffle.
 """
 
@@ -15,18 +16,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: The notices looked for.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "Licensed under CC BY 4.0",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "mit": "Released under the MIT License",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
+from .license_texts import BARRED, NEEDED, TEXTS, telling
+
 LEAST_COVERAGE = 0.8
+#: A notice is a stretch of so many times its template's words, and so many more, at most: words further apart are not one notice.
+SPREAD, SLACK = 2.0, 20
 WORD = re.compile(r"\w+")
 
 
@@ -74,9 +68,11 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Templates made ready. A window of the text is aligned only if it has words enough of the template to reach the coverage: that test is exact."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE):
+    def __init__(self, templates: dict[str, str] = TEXTS, least: float = LEAST_COVERAGE):
         self.least = least
         self.words = {name: WORD.findall(t.lower()) for name, t in templates.items()}
+        self.needed = {name: telling(name, NEEDED) & set(ws) for name, ws in self.words.items()}
+        self.barred = {name: telling(name, BARRED) - set(ws) for name, ws in self.words.items()}
         having = Counter(w for ws in self.words.values() for w in set(ws))
         self.weights = {name: [1 / having[w] for w in ws] for name, ws in self.words.items()}
         self.worth = {name: Counter() for name in self.words}
@@ -91,13 +87,13 @@ class Scanner:
         for name, template in self.words.items():
             worth, total = self.worth[name], sum(self.weights[name])
             need = self.least * total - 1e-9
-            if sum(worth[w] for w in worth.keys() & present) >= need:
+            if self.needed[name] <= present and sum(worth[w] for w in worth.keys() & present) >= need:
                 found += self._windows(words, name, template, worth, total, need)
         return len(words), sorted(found)
 
     def _windows(self, words: list[str], name: str, template: list[str], worth: Counter, total: float, need: float) -> list[tuple[int, int, str, float]]:
         hits = [i for i, w in enumerate(words) if w in worth]
-        reach, out = len(template) + len(template) // 2 + 3, []
+        reach, out = int(len(template) * SPREAD) + SLACK, []
         inside: Counter = Counter()
         have, stop, free = 0.0, 0, 0
         for start in hits:
@@ -108,10 +104,10 @@ class Scanner:
                 stop += 1
             if have >= need and start >= free:
                 window = words[start:hits[stop - 1] + 1]
-                pairs = align(template, window)
-                cover = sum(self.weights[name][i] for i, _ in pairs)
-                if cover >= need:
-                    first, last = start + pairs[0][1], start + pairs[-1][1] + 1
+                pairs = align(template, window) or [(0, 0)]
+                cover = sum(self.weights[name][i] for i, j in pairs if template[i] == window[j])
+                first, last = start + pairs[0][1], start + pairs[-1][1] + 1
+                if cover >= need and self.needed[name] <= {template[i] for i, _ in pairs} and self.barred[name].isdisjoint(words[first:last]):
                     out.append((first, last, name, round(min(1.0, cover / total), 4)))
                     free = last
             w = words[start]
@@ -120,7 +116,7 @@ class Scanner:
         return out
 
 
-def license_report(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
+def license_report(docs: DataFrame, templates: dict[str, str] = TEXTS, least: float = LEAST_COVERAGE) -> DataFrame:
     """(doc_id, n_words, n_notices, license, coverage, notices) of each document.
 
     license is the template of the best coverage, of equals the longest and then the first by name, or empty; notices lists name:start:end:coverage by start.

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditspan.llm import decontaminate, fingerprints, jaccard_join, language_id, licenses, mixing, pii, queries, secret_scan, sharding, site_tree, sql
+from auditspan.llm import decontaminate, fingerprints, jaccard_join, language_id, license_texts, licenses, mixing, pii, queries, secret_scan, sharding, site_tree, sql
 
 from ..helpers import same_as_sql
 
@@ -440,6 +440,23 @@ def test_notices_are_found(spark):
     assert all(out[i].coverage == 0 for i in range(9)) and licenses.license_report(docs(spark, [])).count() == 0
 
 
+def test_every_template_is_found_as_itself(spark):
+    """Whole texts, also as comments with words of their own between the lines, give their own license and no relative's."""
+    names = sorted(license_texts.TEXTS)
+    plain = [f"intro words {license_texts.TEXTS[n]} and code" for n in names]
+    lines = [" ".join(f"{w} x{i} #" if i % 9 == 8 else w for i, w in enumerate(license_texts.TEXTS[n].split())) for n in names]
+    out = {r.doc_id: r for r in licenses.license_report(docs(spark, plain + lines)).collect()}
+    for i, n in enumerate(names):
+        assert out[i].license == n and out[i].coverage == 1.0, (n, out[i].notices)
+        assert out[len(names) + i].license == n, (n, out[len(names) + i].notices)
+
+
+def test_relatives_of_a_license_are_not_it(spark):
+    texts = ["licensed under the GNU General Public License, version 2", "Licensed under CC BY-SA 4.0", "Licensed under CC BY-ND 3.0", "Licensed under CC BY 2.0", "Licensed under the Apache License, Version 1.1", license_texts.TEXTS["lgpl-2.1-header"]]
+    out = [r.license for r in sorted(licenses.license_report(docs(spark, texts)).collect(), key=lambda r: r.doc_id)]
+    assert out == ["gpl-2.0", "cc-by-sa-4.0", "cc-by-nd-3.0", "", "", "lgpl-2.1-header"]
+
+
 def test_alignment():
     a, b = "a b c d e f".split(), "x a c b d q f".split()
     pairs = licenses.align(a, b)
