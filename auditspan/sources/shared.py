@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,3 +28,13 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that `written` made and nothing reads any more, and has the driver's garbage collected, which lets Spark remove the shuffle files of finished steps: intermediate data of a long job don't pile up."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = re.match(r".*/auditspan-[0-9a-f]{32}(?=/)", file)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder[0])
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    spark.sparkContext._jvm.System.gc()
