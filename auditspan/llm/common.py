@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import written  # noqa: F401  the operators take it from here
+from ..sources.shared import dropped, written  # noqa: F401  the operators take it from here
 
 #: Lower-casing of A to Z alone: `lower` would also change letters outside ASCII.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small, written
+from .common import dropped, fresh, small, written
 
 N, PERCENT = 3, 90
 #: A region of so many nodes, with so many shingles in all, is joined in one piece; larger ones are cut into cells, or rings and blocks of this size.
@@ -370,7 +370,8 @@ def regions(unique: DataFrame) -> DataFrame:
         own = enough(marks, bit)
         return F.slice(own, 1, F.greatest(F.lit(0), F.size(own) - F.col("needs")[bit] + 1))
 
-    own = marks.join(small(shared, BROADCAST_ROWS), "mark").groupBy("node").agg(F.collect_list(F.struct("mark")).alias("marks"), F.sum("company").alias("company"))
+    # Shared classes grow with the documents, so they are joined by a shuffle at every size, in which a class of many nodes can be split.
+    own = marks.join(shared.hint("merge"), "mark").groupBy("node").agg(F.collect_list(F.struct("mark")).alias("marks"), F.sum("company").alias("company"))
     about = unique.select("node", "size", "needs")
     own = own.join(about, "node").withColumn("marks", F.concat(enough(F.col("marks"), 0), enough(F.col("marks"), 1)))
     own = written(own.where(F.size("marks") > 0))
@@ -383,17 +384,16 @@ def regions(unique: DataFrame) -> DataFrame:
     return ranked.select(F.explode(chosen).alias("region"), "node", "size")
 
 
-def links(docs: DataFrame, text: str, profile: DataFrame, n: int, percent: int, leaf: int = LEAF) -> DataFrame:
-    """(a, b): nodes whose sets are linked, enough of them to connect all that links connect."""
-    unique = profile.where(F.size("signatures") > 0).groupBy("node").agg(F.first(F.struct(F.col("n_shingles").alias("size"), "signatures", "needs")).alias("x")).select("node", "x.*")
-    met = regions(written(unique))
-    met = written(met)
+def links(docs: DataFrame, text: str, base: DataFrame, unique: DataFrame, n: int, percent: int, leaf: int = LEAF) -> DataFrame:
+    """(a, b): nodes whose sets are linked, enough of them to connect all that links connect. base: (id, node) of each row; unique: a row for each node."""
+    met = written(regions(unique))
+    dropped(unique)
     sizes = met.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("weight")).where("nodes > 1")
     met = written(met.join(small(sizes, BROADCAST_ROWS), "region"))
 
     # The sets of nodes in regions, made again from one text each.
     active = written(met.select("node").distinct())
-    ids = profile.join(small(active, BROADCAST_ROWS), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+    ids = base.join(small(active, BROADCAST_ROWS), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
     chosen = docs.join(small(ids, BROADCAST_ROWS), docs["id"].eqNullSafe(ids["id"]), "left_semi").select(text)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,6 +423,8 @@ def links(docs: DataFrame, text: str, profile: DataFrame, n: int, percent: int,
         named = written(named.join(small(sizes, BROADCAST_ROWS), "region"))
         found = found.union(_leaf_links(named.where(fits).select(F.col("region").alias("group"), "node").join(sets, "node"), percent))
         work, level = named.where(~fits).select("region", "node", "size"), level + 1
+    found = written(found)
+    dropped(sets)
     return found
 
 
@@ -433,8 +435,12 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "d
     A null id is in its component but never names it, unless there is none else; an empty table stays empty. Other columns do not matter."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     profile = written(profiles(narrow, "text", n, percent))
-    of = written(components(links(narrow, "text", profile, n, percent, leaf)))
-    base = profile.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    base = written(profile.select("id", "node", "n_shingles"))
+    first = F.first(F.struct(F.col("n_shingles").alias("size"), "signatures", "needs"))
+    unique = written(profile.where(F.size("signatures") > 0).groupBy("node").agg(first.alias("x")).select("node", "x.*"))
+    dropped(profile)
+    of = written(components(links(narrow, "text", base, unique, n, percent, leaf)))
+    base = base.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")))
     labelled = base.join(small(of, BROADCAST_ROWS), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     out = labelled.join(small(least, BROADCAST_ROWS), "label", "left")
