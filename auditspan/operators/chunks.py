@@ -51,11 +51,61 @@ def checklist_text(items: DataFrame) -> DataFrame:
     return items.groupBy("stage").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("checklist"))
 
 
-def prompts(chunks: DataFrame, checklists: DataFrame) -> DataFrame:
-    """(file, segment, prompt): the text put to a model about each segment. Sections without content are left out."""
+def trace_text(traces: DataFrame) -> DataFrame:
+    """(file, segment, traces): a segment's traced operations as lines, in order. traces: (file, segment, line_no, operation, role, algorithm, origin, origin_line, via)."""
+    via = F.when(F.col("via").isNotNull(), F.concat(F.lit(" via "), "via")).otherwise("")
+    at = F.when(F.col("origin_line") > 0, F.concat(F.lit(" [line "), F.col("origin_line").cast("string"), F.lit("]"))).otherwise("")
+    name = F.when(F.col("algorithm").isNotNull(), F.concat(F.lit(" ("), "algorithm", F.lit(")"))).otherwise("")
+    line = F.concat("operation", name, F.lit(" at line "), F.col("line_no").cast("string"), F.lit(", "), "role", F.lit(": "), F.upper("origin"), via, at)
+    return _listed(traces.withColumn("_line", line), ["line_no", "role", "_line"], "traces")
+
+
+def hint_text(hits: DataFrame, code: int = 150) -> DataFrame:
+    """(file, segment, hints): hits of static analysis as numbered lines with the start of the code. hits: (file, segment, severity, rule_id, line_start, message, matched_code)."""
+    line = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "rule_id", F.lit(" at line "), F.col("line_start").cast("string"), F.lit(": "), "message", F.when(F.coalesce("matched_code", F.lit("")) != "", F.concat(F.lit("\n  code: "), F.substring("matched_code", 1, code))).otherwise(""))
+    return _listed(hits.withColumn("_line", line), ["line_start", "rule_id", "_line"], "hints", numbered_lines=True)
+
+
+def signature_text(found: DataFrame, shown: int = 2) -> DataFrame:
+    """(file, segment, signatures): imported functions with where they are from and their first lines. found: (file, segment, name, target, line_no, params, snippet)."""
+    first = F.array_join(F.transform(F.slice(F.split("snippet", "\n"), 1, shown), lambda x: F.concat(F.lit("  "), F.trim(x))), "\n")
+    line = F.concat("name", F.lit("("), F.array_join("params", ", "), F.lit(") from "), "target", F.lit(":"), F.col("line_no").cast("string"), F.lit("\n"), first)
+    return _listed(found.withColumn("_line", line), ["name", "_line"], "signatures")
+
+
+def caller_text(found: DataFrame) -> DataFrame:
+    """(file, segment, callers): what callers pass for traced parameters, by depth. found: (file, segment, line_no, operation, var, function, depth, origin, n)."""
+    line = F.concat("function", F.lit("("), "var", F.lit(") in "), "operation", F.lit(" at line "), F.col("line_no").cast("string"), F.lit(": "), F.upper("origin"), F.lit(", "), F.col("n").cast("string"), F.lit(" paths, "), F.col("depth").cast("string"), F.lit(" calls further"))
+    return _listed(found.withColumn("_line", line), ["line_no", "function", "var", "depth", "origin", "_line"], "callers")
+
+
+def _listed(rows: DataFrame, order: list[str], name: str, numbered_lines: bool = False) -> DataFrame:
+    lines = F.transform(F.array_sort(F.collect_set(F.struct(*order))), lambda x: x["_line"])
+    lines = F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)) if numbered_lines else lines
+    return rows.groupBy("file", "segment").agg(F.array_join(lines, "\n").alias(name))
+
+
+#: Sections a prompt may have besides the code, by the column that holds their text, with their headings.
+SECTIONS = {"functions": "Functions:", "design": "Design notes:", "traces": "Traces of cryptographic data:", "hints": "Hits of static analysis:", "callers": "Origins of parameters at callers:", "signatures": "Imported signatures:", "focus": "Changed lines:", "examples": "Examples:"}
+ASK = "Report each check that the source fails as an element of a JSON array; [] if it fails none."
+ATTACK = "Report each concrete attack that the source allows as an element of a JSON array with attack_vector, preconditions, impact, exploitability, affected_lines and evidence; [] if there is none."
+
+
+def _assembled(rows: DataFrame, sections: list[str], extra: list, ask: str):
     imports = F.when(F.size("imports") > 0, F.concat(F.lit("Imports in use:\n"), F.array_join("imports", "\n")))
     code = F.concat(F.lit("Source:\n"), numbered(F.split("text", "\n", -1), F.col("line_start")))
     head = F.concat(F.lit("File "), "file", F.lit(", lines "), F.col("line_start").cast("string"), F.lit(" to "), F.col("line_end").cast("string"))
-    checks = F.concat(F.lit("Checks:\n"), "checklist")
-    ask = F.lit("Report each check that the source fails as an element of a JSON array; [] if it fails none.")
-    return chunks.join(checklists, "stage", "left").select("file", "segment", F.concat_ws("\n\n", head, imports, code, checks, ask).alias("prompt"))
+    more = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{SECTIONS[c]}\n"), F.col(c))) for c in sections if c in rows.columns]
+    return F.concat_ws("\n\n", head, imports, *more, code, *extra, F.lit(ask))
+
+
+def prompts(chunks: DataFrame, checklists: DataFrame) -> DataFrame:
+    """(file, segment, prompt): the text put to a model about each segment. Sections without content, and those that chunks has no column for, are left out."""
+    rows = chunks.join(checklists, "stage", "left")
+    return rows.select("file", "segment", _assembled(rows, list(SECTIONS), [F.concat(F.lit("Checks:\n"), "checklist")], ASK).alias("prompt"))
+
+
+def attack_prompts(chunks: DataFrame) -> DataFrame:
+    """(file, segment, prompt): the adversarial text about each segment that calls cryptography, which `has_crypto` tells; no checklist, no examples."""
+    rows = chunks.where("has_crypto")
+    return rows.select("file", "segment", _assembled(rows, ["functions", "traces", "hints", "callers"], [], ATTACK).alias("prompt"))

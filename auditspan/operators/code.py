@@ -85,7 +85,7 @@ def resolved(links: DataFrame, files: DataFrame, aliases: dict[str, str] | None
     return links.join(hit, ["file", "specifier"], "left").withColumn("target", F.coalesce("target", "specifier"))
 
 
-#: What an assignment's right side says about the value: (origin, what follows `name = `, the part that names it), in order.
+#: What an assignment's right side says about the value: (origin, what follows `name = `, the part that names it), in order.
 ORIGINS = (
     ("crypto_random", r".*getRandomValues", None),
     ("derived", r"(?:await\s+)?(deriveChunkIV|hkdf|deriveBits|deriveKey|HKDF)\s*\(", 1),

@@ -14,25 +14,24 @@ def call_graph(owned: DataFrame, calls: DataFrame) -> DataFrame:
     return inside.join(named, ["file", "callee"]).where("src <> dst").select("file", "src", "dst").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, keep, rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, keep) -> DataFrame:
     """(node, component): the least node that undirected edges (src, dst) reach.
 
     Each round takes the least label of the neighbours and then that label's own label, so rounds grow with the logarithm of the longest
     path; `keep` writes a round's labels where lost executors don't matter."""
     both = keep(edges.select("src", "dst").union(edges.select("dst", "src")).toDF("node", "other").distinct())
     labels = keep(nodes.select("node", F.col("node").alias("label")).distinct())
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         stepped = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         own = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         stepped = keep(stepped.join(own, "label").select("node", F.least("label", "jump").alias("label"), "old"))
         if stepped.where("label <> old").isEmpty():
-            break
+            return stepped.select("node", F.col("label").alias("component"))
         labels = stepped.select("node", "label")
-    return labels.select("node", F.col("label").alias("component"))
 
 
-#: What an argument says about the value it passes, in order.
+#: What an argument says about the value it passes, in order.
 ARGUMENTS = (("crypto_random", r"getRandomValues|generateKey|crypto\.subtle\.generate"), ("derived", r"deriveKey|deriveBits|hkdf|HKDF|deriveChunkIV"), ("hardcoded", r"^\s*[\"']"), ("hardcoded", r"^\s*[0-9]+\s*$"), ("variable", r"^\s*\w+\s*$"))
 
 

@@ -58,6 +58,40 @@ def overlap(old: DataFrame, new: DataFrame) -> DataFrame:
     return shared.withColumns({"n_old": size(old), "n_new": size(new)})
 
 
+def comparison_totals(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row: overlap's sizes with the counts of grave findings of both sides."""
+    grave = lambda df, s: df.agg(F.count_if(F.col("severity") == s)).scalar()
+    return overlap(old, new).withColumns({f"{s}_{side}": grave(df, s) for s in SEVERITIES[:2] for side, df in (("old", old), ("new", new))})
+
+
+def status_shares(triaged: DataFrame) -> DataFrame:
+    """(status, n, percent): the shares of all findings, zeros for the known statuses."""
+    return _shares(triaged, "triage_status", STATUSES, "status")
+
+
+def tier_shares(triaged: DataFrame) -> DataFrame:
+    """(tier, n, percent): the confidence tiers of the validated findings."""
+    return _shares(triaged.where("triage_status = 'validated'"), "confidence_tier", ("high", "medium", "low"), "tier")
+
+
+def _shares(rows: DataFrame, column: str, known: tuple[str, ...], name: str) -> DataFrame:
+    counts = rows.agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col(column) == k).alias(f"n{i}") for i, k in enumerate(known)))
+    each = counts.select("all", F.explode(F.array(*(F.struct(F.lit(k).alias(name), F.col(f"n{i}").alias("n")) for i, k in enumerate(known)))).alias("s"))
+    return each.select(f"s.{name}", "s.n", F.round(F.col("s.n") * 100 / F.greatest(F.col("all"), F.lit(1)), 1).alias("percent"))
+
+
+def report_to_triage(names: DataFrame) -> DataFrame:
+    """One row or none: the last combined report by name, else the last report that is neither triaged nor a scanner's. names: (name, …)."""
+    kind = report_kind(F.col("name"))
+    fits = names.where(kind.isin("combined", "stage") & F.col("name").endswith(".json")).withColumn("_first", (kind == "combined").cast("int"))
+    return fits.orderBy(F.desc("_first"), F.desc("name")).limit(1).drop("_first")
+
+
+def unknown_stages(asked: list[str], known: list[str]) -> list[str]:
+    """The stages asked for that there are not: a run stops on any."""
+    return [s for s in asked if s not in known]
+
+
 def ranked(triaged: DataFrame, k: int) -> DataFrame:
     """The k validated findings of the greatest confidence, then the gravest, then the first."""
     return triaged.where("triage_status = 'validated'").orderBy(F.desc("confidence_score"), severity_rank(F.col("severity")), "pos").limit(k)

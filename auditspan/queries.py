@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import responses
 from .functions.globs import path_regex
 from .functions.text import jaccard
-from .operators import chunks, code, graphs, lines, reports, rules
+from .operators import chunks, code, graphs, lines, modules, reports, rule_files, rules
 from .operators import triage as layers
 from .operators.consensus import consensus_merge
 from .operators.dedup import semantic_dedup
@@ -292,6 +292,94 @@ def sast_rule_algebra(spark, sf_dir):
     return rules.reported(rules.not_inside(rules.inside(spans, owned), counted), "short-random-value")
 
 
+def _stated(spark, sf_dir):
+    return modules.statements(r.module_lines(spark, sf_dir))
+
+
+def module_functions(spark, sf_dir):
+    return modules.functions(_stated(spark, sf_dir)).withColumn("params", F.array_join("params", ","))
+
+
+def module_exports(spark, sf_dir):
+    return modules.exports(_stated(spark, sf_dir)).withColumn("params", F.array_join("params", ",")).drop("snippet")
+
+
+def module_imports(spark, sf_dir):
+    return modules.imported_names(_stated(spark, sf_dir))
+
+
+def import_statements(spark, sf_dir):
+    return modules.import_statements(_stated(spark, sf_dir))
+
+
+def call_arguments(spark, sf_dir):
+    return modules.called_arguments(_stated(spark, sf_dir), 100).drop("call")
+
+
+def _module_links(spark, sf_dir):
+    known = r.module_lines(spark, sf_dir).select("file").distinct()
+    return modules.last_links(code.resolved(modules.imported_names(_stated(spark, sf_dir)), known))
+
+
+def imported_call_sites(spark, sf_dir):
+    stated = _stated(spark, sf_dir)
+    return modules.imported_call_sites(modules.called_arguments(stated), modules.functions(stated), _module_links(spark, sf_dir)).drop("call")
+
+
+def imported_signatures(spark, sf_dir):
+    """Imports under the names that exports have: each f that a module exports, imported and called by the module before."""
+    stated = _stated(spark, sf_dir)
+    exported = modules.exports(stated).where("kind = 'function'")
+    names = exported.select(F.concat(F.lit("m"), (F.substring("file", 2, 20).cast("long") - 1).cast("string")).alias("file"), F.col("name").alias("symbol"))
+    calls = names.select("file", F.lit(0).alias("line_no"), F.col("symbol").alias("callee"), F.lit(0).alias("call"), F.lit(0).alias("arg_index"), F.lit("key").alias("arg"))
+    return modules.signatures(calls, names, exported).withColumn("params", F.array_join("params", ",")).drop("snippet")
+
+
+def parameter_origins_of_traces(spark, sf_dir):
+    """Where the keys of exported functions come from: each function's key is traced as a parameter, and a user's calls pass keys to functions of others."""
+    stated = _stated(spark, sf_dir)
+    exported = modules.exports(stated).where("kind = 'function'").select("file", "line_no", "name", "params").dropDuplicates(["file", "name"])
+    traced = exported.select("file", "line_no", F.lit("encrypt").alias("operation"), F.lit("key").alias("var"), F.lit("parameter").alias("origin"))
+    found = modules.parameter_functions(traced, exported)
+    e = r.calls(spark, sf_dir)
+    at = lambda c: F.concat(F.lit("m"), F.col(c).cast("string"))
+    first = exported.groupBy("file").agg(F.min_by("name", "line_no").alias("callee"))
+    sites = e.select(at("caller").alias("caller_file"), F.lit("<module>").alias("caller"), at("callee").alias("callee_file"), "arg_index", "arg").join(first.withColumnRenamed("file", "callee_file"), "callee_file")
+    return modules.resolved_parameters(found, sites, exported)
+
+
+#: Rules as their YAML files have them.
+RULES = [
+    {"id": "short-number", "patterns": [{"pattern": "export const $NAME = $N;"}, {"metavariable-regex": {"metavariable": "$NAME", "regex": "^c"}}, {"metavariable-comparison": {"metavariable": "$N", "comparison": "$N < 12"}}], "message": "number $N too low", "severity": "WARNING", "metadata": {"cwe": "CWE-916"}},
+    {"id": "unverified-token", "pattern": "jwt.decode($TOKEN, ...)", "message": "decoded without verification", "severity": "ERROR", "metadata": {"checklist_map": "JWT01"}, "paths": {"include": ["m1*"]}},
+    {"id": "wrapped-outside-class", "patterns": [{"pattern-either": [{"pattern": "await $F(wrap(...), ...)"}, {"pattern-regex": "never in these lines"}]}, {"pattern-not": "await r4(...)"}, {"pattern-not-inside": "...\nexport class $K {\n..."}], "message": "wrapped", "severity": "INFO"},
+]
+
+
+def sast_rule_files(spark, sf_dir):
+    stated = _stated(spark, sf_dir)
+    return rule_files.run_rules(stated, modules.functions(stated), RULES)
+
+
+def status_shares(spark, sf_dir):
+    triaged = written(_triaged(spark, sf_dir))
+    return reports.status_shares(triaged).withColumnRenamed("status", "name").unionByName(reports.tier_shares(triaged).withColumnRenamed("tier", "name"))
+
+
+def attack_prompts(spark, sf_dir):
+    """Segments of the source lines that call cryptography, with their functions, traces and hits."""
+    rows = r.code_lines(spark, sf_dir)
+    whole = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    parts = chunks.relevant_imports(chunks.segments(whole, 60, 40), code.imports(rows))
+    spans = parts.select("file", "segment", F.col("line_start").alias("_a"), F.col("line_end").alias("_z"))
+    within = lambda df: df.join(spans, "file").where("line_no between _a and _z").drop("_a", "_z")
+    crypto = within(code.crypto_calls(rows)).select("file", "segment").distinct().withColumn("has_crypto", F.lit(True))
+    traces = chunks.trace_text(within(code.origins(code.traces(rows), code.assignments(rows), rows.where("line_no = 1"))))
+    names = within(code.functions(rows).withColumnRenamed("start_line", "line_no")).groupBy("file", "segment").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("functions"))
+    parts = parts.join(crypto, ["file", "segment"], "left").withColumn("has_crypto", F.coalesce("has_crypto", F.lit(False)))
+    return chunks.attack_prompts(parts.join(traces, ["file", "segment"], "left").join(names, ["file", "segment"], "left"))
+
+
 def parse_llm_findings(spark, sf_dir):
     return responses.parse_findings(_responses(spark, sf_dir))
 
@@ -327,6 +415,7 @@ def queries() -> dict[str, Query]:
         stage_assignment, stage_summary, report_rollups, severity_histogram, report_compare, report_overlap, latest_reports, rule_fk_gaps, verdict_filter, verdict_tallies,
         grep_lines, grep_first_hits, read_file_slice, symbol_definition, context_window, numbered_lines, doc_sections, doc_excerpt_argmax, hunk_ranges, focus_notes, jaccard_pairs,
         code_functions, code_imports, import_candidates, crypto_call_sites, crypto_traces, cross_file_call_sites, callers_depth3, call_components, call_graph, semantic_chunks, file_segments, audit_prompts,
+        module_functions, module_exports, module_imports, import_statements, call_arguments, imported_call_sites, imported_signatures, parameter_origins_of_traces, sast_rule_files, status_shares, attack_prompts,
         chunk_sast_overlap, sast_rule_algebra, parse_llm_findings, parse_adversarial, parse_lenient_objects, normalize_findings,
     ]
     return {f.__name__.rstrip("_"): f for f in every}

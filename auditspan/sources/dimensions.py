@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKLIST = "source_file string, checklist_id string, stage string, item_id string, question string, severity string, ord int"
 
@@ -24,6 +25,11 @@ def checklists(spark: SparkSession, folder: str, stage: str | None = None, by_fi
     return spark.createDataFrame(rows, CHECKLIST)
 
 
+def checklist_listing(items: DataFrame) -> DataFrame:
+    """(source_file, checklist_id, stage, items_count) of each checklist file that has items."""
+    return items.groupBy("source_file", "checklist_id", "stage").agg(F.count(F.lit(1)).alias("items_count"))
+
+
 def whitelist_rules(folder: str) -> list[dict]:
     """The rules of all JSON files in order of name: lists are joined, single objects added, broken files skipped."""
     rules: list[dict] = []

@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.globs import path_regex
+
 #: Folders that a walk leaves out.
 PRUNED = ("node_modules", ".git", "dist", "build", ".next", "coverage")
 FINDINGS = "findings array<struct<checklist_item:string,severity:string,line_start:int,line_end:int,finding:string,evidence:string,suggestion:string,file:string,stage:string,finding_type:string,consensus:double>>"
+HITS = "results array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<severity:string,message:string,lines:string,metadata:variant>>>"
 
 
 def source_files(spark: SparkSession, root: str, patterns: list[str] | None = None, suffixes: tuple[str, ...] = (".ts", ".tsx")) -> DataFrame:
     """(file, text) of the files under root with one of the suffixes, each once; unreadable files are skipped, pruned folders left out.
 
-    Spark lists and reads them. Bytes that are no UTF-8 become replacement characters. patterns: globs for file names."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
-    found = [reader.option("pathGlobFilter", p).load(root) for p in patterns or ["*"]]
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
+    Spark lists and reads them. Bytes that are no UTF-8 become replacement characters. patterns: globs of paths below root, where `**/`
+    stands for any folders; one that fits no file is warned of."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     ending = F.lit(False)
     for s in suffixes:
         ending |= F.col("path").endswith(s)
     inner = F.regexp_replace("path", "^.*?" + r"\Q" + root.rstrip("/") + r"\E/", "")
-    kept = rows.where(ending & ~F.col("path").rlike("/(" + "|".join(p.replace(".", r"\.") for p in PRUNED) + ")/"))
-    return kept.select(inner.alias("file"), F.decode("content", "UTF-8").alias("text")).where("text is not null").dropDuplicates(["file"])
+    kept = rows.where(ending & ~F.col("path").rlike("/(" + "|".join(p.replace(".", r"\.") for p in PRUNED) + ")/")).withColumn("file", inner)
+    if patterns:
+        globs = [path_regex(p, recursive=True).replace("(?:^|/)", "^", 1) for p in patterns]
+        hits = kept.agg(*(F.count_if(F.col("file").rlike(g)) for g in globs)).first()
+        for glob, n in zip(patterns, hits):
+            if not n:
+                warnings.warn(f"no file fits {glob}", stacklevel=2)
+        kept = kept.where(F.col("file").rlike("|".join(globs)))
+    return kept.select("file", F.make_valid_utf8(F.col("content").cast("string")).alias("text")).where("text is not null").dropDuplicates(["file"])
 
 
 def reports(spark: SparkSession, root: str) -> DataFrame:
@@ -41,7 +50,22 @@ def report_names(spark: SparkSession, root: str) -> DataFrame:
 
 
 def diff_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of a unified diff: the new side's file name is carried on from its header."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """(file, line_no, line) of unified diffs: the new side's file name is carried on from its header, within each diff file."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_diff"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     name = F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 4096))
-    return rows.withColumn("file", F.last(name, ignorenulls=True).over(Window.orderBy("line_no"))).where("file is not null")
+    return rows.withColumn("file", F.last(name, ignorenulls=True).over(Window.partitionBy("_diff").orderBy("line_no"))).where("file is not null").select("file", "line_no", "line")
+
+
+def scanner_hits(spark: SparkSession, root: str, base: str = "") -> DataFrame:
+    """(rule_id, file, line_start, line_end, severity, message, matched_code, metadata): a row for each of a scanner's JSON `results`, with defaults for what lacks.
+
+    Paths are made relative to `base` and use slashes; metadata stays JSON."""
+    rows = spark.read.option("multiLine", "true").schema(HITS).json(root)
+    r = rows.select(F.explode("results").alias("r")).select("r.*")
+    prefix = base.rstrip("/") + "/"
+    path = F.coalesce("path", F.lit(""))
+    path = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path) if base else path
+    return r.select(
+        F.coalesce("check_id", F.lit("unknown")).alias("rule_id"), F.regexp_replace(path, r"\\", "/").alias("file"), F.coalesce("start.line", F.lit(0)).alias("line_start"), F.coalesce("end.line", F.lit(0)).alias("line_end"),
+        F.coalesce("extra.severity", F.lit("WARNING")).alias("severity"), F.coalesce("extra.message", F.lit("")).alias("message"), F.trim(F.coalesce("extra.lines", F.lit(""))).alias("matched_code"), F.coalesce(F.to_json("extra.metadata"), F.lit("{}")).alias("metadata"),
+    )

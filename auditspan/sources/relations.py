@@ -23,7 +23,7 @@ def _file(number) -> F.Column:
 
 
 def _chosen(by, values: dict, default=None):
-    out = F.lit(default)
+    out = default if isinstance(default, F.Column) else F.lit(default)
     for key, value in reversed(values.items()):
         out = F.when(by == key, value).otherwise(out)
     return out
@@ -102,3 +102,19 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
     return e.select(_file(F.col("user_id")).alias("file"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("line_no"), line.alias("line"))
+
+
+def module_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, line_no, line): a user's events in order as statements of a module, three lines each, with imports under other names, methods, and lists and calls over several lines."""
+    e = table(spark, sf_dir, "events")
+    k, u = F.col("event_id"), F.col("user_id")
+    text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, F.Column) else F.lit(p) for p in parts))
+    lines = _chosen(F.col("event_type"), {
+        "click": F.array(text("import def", k, ", { a", k % 7, " as r", k % 5, ", b", k % 3, " } from './m", u + 1, "';"), F.lit("import * as ns from 'package';"), F.lit("import './effects';")),
+        "signup": F.array(text("export const f", k % 50, " = async ("), F.lit("  key: CryptoKey, iv = mix(1, 'a,(b'),"), F.lit(") => {")),
+        "view": F.array(text("  await r", k % 5, "(wrap(iv, 'a,b'), [1, 2],"), F.lit("    { n: data });"), F.lit("}")),
+        "purchase": F.array(text("export class K", k, " {"), F.lit("  static async seal(key, data) {"), F.lit("}")),
+    }, F.array(text("export { x", k, ", y as z", k, " } from './m0';"), text("export const c", k, " = ", k % 20, ";"), F.lit("jwt.decode(token, options);")))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    each = e.select(F.concat(F.lit("m"), u.cast("string")).alias("file"), place.alias("_place"), lines.alias("_lines"))
+    return each.select("file", "_place", F.posexplode("_lines").alias("_i", "line")).select("file", (F.col("_place") * 3 - 2 + F.col("_i")).alias("line_no"), "line")

@@ -213,7 +213,7 @@ def test_rules_and_reports(spark):
     assert rules.without(low, rules.matches(rows, "4")).count() == 1 and rules.reported(rules.either(low, low), "r").count() == 2
     old, new = finding(spark, dict(line_start=-5), dict(line_start=3)), finding(spark, dict(line_start=5))
     assert [(r.side, r.line_start) for r in reports.compare(old, new).collect()] == [("old", -5)]
-    assert "| old | high | a.ts:-5 | C01 |" in sinks.markdown(reports.compare(old, new))
+    assert "| high | a.ts:-5 | C01 |" in sinks.markdown(reports.compare(old, new), reports.comparison_totals(old, new))
     named = spark.createDataFrame([("triaged_1",), ("semgrep_2",), ("crypto_3",), ("crypto_1",)], "name string")
     assert sorted((r.kind, r.name) for r in reports.latest(named).collect()) == [("semgrep", "semgrep_2"), ("stage", "crypto_3"), ("triaged", "triaged_1")]
 
