@@ -8,8 +8,8 @@ findings AS (
          CASE e.event_type WHEN 'error' THEN 'C01' WHEN 'click' THEN 'KD05' WHEN 'view' THEN 'KL12' WHEN 'purchase' THEN 'A07' END AS checklist_item,
          CASE e.event_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
          k AS line_start, (k + e.event_id % 5)::INT AS line_end, e.event_id % 97 = 0 AS parse_error,
-         CASE WHEN e.event_id % 5 = 0 THEN 'evidence that is not in the text' ELSE substring(d.text, (1 + e.event_id * 37 % 120)::INT, 40) END AS evidence,
-         substring(d.text, 1, 80) AS finding, nth + nth // 9 + 1 AS vec_id
+         CASE WHEN e.event_id % 5 = 0 THEN 'evidence that is not in the text' ELSE substring(d.text, (1 + e.event_id * 37 % greatest(1, length(d.text)))::INT, 40) END AS evidence,
+         substring(d.text, (1 + e.event_id // 7 * 61 % greatest(1, length(d.text)))::INT, 80) AS finding, nth + nth // 9 + 1 AS vec_id
   FROM (SELECT *, json_extract_string(props, '$.k')::INT % 12 AS k, event_id % nullif((SELECT count(*) FROM embeddings WHERE vec_id % 10 <> 0), 0) AS nth FROM events) e JOIN documents d ON d.doc_id = e.user_id
 )"""
 MERGED = """
@@ -168,6 +168,13 @@ event AS (SELECT *, 'm' || user_id AS file, row_number() OVER (PARTITION BY user
 fn AS (SELECT file, 'f' || (k % 50) AS name, true AS exported, b AS start_line, 'key,iv' AS params FROM event WHERE kind = 'signup' UNION ALL SELECT file, 'K' || k || '.seal', false, b + 1, 'key,data' FROM event WHERE kind = 'purchase'),
 scope AS (SELECT *, lead(start_line) OVER w AS next_line, lead(name) OVER w AS next_name FROM fn WINDOW w AS (PARTITION BY file ORDER BY start_line)),
 link AS (SELECT 'm' || user_id AS file, 'r' || (k % 5) AS symbol, max(CASE WHEN EXISTS (SELECT 1 FROM events o WHERE o.user_id = e.user_id + 1) THEN '' ELSE './' END || 'm' || (user_id + 1)) AS target FROM event e WHERE kind = 'click' GROUP BY ALL)"""
+#: Recorded answers and whether they can be read, known from how they are made.
+_ANSWERS = """
+, said AS (
+  SELECT *, pos % 7 AS kind, pos % 7 < 2 AS read, '{' || coalesce('"checklist_item":' || to_json(checklist_item) || ',', '') || '"severity":' || to_json(severity) || ',"line_start":' || line_start || ',"line_end":' || line_end
+    || ',"finding":' || to_json(finding) || ',"evidence":' || to_json(evidence) || ',"affected_lines":[' || line_start || ',' || line_end || '],"exploitability":"high"}' AS body
+  FROM findings
+)"""
 _KEYWORDS = "['the', 'tion', 'ing', 'über', 'que', 'ción', 'ment', 'heit']"
 
 
@@ -235,6 +242,9 @@ def oracle_sql() -> dict[str, str]:
         "chunk_sast_overlap": "WITH " + FINDINGS + SAST + ", chunk AS (SELECT chunk_id, file, min(line_start) AS a, max(line_end) AS z FROM findings GROUP BY ALL) SELECT chunk_id, 'src/' || c.file AS file, rule_id, s.line_start FROM chunk c JOIN sast s ON s.file = c.file AND s.line_start <= z AND s.line_end >= a",
         "sast_rule_algebra": f"WITH {CODE}{OWNED}, counted AS (SELECT DISTINCT o.* FROM owned o JOIN code c ON c.file = o.file AND c.line LIKE '%const count%' AND c.line_no BETWEEN start_line AND end_line) SELECT 'short-random-value' AS rule_id, file, line_no AS line_start, line_no AS line_end, 'WARNING' AS severity FROM code c WHERE (line LIKE '%new Uint8Array(12)%' OR line LIKE '%deriveKey(%') AND EXISTS (SELECT 1 FROM owned o WHERE o.file = c.file AND line_no BETWEEN start_line AND end_line) AND NOT EXISTS (SELECT 1 FROM counted o WHERE o.file = c.file AND line_no BETWEEN start_line AND end_line)",
         "crypto_traces": _traces(),
+        "parse_llm_findings": "WITH " + FINDINGS + _ANSWERS + """ SELECT pos, file, unnest(range(0, CASE WHEN kind = 1 THEN 2 ELSE 1 END))::INT AS item_pos, CASE WHEN read THEN checklist_item END AS checklist_item, CASE WHEN read THEN severity ELSE 'unknown' END AS severity, line_start, line_end,
+          CASE WHEN read THEN finding ELSE substring(CASE kind WHEN 3 THEN '[' || body WHEN 5 THEN 'Answer: ' || body ELSE '[''x'']' END, 1, 500) END AS finding, CASE WHEN read THEN evidence END AS evidence, NULL::VARCHAR AS suggestion, NOT read AS parse_error FROM said WHERE kind NOT IN (2, 4)""",
+        "parse_adversarial": "WITH " + FINDINGS + _ANSWERS + " SELECT pos, file, unnest(range(0, kind + 1))::INT AS item_pos, 'adversarial' AS finding_type, 'critical' AS severity, line_start, line_end, '' AS finding, evidence, 'Preconditions: N/A. Impact: N/A' AS suggestion, 'high' AS exploitability FROM said WHERE read",
         "module_functions": f"WITH {MODULES} SELECT * FROM fn",
         "module_exports": f"WITH {MODULES} SELECT file, b AS line_no, 'f' || (k % 50) AS name, 'function' AS kind, 'key,iv' AS params FROM event WHERE kind = 'signup' UNION ALL SELECT file, b, 'K' || k, 'class', '' FROM event WHERE kind = 'purchase' UNION ALL SELECT file, b, unnest(['x' || k, 'z' || k]), 're-export', '' FROM event WHERE kind = 'rest' UNION ALL SELECT file, b + 1, 'c' || k, 'const', '' FROM event WHERE kind = 'rest'",
         "module_imports": f"WITH {MODULES} SELECT file, b AS line_no, './m' || (user_id + 1) AS specifier, unnest(['def' || k, 'r' || (k % 5), 'b' || (k % 3)]) AS symbol FROM event WHERE kind = 'click'",

@@ -273,7 +273,7 @@ def audit_prompts(spark, sf_dir):
     rows = r.code_lines(spark, sf_dir)
     whole = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     parts = reports.first_match(chunks.segments(whole, 60, 40), [(s, path_regex(g)) for s, g in STAGES], "validation")
-    items = r.table(spark, sf_dir, "benchmark").select(F.element_at(F.array(*[F.lit(s) for s in ("crypto", "auth", "recovery", "validation")]), (F.col("item_id") % 4 + 1).cast("int")).alias("stage"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("item_id"), F.col("item_id").alias("ord"), F.lit("high").alias("severity"), F.substring("text", 1, 60).alias("question"))
+    items = r.table(spark, sf_dir, "benchmark").select(F.element_at(F.array(*[F.lit(s) for s in ("crypto", "auth", "recovery", "validation")]), (F.col("item_id") % 4 + 1).cast("int")).alias("stage"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("item_id"), F.col("item_id").alias("ord"), F.lit("high").alias("severity"), F.col("text").alias("question"))
     return chunks.prompts(chunks.relevant_imports(parts, code.imports(rows)), chunks.checklist_text(items))
 
 

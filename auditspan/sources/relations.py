@@ -45,8 +45,8 @@ def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % RUNS).cast("int").alias("run_idx"), _chosen(F.col("event_type"), ITEMS).alias("checklist_item"),
         _chosen(F.col("event_id") % 5, {0: "critical", 1: "high", 2: "medium"}, "low").alias("severity"),
         k.alias("line_start"), (k + F.col("event_id") % 5).cast("int").alias("line_end"), (F.col("event_id") % 97 == 0).alias("parse_error"),
-        F.when(F.col("event_id") % 5 == 0, "evidence that is not in the text").otherwise(F.substring("text", (1 + F.col("event_id") * 37 % 120).cast("int"), F.lit(40))).alias("evidence"),
-        F.substring("text", 1, 80).alias("finding"), (F.col("nth") + F.floor(F.col("nth") / 9) + 1).alias("vec_id"),
+        F.when(F.col("event_id") % 5 == 0, "evidence that is not in the text").otherwise(F.substring("text", (1 + F.col("event_id") * 37 % F.greatest(F.lit(1), F.char_length("text"))).cast("int"), F.lit(40))).alias("evidence"),
+        F.substring("text", (1 + F.floor(F.col("event_id") / 7) * 61 % F.greatest(F.lit(1), F.char_length("text"))).cast("int"), F.lit(80)).alias("finding"), (F.col("nth") + F.floor(F.col("nth") / 9) + 1).alias("vec_id"),
     )
 
 
