@@ -7,6 +7,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -18,7 +20,7 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 6
 #: A fingerprint is one long: 35 bits of hash above 28 bits of position. No array in a Spark row can hold 2**28 longs.
 POSITION = 28
-#: Up to so many fingerprints or windows of the benchmark are broadcast (24 bytes a row); beyond, the join is shuffled.
+#: Up to so many fingerprints or windows of the benchmark are broadcast, if their bytes are few as well; beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -34,13 +36,19 @@ def _grams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), pack)).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprints(rows: DataFrame, tokens: str, keys: list[str], k: int, w: int) -> DataFrame:
-    """(keys, print, at): the winnowed k-grams of each row, `at` counted from 1."""
-    grams = rows.select(*keys, _grams(F.col(tokens), k).alias("_grams"))
-    ends = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_grams") - (w - 1)))
-    least = F.when(F.size("_grams") > 0, F.array_distinct(F.transform(ends, lambda i: F.array_min(F.slice("_grams", i, w)))))
-    chosen = grams.select(*keys, F.explode(least).alias("_packed"))
-    return chosen.select(*keys, F.shiftright("_packed", POSITION).alias("print"), (F.lit((1 << POSITION) - 1) - F.col("_packed").bitwiseAND((1 << POSITION) - 1)).cast("int").alias("at"))
+def fingerprints(rows: DataFrame, tokens: str, keys: list[str], sizes: list[tuple[int, int, int]]) -> DataFrame:
+    """(keys, n, print, at): the winnowed k-grams of each row for each (n, k, w) in one pass over its words, `at` counted from 1."""
+    grams = rows.select(*keys, *(_grams(F.col(tokens), k).alias(f"_grams{n}") for n, k, _ in sizes))
+
+    def least(n: int, w: int) -> Column:
+        own = F.col(f"_grams{n}")
+        ends = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(own) - (w - 1)))
+        chosen = F.array_distinct(F.transform(ends, lambda i: F.array_min(F.slice(own, i, w))))
+        return F.transform(F.when(F.size(own) > 0, chosen).otherwise(F.array().cast("array<bigint>")), lambda g: F.struct(F.lit(n).alias("n"), g.alias("packed")))
+
+    each = grams.select(*keys, F.explode(F.concat(*(least(n, w) for n, _, w in sizes))).alias("_g"))
+    packed = F.col("_g.packed")
+    return each.select(*keys, F.col("_g.n").alias("n"), F.shiftright(packed, POSITION).alias("print"), (F.lit((1 << POSITION) - 1) - packed.bitwiseAND((1 << POSITION) - 1)).cast("int").alias("at"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -59,17 +67,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     runs = written(benchmark_windows(benchmark, window))
     own = [F.col("doc_id"), F.xxhash64("text").alias("digest")]
     tokens = docs.select(*own, words(F.col("text")).alias("tokens"))
-    lengths = [r.n for r in runs.select("n").distinct().collect()]  # at most `window` rows
-    found = None
-    for n in sorted(lengths):
-        gram = min(k, n) if n == window else n
-        ask = runs.filter(F.col("n") == n).select("words")
-        prints = small(fingerprints(ask, "words", [], gram, n - gram + 1).select("print").distinct(), BROADCAST_ROWS)
-        hits = fingerprints(tokens, "tokens", ["doc_id", "digest"], gram, n - gram + 1).join(prints, "print", "left_semi")
-        hits = hits.select("doc_id", "digest", F.lit(n).alias("n"), "at", F.lit(n - gram).alias("before"))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    lengths = sorted(r.n for r in runs.select("n").distinct().collect())  # at most `window` rows
+    if not lengths:
         return docs.select(*own).limit(0).select("doc_id", "digest", F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    grams = {n: min(k, n) if n == window else n for n in lengths}
+    asked = [fingerprints(runs.filter(F.col("n") == n).select("words"), "words", [], [(n, grams[n], n - grams[n] + 1)]).select("n", "print") for n in lengths]
+    prints = written(reduce(DataFrame.unionByName, asked).distinct())
+    found = fingerprints(tokens, "tokens", ["doc_id", "digest"], [(n, grams[n], n - grams[n] + 1) for n in lengths]).join(small(prints, BROADCAST_ROWS), ["n", "print"], "left_semi")
+    before = F.element_at(F.create_map(*(F.lit(x) for n in lengths for x in (n, n - grams[n]))), F.col("n"))
+    found = found.select("doc_id", "digest", "n", "at", before.alias("before"))
     found = written(found)
 
     # The windows around each hit, once each, with their words: only documents with a hit are read again in full.

@@ -24,8 +24,8 @@ LEAST, NORMAL, MOST = 16, 48, 192
 HARD, EASY = 7, 4
 #: Each stored chunk: 12 hexadecimal digits of digest and 2 of length.
 DIGEST, ENTRY = 12, 14
-#: Texts are read in ranges of the id of about so many bytes, one after another, each a task.
-RANGE_BYTES, MOST_RANGES = 256 << 20, 20_000
+#: Texts are read in ranges of the id of about so many bytes on average, one after another, each a task.
+RANGE_BYTES = 256 << 20
 
 GEAR = np.random.default_rng(20250101).integers(0, 2**32, 256, np.uint64).astype(np.uint32)
 
@@ -94,13 +94,15 @@ def fingerprint_report(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataF
     """The contract's row for each document.
 
     The next document is the next in descending doc_id; equal ids go by descending text, null texts as empty ones, and null ids come last.
-    Each range of the id is read in order, one row ahead; the first text of a range is also sent to the range before it. Repeated rows each count; an empty table gives no rows."""
+    Each range of the id is read in order, one row ahead; the first text of a range is also sent to the range before it. Repeated rows each count; an empty table gives no rows. Long texts are chunked whole; rows stream, so a task holds two texts, however many its
+    range has. Rows of one doc_id are one range: ids are taken to name documents, and a table where one id has a third of all rows has one long task.
+    Columns other than doc_id and text do not matter, whatever their names."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select("doc_id", key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    parts = min(MOST_RANGES, max(2, total // range_bytes, 3 * docs.sparkSession.sparkContext.defaultParallelism))
+    parts = max(2, total // range_bytes, 3 * docs.sparkSession.sparkContext.defaultParallelism)
     cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * parts).alias("cuts")).first()["cuts"] or []
     # The bounds are doubles, which keep the order of ids; each range's true first row is looked up, so rounding moves no row.
     splits = sorted({float("-inf"), 0.0, *(float(c) for c in cuts), float("inf")})
