@@ -63,7 +63,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
     Equal rows count once here: their results are equal, and the callers join on (doc_id, digest). Null ids match null ids.
     Null texts and texts without words have no hits. Items of fewer words than the window are matched by their own length, all positions.
-    Items with a null id have windows but are not named."""
+    Items with a null id have windows but are not named. Texts of any length are searched whole; without a document or an item nothing is
+    hit; items equal in text are all named; columns other than doc_id, text and item_id do not matter, whatever their names."""
     runs = written(benchmark_windows(benchmark, window))
     own = [F.col("doc_id"), F.xxhash64("text").alias("digest")]
     tokens = docs.select(*own, words(F.col("text")).alias("tokens"))

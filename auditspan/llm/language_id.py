@@ -244,7 +244,7 @@ def remainder(doc_id):
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """The contract's row for each document. An empty table gives no rows; repeated rows get equal results."""
+    """The contract's row for each document. An empty table gives no rows; repeated rows get equal results; of equal probabilities the first language by name is predicted; columns other than doc_id, text and lang do not matter, whatever their names."""
     model = train(docs.select("doc_id", "text", "lang").where(remainder(F.col("doc_id")) != 0))
     rows = docs.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
     return predicted(rows, model).select("doc_id", "held_out", "lang_pred", "score")

@@ -120,7 +120,8 @@ def license_report(docs: DataFrame, templates: dict[str, str] = TEXTS, least: fl
     """(doc_id, n_words, n_notices, license, coverage, notices) of each document.
 
     license is the template of the best coverage, of equals the longest and then the first by name, or empty; notices lists name:start:end:coverage by start.
-    Null and empty texts have none; texts of any length are scanned whole; repeated rows get equal results; an empty table stays empty."""
+    Null and empty texts have none; texts of any length are scanned whole; repeated rows get equal results; an empty table stays empty;
+    columns other than doc_id and text do not matter, whatever their names."""
     docs = docs.select("doc_id", "text")
     scanner = Scanner(templates, least)
 

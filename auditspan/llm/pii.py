@@ -140,7 +140,8 @@ def _joined(kinds: tuple[Kind, ...], value: Callable[[Kind, Column], Column]) ->
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one column _<kind> of spans for each kind.
 
-    Null and empty texts have no spans; texts of any length are searched whole; repeated rows get equal results; an empty table stays empty."""
+    Null and empty texts have no spans; texts of any length are searched whole, in work linear in the text and its matches; of matches that
+    start together the longer counts; repeated rows get equal results; an empty table stays empty; extra columns pass, but ones named like a result give way."""
     whole = F.coalesce(F.col(text), F.lit(""))
     return put(docs, **{f"_{k.name}": spans(whole, k) for k in KINDS})
 

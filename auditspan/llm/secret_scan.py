@@ -78,7 +78,8 @@ _OUT = "doc_id {}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256
 def secret_report(docs: DataFrame) -> DataFrame:
     """The contract's row for each document.
 
-    Null and empty texts have no spans; texts of any length are scanned whole; repeated rows get equal results; an empty table stays empty."""
+    Null and empty texts have no spans; texts of any length are scanned whole; windows of exactly the least entropy count; repeated rows get equal
+    results; an empty table stays empty; columns other than doc_id and text do not matter, whatever their names."""
     docs = docs.select("doc_id", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

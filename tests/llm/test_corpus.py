@@ -4,6 +4,7 @@ import hashlib
 import math
 import html
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -154,6 +155,43 @@ def test_language_is_learned_from_text_alone(spark):
     assert abs(np.mean([r.score for r in held]) - np.mean([langs[r.doc_id] == r.lang_pred for r in held])) < 0.1
 
 
+def test_fit_equals_a_plain_ftrl(monkeypatch):
+    """Weights and temperature against follow-the-regularised-leader written number by number."""
+    monkeypatch.setattr(language_id, "EPOCHS", 2)
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6)) for _ in range(30)]
+    classes = rng.integers(0, 3, 30)
+    weights, temperature = language_id.fit(rows, classes, 3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, c):
+        if abs(z[f, c]) <= language_id.L1:
+            return 0.0
+        return -(z[f, c] - math.copysign(language_id.L1, z[f, c])) / ((language_id.BETA + math.sqrt(n[f, c])) / language_id.ALPHA + language_id.L2)
+
+    def scores(i):
+        return [sum(x * weight(f, c) for f, x in [*zip(*rows[i]), (language_id.SIZE, 0.1)]) for c in range(3)]
+
+    order = np.random.default_rng(0).permutation(30)
+    held = set(order[::5].tolist())
+    taken = np.array(sorted(set(range(30)) - held))
+    for epoch in range(2):
+        for i in np.random.default_rng([0, epoch]).permutation(taken):
+            w = {(f, c): weight(f, c) for f in [*rows[i][0], language_id.SIZE] for c in range(3)}
+            e = [math.exp(s) for s in scores(i)]
+            for f, x in [*zip(*rows[i]), (language_id.SIZE, 0.1)]:
+                for c in range(3):
+                    g = x * (e[c] / sum(e) - (classes[i] == c))
+                    z[f, c] += g - (math.sqrt(n[f, c] + g * g) - math.sqrt(n[f, c])) / language_id.ALPHA * w[f, c]
+                    n[f, c] += g * g
+    assert all(weights[f, c] == pytest.approx(weight(f, c), abs=1e-9) for f in [*range(40), language_id.SIZE] for c in range(3))
+
+    def loss(t):
+        return -sum(math.log(math.exp(s[classes[i]] / t) / sum(math.exp(x / t) for x in s)) for i in held for s in [scores(i)])
+
+    assert all(loss(temperature) <= loss(t) + 1e-6 for t in np.exp(np.linspace(-1, 4, 200)))
+
+
 def test_language_of_odd_texts(spark):
     out = {i: r for i, r in enumerate(language_id.language_report(docs(spark, ODD)).collect())}
     assert [out[i].lang_pred for i in (0, 1, 2, 7)] == ["und"] * 4 and out[4].lang_pred == "en" and out[4].score == out[5].score
@@ -331,6 +369,48 @@ def test_secret_spans(spark):
     assert out[13].spans == "" == out[14].spans and all(out[i].spans == "" for i in range(9)) and secret_scan.secret_report(docs(spark, [])).count() == 0
 
 
+def brute_secrets(text):
+    """All spans in the contract's order, with base patterns matched from every start and entropies counted anew in every window."""
+    text, found = text or "", []
+
+    def base(kind, k, pattern, good):
+        at = 0
+        while at < len(text):
+            m = re.compile(pattern).match(text, at)
+            if m and good(m):
+                found.append((m.start(), k, m.end()))
+            at = m.end() if m else at + 1
+
+    base("assign", 0, r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6)
+    base("access", 1, r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20)
+    base("hex", 2, r"[0-9a-f]+", lambda m: len(m[0]) >= 24)
+    for k, chars, least in ((3, "0123456789abcdefABCDEF", 2.9), (4, string.ascii_letters + string.digits + "+/_=-", 3.8)):
+        for m in re.finditer(f"[{re.escape(chars)}]+", text):
+            run = m[0]
+            if len(run) < 20 or secret_scan.ALLOWED.fullmatch(run):
+                continue
+            inside = set()
+            for i in range(len(run) - 19):
+                counts = Counter(run[i:i + 20]).values()
+                if -sum(c / 20 * math.log2(c / 20) for c in counts) >= least - 1e-12:
+                    inside |= set(range(i, i + 20))
+            ends = sorted(inside)
+            starts = [x for x in ends if x - 1 not in inside]
+            found += [(m.start() + a, k, m.start() + next(x for x in range(a, len(run) + 1) if x not in inside)) for a in starts]
+    return sorted(found)
+
+
+def test_secrets_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    bits = ["password", "Token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "AKIA", "deadbeef01", "0123456789abcdef", "Zx9Qw7Lm2Kp", "word", "-", "_", "/", "2024-01-02", ".", "\n", "é漢"]
+    texts = ODD + ["".join(rng.choice(bits, rng.integers(1, 40))) for _ in range(300)] + ["".join(rng.choice(list("abcdef0123ABXYZ+/="), 200)) for _ in range(20)]
+    out = {r.doc_id: r for r in secret_scan.secret_report(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = brute_secrets(t)
+        show = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert out[i].spans == show(want) and out[i].base_sha256 == hashlib.sha256(show([s for s in want if s[1] < 3]).encode()).hexdigest(), t
+
+
 def test_window_entropy_equals_counting_anew():
     rng = np.random.default_rng(2)
     run = "".join(rng.choice(list("abcd0123XYZ"), 80))

@@ -40,3 +40,23 @@ def test_pipeline_of_an_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         state = stage(spark, state, sf_dir)
     assert state.count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir):
+    """Nulls, empty and long texts, repeated rows and columns that clash with those of the stages, in one table through all stages."""
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = [(None, None, None, None, None), (1001, "", "en", "s", 0), (1002, "12 34", "en", None, 5), (1003, "the and of " * 20_000, "en", None, None), (1004, "same words in both of these rows here", "en", "s", 1), (1004, "same words in both of these rows here", "en", "s", 1), (1005, "same words in both of these rows here", None, "t", 1)]
+    state = some.union(spark.createDataFrame(odd, some.schema)).selectExpr("*", "'x' as shard", "1L as _lang", "2 as _kept", "'y' as _bucket", "3 as node", "'z' as digest")
+    names, kept = state.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        state = stage(spark, state, sf_dir)
+        rows = state.collect()
+        kept[name] = Counter(r.doc_id for r in rows)
+        if name != "sharding":
+            assert state.columns == names
+        state = spark.createDataFrame(rows, state.schema)
+    assert not {None, 1001, 1002} & set(kept["language_id"]) and kept["language_id"][1004] == 2
+    near = kept["ngram_jaccard_join"]
+    assert near[1003] == 1 == near[1004] and 1005 not in near
+    assert set(kept["source_mixing"]) == set(kept["benchmark_decontamination"]) and kept["sharding"] == kept["source_mixing"]
+    assert [c for c in state.columns if c != "slot"] == [*(c for c in names if c != "shard"), "shard"] and {r["_bucket"] for r in rows} == {"y"}
