@@ -25,23 +25,44 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, so null and empty texts too, and those with a language probability under LEAST_SCORE; one of exactly that stays.
+
+    Texts of any length are scored whole; repeated rows stay or go together; an empty table, or one without a row to learn from, gives an
+    empty one; columns beyond those of documents pass, whatever their names."""
     lean(spark)
     return language_id.identified(docs, LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least id in each component of near duplicates; of rows equal in that id and text one.
+
+    Null and empty texts have no words, so each is its own component and stays; a null id stays only where its component has no other.
+    Texts of any length are compared whole, in work that their number of shingles bounds; an empty table stays empty; other columns pass."""
     return jaccard_join.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with any benchmark window of ten words, or a whole shorter item.
+
+    Null and empty texts have no words and stay, as do all where the benchmark is empty; repeated rows go together; texts of any length are
+    searched whole; an empty table stays empty; other columns pass, whatever their names."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws every document at least once, and those of sources below their target share again: a row for each draw, with the columns of documents.
+
+    A null source is a source of its own. Null and empty texts have no tokens and are drawn as the order has them; a source without any
+    token is not drawn. Repeated rows are drawn as rows of their own; ties in the order are rows equal in id and text; an empty table stays
+    empty; extra columns pass, but ones named mix_tokens, mix_copy or mix_block take mixing's values."""
     return mixing.mixed(docs).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with shard and slot, by a seeded two-pass shuffle; extra columns of these names give way.
+
+    Null ids and texts hash like values; equal rows, such as a document's draws, are numbered and scatter; one text of any length is one
+    record; an empty table stays empty."""
     return sharding.sharded(docs)
 
 
