@@ -31,6 +31,14 @@ def components(nodes: DataFrame, edges: DataFrame, keep) -> DataFrame:
         labels = stepped.select("node", "label")
 
 
+def function_components(owned: DataFrame, edges: DataFrame, keep) -> DataFrame:
+    """owned (file, name, …) with component: the least name that calls connect a function with inside its file. edges: (file, src, dst)."""
+    at = lambda c: F.concat_ws("#", "file", c)
+    found = components(owned.select(at("name").alias("node")), edges.select(at("src").alias("src"), at("dst").alias("dst")), keep)
+    named = found.select(F.col("node").alias("_node"), F.substring_index("component", "#", -1).alias("component"))
+    return owned.join(named, at("name") == F.col("_node")).drop("_node")
+
+
 #: What an argument says about the value it passes, in order.
 ARGUMENTS = (("crypto_random", r"getRandomValues|generateKey|crypto\.subtle\.generate"), ("derived", r"deriveKey|deriveBits|hkdf|HKDF|deriveChunkIV"), ("hardcoded", r"^\s*[\"']"), ("hardcoded", r"^\s*[0-9]+\s*$"), ("variable", r"^\s*\w+\s*$"))
 

@@ -4,8 +4,9 @@ import json
 
 import pytest
 
-from auditspan.operators import chunks, modules, reports, rule_files
+from auditspan.operators import chunks, code, graphs, modules, reports, rule_files
 from auditspan.sources import dimensions, files, sinks
+from auditspan.sources.shared import written
 
 SOURCE = """import type { Key } from './types'
 import def, { a as b, type T } from '@/lib/x';
@@ -177,6 +178,19 @@ def test_store_and_graph_rows(spark, tmp_path):
     assert {tuple(map(str, r)) for r in sinks.graph_rows(exports, links, sites).collect()} == {("a", "['f', 'g']", "None", "1"), ("b", "None", "['a']", "0")}
 
 
+def test_chunks_hold_the_functions_that_call_each_other(spark):
+    source = ["import x", "function a() {", " c(1)", "}", "function b() {", " crypto.subtle.sign(k)", "}", "function c() {", "}"]
+    rows = spark.createDataFrame([("f.ts", i + 1, x) for i, x in enumerate(source)] + [("bare.ts", 1, "crypto.getRandomValues(b)"), ("bare.ts", 2, "y")], "file string, line_no int, line string")
+    owned = code.functions(rows)
+    grouped = graphs.function_components(owned, graphs.call_graph(owned, code.called(rows)), written)
+    assert {(r.name, r.component) for r in grouped.collect()} == {("a", "a"), ("b", "b"), ("c", "a")}
+    out = {(r.file, r.component, r.chunk): (r.text, [tuple(c) for c in r.crypto_calls], r.functions) for r in chunks.with_content(chunks.batches(grouped, 100), owned, rows, code.crypto_calls(rows)).collect()}
+    assert out == {
+        ("f.ts", "a", 0): ("function a() {\n c(1)\n}\nfunction c() {\n}", [], ["a", "c"]), ("f.ts", "b", 0): ("function b() {\n crypto.subtle.sign(k)\n}", [(6, "sign")], ["b"]),
+        ("bare.ts", "<module>", 0): ("crypto.getRandomValues(b)\ny", [(1, "getRandomValues")], ["<module>"]),
+    }
+
+
 def test_checklist_listing_and_prompt_sections(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("checklist_id: crypto\nstage: crypto\nitems: [{id: C01, question: q, severity: high}, {id: C02, question: r, severity: low}]\n")
     assert tuple(dimensions.checklist_listing(dimensions.checklists(spark, str(tmp_path))).first()) == ("c.yaml", "crypto", "crypto", 2)
