@@ -1,7 +1,8 @@
 """Static-analysis rules as data: the YAML form of pattern rules, run as the algebra of `rules` over statements.
 
 A pattern becomes a regular expression: `$NAME` is a name, number, string or member and the same text wherever it stands again, `...` is
-anything, white space may be missing. It sees a statement's text, not its tree. `pattern-inside` and `pattern-not-inside` look at the
+anything, white space may be missing; a line of `...` stands for any statements of the function. It sees statements' texts, not their
+trees. `pattern-inside` and `pattern-not-inside` look at the
 function around, as far as it reaches.
 """
 
@@ -57,6 +58,39 @@ def _spans(stated: DataFrame, pattern: str, raw: bool = False) -> DataFrame:
     return stated.where(F.col("line").rlike(regex)).select("file", F.col("line_no").alias("first"), "last", values.alias("values"))
 
 
+def _steps(pattern: str) -> list[str]:
+    """The parts of a pattern between lines of `...`, which stand for any statements."""
+    parts: list[list[str]] = [[]]
+    for line in pattern.strip().splitlines():
+        if line.strip() == "...":
+            parts.append([])
+        else:
+            parts[-1].append(line)
+    return ["\n".join(p) for p in parts if p]
+
+
+def _sequence(stated: DataFrame, scopes: DataFrame, steps: list[str]) -> DataFrame:
+    """Spans from a statement of the first step to the next of the second, and so on, in one function, with equal variables: an equality join for each step."""
+    reach = scopes.select("file", F.col("first").alias("_scope"), F.col("last").alias("_end"))
+    out, known = None, set()
+    for step in steps:
+        hit = _spans(stated, step)
+        hit = hit.join(reach, (hit["file"] == reach["file"]) & hit["first"].between(F.col("_scope"), F.col("_end")), "left").select(hit["file"], F.coalesce("_scope", F.lit(0)).alias("_scope"), "first", "last", "values")
+        names = set(pattern_regex(step)[1])
+        if out is None:
+            out = hit
+        else:
+            later = hit.select("file", "_scope", F.col("first").alias("_a"), F.col("last").alias("_z"), F.col("values").alias("_more"))
+            joined = out.join(later, ["file", "_scope"]).where("_a > last")
+            for name in known & names:
+                joined = joined.where(F.col("values")[name] == F.col("_more")[name])
+            nearest = joined.groupBy("file", "_scope", "first", F.to_json("values").alias("_key")).agg(F.min_by(F.struct("_z", "values", "_more"), "_a").alias("n"))
+            more = F.map_filter("n._more", lambda k, _: ~F.array_contains(F.map_keys("n.values"), k))
+            out = nearest.select("file", "_scope", "first", F.col("n._z").alias("last"), F.map_concat("n.values", more).alias("values"))
+        known |= names
+    return out.drop("_scope")
+
+
 def _condition(entry: dict) -> Column | None:
     if regex := entry.get("metavariable-regex"):
         return F.col("values")[regex["metavariable"].lstrip("$")].rlike(regex["regex"])
@@ -82,7 +116,8 @@ def _found(stated: DataFrame, scopes: DataFrame, rule: dict) -> DataFrame:
     for entry in parts:
         for key, value in entry.items():
             if key == "pattern":
-                hit = _spans(stated, value)
+                steps = _steps(value)
+                hit = _spans(stated, value) if len(steps) == 1 else _sequence(stated, scopes, steps)
             elif key == "pattern-regex":
                 hit = _spans(stated, value, raw=True)
             elif key == "pattern-either":

@@ -126,6 +126,14 @@ rules:
         rule_files.run_rules(stated, modules.functions(stated), [{"id": "x", "patterns": [{"pattern": "a"}, {"focus": "b"}]}])
 
 
+def test_patterns_over_several_statements(spark):
+    rule = {"id": "seq", "patterns": [{"pattern": "$IV = ...\n...\n{ ..., iv: $IV, ... }"}, {"metavariable-regex": {"metavariable": "$IV", "regex": "^n"}}]}
+    source = ["function a() {", " const nonce = make()", " nonce2 = 1", " use({ name: 'x', iv: nonce, z })", " use({ iv: nonce })", "}", "function b() {", " use({ iv: nonce2 })", " const nz = 1", " use({ iv: nz })", " v = 2", " use({ iv: v })", "}"]
+    stated = modules.statements(spark.createDataFrame([("f.ts", i + 1, x) for i, x in enumerate(source)], "file string, line_no int, line string"))
+    out = rule_files.run_rules(stated, modules.functions(stated), [rule])
+    assert sorted((r.line_start, r.line_end) for r in out.collect()) == [(2, 4), (9, 10)]
+
+
 def test_files_with_bad_bytes_globs_and_diffs(spark, tmp_path):
     (tmp_path / "src" / "lib" / "deep").mkdir(parents=True)
     (tmp_path / "src" / "a.ts").write_bytes(b"ok \xff end")
