@@ -26,17 +26,23 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     """df as a Parquet table in the shared folder, with a folder for each value of the columns `by`: it cuts the lineage and outlives lost executors. The folder goes when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/auditspan-{uuid.uuid4().hex}"
+    released(spark)  # of the step before, whose plan was still held when it ended
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    released(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Has the driver's garbage collected: Spark removes shuffle files when their plan is, and otherwise those of all finished steps of a long job pile up."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
-    """Deletes a table that `written` made and nothing reads any more, and has the driver's garbage collected, which lets Spark remove the shuffle files of finished steps: intermediate data of a long job don't pile up."""
+    """Deletes a table that `written` made and nothing reads any more."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         folder = re.match(r".*/auditspan-[0-9a-f]{32}(?=/)", file)
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder[0])
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    spark.sparkContext._jvm.System.gc()
