@@ -391,6 +391,14 @@ def links(docs: DataFrame, text: str, base: DataFrame, unique: DataFrame, n: int
     sizes = met.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("weight")).where("nodes > 1")
     met = written(met.join(small(sizes, BROADCAST_ROWS), "region"))
 
+    # Regions that overlap are one neighbourhood: if it is small, its nodes are joined once instead of in each region.
+    near = components(met.where("region <> node").select(F.col("region").alias("a"), F.col("node").alias("b")))
+    met = written(met.join(near.select(F.col("node").alias("region"), "label"), "region"))
+    members = met.select("label", "node", "size").distinct()
+    hoods = members.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("weight"))
+    fits = (F.col("nodes") <= leaf) & (F.col("weight") <= LEAF_SHINGLES)
+    once = written(hoods.where(fits).select("label"))
+
     # The sets of nodes in regions, made again from one text each.
     active = written(met.select("node").distinct())
     ids = base.join(small(active, BROADCAST_ROWS), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
@@ -403,8 +411,10 @@ def links(docs: DataFrame, text: str, base: DataFrame, unique: DataFrame, n: int
 
     sets = written(chosen.mapInArrow(make, "node long, shingles array<long>").join(small(active, BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"]))
 
-    fits = (F.col("nodes") <= leaf) & (F.col("weight") <= LEAF_SHINGLES)
-    found = _leaf_links(met.where(fits).select(F.col("region").alias("group"), "node").join(sets, "node"), percent)
+    together = members.join(small(once, BROADCAST_ROWS), "label", "left_semi").select(F.col("label").alias("group"), "node")
+    met = met.join(small(once, BROADCAST_ROWS), "label", "left_anti")
+    found = written(_leaf_links(together.join(sets, "node"), percent))
+    found = found.union(written(_leaf_links(met.where(fits).select(F.col("region").alias("group"), "node").join(sets, "node"), percent)))  # each part's links are written, so that its shuffles can go
     work, level = met.where(~fits).select("region", "node", "size"), 0
     while not work.isEmpty():
         work = written(work)
@@ -415,13 +425,13 @@ def links(docs: DataFrame, text: str, base: DataFrame, unique: DataFrame, n: int
         apart = work.join(small(spread, BROADCAST_ROWS), "region")
         dense = apart.where("dense").drop("dense")
         if not dense.isEmpty():
-            found = found.union(_ring_links(dense, sets, percent, leaf, level))
+            found = found.union(written(_ring_links(dense, sets, percent, leaf, level)))
         named = cells.join(apart.where("not dense").select("region", "node", "size"), ["region", "node"]).select("region", "node", "size", "hits", F.explode("cells").alias("cell"))
         named = written(named.select(F.xxhash64("region", "cell").alias("region"), "node", "size", (F.array_contains("hits", F.col("cell")) | (F.col("node") == F.col("cell"))).alias("hit")))
         # A cell all of whose nodes are linked with its pivot is done.
         sizes = named.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("weight"), F.every("hit").alias("done")).where("nodes > 1 and not done")
         named = written(named.join(small(sizes, BROADCAST_ROWS), "region"))
-        found = found.union(_leaf_links(named.where(fits).select(F.col("region").alias("group"), "node").join(sets, "node"), percent))
+        found = found.union(written(_leaf_links(named.where(fits).select(F.col("region").alias("group"), "node").join(sets, "node"), percent)))
         work, level = named.where(~fits).select("region", "node", "size"), level + 1
     found = written(found)
     dropped(sets)
