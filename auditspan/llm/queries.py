@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, jaccard_join, language_id, licenses, mixing, pii, secret_scan, sharding, site_tree, sql
+from . import decontaminate, fill_middle, fingerprints, jaccard_join, language_id, licenses, mixing, pii, quality_rules, secret_scan, sharding, site_tree, sql, token_alignment
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_report(table(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_html_extraction,
@@ -64,9 +76,12 @@ def queries() -> dict[str, Query]:
         op8_secret_scans,
         op9_ngram_jaccard_join,
         op10_license_scans,
+        op11_fill_in_middle,
+        op12_cross_tokenizer_alignment,
+        op13_quality_rules,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": sql.DECONTAMINATION, "op4_source_mixing": sql.MIXING, "op7_pii": sql.PII, "op9_ngram_jaccard_join": sql.JACCARD}
+    return {"op3_benchmark_decontamination": sql.DECONTAMINATION, "op4_source_mixing": sql.MIXING, "op7_pii": sql.PII, "op9_ngram_jaccard_join": sql.JACCARD, "op11_fill_in_middle": sql.FILL}

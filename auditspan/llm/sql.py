@@ -122,3 +122,23 @@ WITH RECURSIVE word AS (
 SELECT h.doc_id, len(h.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
 FROM reach JOIN held h ON h.row_id = reach.a JOIN held o ON o.row_id = reach.b GROUP BY h.row_id, h.doc_id, h.s
 """
+
+
+FILL = """
+with hashed as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as d from documents),
+parts as (
+    select doc_id, t, length(t) as n, cast('0x' || d[1:8] as bigint) as h1, cast('0x' || d[9:16] as bigint) as h2, cast('0x' || d[17:24] as bigint) as h3, cast('0x' || d[25:32] as bigint) as h4
+    from hashed),
+cut as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+    from parts),
+made as (
+    select *, case form when 'plain' then t
+        when 'psm' then '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+        else '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) end as made_text
+    from cut)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+    sha256(made_text) as output_sha256, sha256(t) as restored_sha256
+from made
+"""
