@@ -25,7 +25,7 @@ ROWS_PER_CLASS = 10_000
 #: A rule has so many conditions, a list so many rules, and a condition's threshold is one of so many quantiles.
 CONDITIONS, RULES, THRESHOLDS = 4, 24, 64
 #: A rule needs this share of low quality among so many rows that it covers, in both parts.
-PRECISION, COVER = 0.9, 5
+PRECISION, COVER = 0.9, 3
 SEED = 13
 
 #: Counts of a text, then what conditions look at.
