@@ -1,6 +1,7 @@
 """Facts about modules: statements over several lines, exports by kind, methods, imported names, nested call arguments and what follows from them.
 
-Everything is a Spark expression over (file, line_no, line). Nesting is matched to DEPTH levels of brackets, deeper ones end a match early.
+Everything is a Spark expression over statements of lexed source (`source`): comments and strings are no code, and brackets are matched at
+any depth by their marks.
 """
 
 from __future__ import annotations
@@ -8,106 +9,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graphs
+from . import graphs, source
+from .source import MARK
 
 NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
-STRING = r"\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|`(?:[^`\\]|\\.)*+`"
-DEPTH = 4
 KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "await", "async", "typeof", "new")
-
-
-def _balanced(depth: int) -> str:
-    """Brackets of any kind with what they hold, to `depth` levels."""
-    inner = rf"(?:[^()\[\]{{}}\"'`]|{STRING}" + (f"|{_balanced(depth - 1)}" if depth else "") + ")*+"
-    return rf"\({inner}\)|\[{inner}\]|\{{{inner}\}}"
-
-
-#: What stands between the brackets of a call, and one argument of it.
-INSIDE = rf"(?:[^()\[\]{{}}\"'`]|{STRING}|{_balanced(DEPTH)})*+"
-ARGUMENT = rf"(?:[^,()\[\]{{}}\"'`]|{STRING}|{_balanced(DEPTH)})++"
-FUNCTION = rf"^\s*(export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({NAME})\s*(?:<[^>]*>)?\(({INSIDE})\)"
-ARROW = rf"^\s*(export\s+)?(?:const|let|var)\s+({NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\s*\*?\s*(?:{NAME})?\s*)?(?:\(({INSIDE})\)[^=;{{]*(?:=>|\{{)|({NAME})\s*=>)"
+#: One argument or parameter, with the brackets it holds; its first group is a mark.
+ARGUMENT = rf"(?:[^,()\[\]{{}}]|[(\[{{]({MARK})[\s\S]*?[)\]}}]\1)++"
+FUNCTION = rf"^\s*(export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({NAME})\s*(?:<[^>]*>)?\(({MARK})([\s\S]*?)\)\3"
+ARROW = rf"^\s*(export\s+)?(?:const|let|var)\s+({NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\s*\*?\s*(?:{NAME})?\s*)?(?:\(({MARK})([\s\S]*?)\)\3[^=;{{]*(?:=>|\{{)|({NAME})\s*=>)"
 CLASS = rf"^\s*(export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({NAME})"
-METHOD = rf"^\s+(?:(?:public|private|protected|static|async|override|get|set)\s+)*\*?\s*({NAME})\s*(?:<[^>]*>)?\(({INSIDE})\)\s*(?::[^{{;=]+)?\{{"
+METHOD = rf"^\s+(?:(?:public|private|protected|static|async|override|get|set)\s+)*\*?\s*({NAME})\s*(?:<[^>]*>)?\(({MARK})([\s\S]*?)\)\2\s*(?::[^{{;=]+)?\{{"
+#: The head of a call by name or member, and what its brackets hold; calls within it match as well.
+CALL = rf"(?<![\w$.])({NAME}(?:\.{NAME})*)\s*\(({MARK})(?=([\s\S]*?)\)\2)"
 
 
 def statements(rows: DataFrame) -> DataFrame:
-    """(file, line_no, last, line): lines that open round brackets joined with those up to where they close, so that lists over several lines are one."""
-    bare = F.regexp_replace("line", STRING, "")
-    change = F.regexp_count(bare, F.lit(r"\(")) - F.regexp_count(bare, F.lit(r"\)"))
-    order = Window.partitionBy("file").orderBy("line_no")
-    before = F.coalesce(F.sum("_change").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # A file's lowest level so far is its ground: a bracket too many does not glue the rest of the file together.
-    marked = rows.withColumn("_change", change).withColumn("_depth", before)
-    marked = marked.withColumn("_first", (F.col("_depth") <= F.coalesce(F.min("_depth").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"))
-    marked = marked.withColumn("_statement", F.sum("_first").over(order))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return marked.groupBy("file", "_statement").agg(F.min("line_no").alias("line_no"), F.max("line_no").alias("last"), text.alias("line")).drop("_statement")
+    """(file, line_no, last, line, code, level, end_line) of (file, line_no, line): see `source.statements`."""
+    return source.statements(source.lexed(rows))
 
 
 def _names(params: Column) -> Column:
-    parts = F.regexp_extract_all(params, F.lit(ARGUMENT), F.lit(0))
+    parts = F.regexp_extract_all(F.regexp_replace(params, r"^\s+", ""), F.lit(ARGUMENT), F.lit(0))
     return F.filter(F.transform(parts, lambda p: F.regexp_extract(p, rf"^\s*(?:(?:public|private|readonly)\s+)*(?:\.\.\.)?({NAME})", 1)), lambda p: p != "")
 
 
 def _declared(group: int, arrow: int | None = None) -> Column:
-    line = F.col("line")
-    return F.when(line.rlike(FUNCTION), F.regexp_extract(line, FUNCTION, group)).otherwise(F.regexp_extract(line, ARROW, group) if arrow is None else F.concat(F.regexp_extract(line, ARROW, group), F.regexp_extract(line, ARROW, arrow)))
+    code = F.col("code")
+    return F.when(code.rlike(FUNCTION), F.regexp_extract(code, FUNCTION, group)).otherwise(F.regexp_extract(code, ARROW, group) if arrow is None else F.concat(F.regexp_extract(code, ARROW, group), F.regexp_extract(code, ARROW, arrow)))
 
 
 def functions(stated: DataFrame) -> DataFrame:
-    """(file, name, exported, start_line, params) of statements: functions, arrow functions and methods, the latter as Class.method.
-
-    A class lasts from its line to the next line that closes at the left margin or declares something else there."""
-    line = F.col("line")
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.when(line.rlike(CLASS), F.regexp_extract(line, CLASS, 2)).when(line.rlike(r"^\S"), "")
-    scoped = stated.withColumn("_owner", F.coalesce(F.last(owner, ignorenulls=True).over(order), F.lit("")))
-    plain = line.rlike(FUNCTION) | line.rlike(ARROW)
-    short = F.regexp_extract(line, METHOD, 1)
-    method = ~plain & (F.col("_owner") != "") & line.rlike(METHOD) & ~short.isin(*KEYWORDS)
-    name = F.when(plain, _declared(2)).when(method, F.concat("_owner", F.lit("."), short))
-    params = F.when(plain, _names(_declared(3, 4))).otherwise(_names(F.regexp_extract(line, METHOD, 2)))
+    """(file, name, exported, start_line, end_line, depth, params) of statements: functions, arrow functions and methods, the latter as Class.method.
+
+    Each lasts to the end of its block. A method is one of the class around it: of the last one before it whose block it is directly in."""
+    code = F.col("code")
+    klass = code.rlike(CLASS)
+    order = Window.partitionBy("file", "_inside").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    scoped = stated.withColumn("_inside", F.when(klass, F.col("level") + 1).otherwise(F.col("level")))
+    scoped = scoped.withColumn("_class", F.last(F.when(klass, F.struct(F.regexp_extract(code, CLASS, 2).alias("name"), "end_line")), ignorenulls=True).over(order))
+    plain = code.rlike(FUNCTION) | code.rlike(ARROW)
+    short = F.regexp_extract(code, METHOD, 1)
+    method = ~plain & ~klass & (F.col("_class.end_line") >= F.col("line_no")) & code.rlike(METHOD) & ~short.isin(*KEYWORDS)
+    name = F.when(plain, _declared(2)).when(method, F.concat("_class.name", F.lit("."), short))
+    params = F.when(plain, _names(_declared(4, 5))).otherwise(_names(F.regexp_extract(code, METHOD, 3)))
     exported = plain & (_declared(1) != "")
-    return scoped.select("file", name.alias("name"), exported.alias("exported"), F.col("line_no").alias("start_line"), params.alias("params")).where("name is not null and name <> ''")
+    return scoped.select("file", name.alias("name"), exported.alias("exported"), F.col("line_no").alias("start_line"), "end_line", F.col("level").alias("depth"), params.alias("params")).where("name is not null and name <> ''")
 
 
 def exports(stated: DataFrame) -> DataFrame:
     """(file, line_no, name, kind, params, snippet): functions, constants, classes, defaults, and names in braces: re-exports if they come from another module. A renamed one counts under its new name."""
-    line = F.col("line")
+    code = F.col("code")
     entry = lambda name, kind, params=None: F.array(F.struct(name.alias("name"), F.lit(kind).alias("kind"), (F.array().cast("array<string>") if params is None else params).alias("params")))
     constant = rf"^\s*export\s+(?:const|let|var)\s+({NAME})"
-    braces = r"^\s*export\s+(?:type\s+)?\{([^}]*)\}(\s*from\b)?"
-    listed = F.filter(F.transform(F.split(F.regexp_extract(line, braces, 1), ","), lambda p: F.trim(F.element_at(F.split(p, r"\sas\s"), -1))), lambda p: p != "")
-    kind = F.when(F.regexp_extract(line, braces, 2) != "", "re-export").otherwise("function")
-    plain = (line.rlike(FUNCTION) | line.rlike(ARROW)) & (_declared(1) != "")
+    braces = rf"^\s*export\s+(?:type\s+)?\{{{MARK}([^}}]*)\}}{MARK}(\s*from\b)?"
+    listed = F.filter(F.transform(F.split(F.regexp_extract(code, braces, 1), ","), lambda p: F.trim(F.element_at(F.split(p, r"\sas\s"), -1))), lambda p: p != "")
+    kind = F.when(F.regexp_extract(code, braces, 2) != "", "re-export").otherwise("function")
+    plain = (code.rlike(FUNCTION) | code.rlike(ARROW)) & (_declared(1) != "")
     found = (
-        F.when(plain, entry(_declared(2), "function", _names(_declared(3, 4)))).when(line.rlike(CLASS) & line.rlike(r"^\s*export\b"), entry(F.regexp_extract(line, CLASS, 2), "class"))
-        .when(line.rlike(constant), entry(F.regexp_extract(line, constant, 1), "const")).when(line.rlike(braces), F.transform(listed, lambda n: F.struct(n.alias("name"), kind.alias("kind"), F.array().cast("array<string>").alias("params"))))
-        .when(line.rlike(r"^\s*export\s+default\b"), entry(F.lit("default"), "function"))
+        F.when(plain, entry(_declared(2), "function", _names(_declared(4, 5)))).when(code.rlike(CLASS) & code.rlike(r"^\s*export\b"), entry(F.regexp_extract(code, CLASS, 2), "class"))
+        .when(code.rlike(constant), entry(F.regexp_extract(code, constant, 1), "const")).when(code.rlike(braces), F.transform(listed, lambda n: F.struct(n.alias("name"), kind.alias("kind"), F.array().cast("array<string>").alias("params"))))
+        .when(code.rlike(r"^\s*export\s+default\b"), entry(F.lit("default"), "function"))
     )
-    snippet = F.array_join(F.slice(F.split(line, "\n"), 1, 5), "\n")
+    snippet = F.array_join(F.slice(F.split("line", "\n"), 1, 5), "\n")
     return stated.withColumn("_found", found).where("_found is not null").select("file", "line_no", F.explode("_found").alias("e"), snippet.alias("snippet")).select("file", "line_no", "e.*", "snippet")
 
 
 def import_statements(stated: DataFrame) -> DataFrame:
     """(file, line_no, text): whole import statements, namespace and side-effect ones too."""
-    return stated.where(F.col("line").rlike(r"^import\b(?!\s*\()")).select("file", "line_no", F.trim("line").alias("text"))
+    return stated.where(F.col("code").rlike(r"^import\b(?!\s*\()")).select("file", "line_no", F.trim("line").alias("text"))
 
 
 def imported_names(stated: DataFrame, aliases: tuple[str, ...] = ("@/",)) -> DataFrame:
     """(file, line_no, specifier, symbol) of imports from the code base itself, by the names the file uses: a renamed one under its new name, a default under its own.
 
     Specifiers that start with neither a dot nor an alias are packages and go."""
-    line = F.col("line")
-    specifier = F.regexp_extract(line, r"from\s+[\"']([^\"']+)[\"']", 1)
+    code = F.col("code")
+    specifier = source.plain(F.regexp_extract(code, r"from\s+[\"']([^\"']+)[\"']", 1))
     local = specifier.startswith(".")
     for a in aliases:
         local |= specifier.startswith(a)
-    listed = F.transform(F.split(F.regexp_extract(line, r"\{([^}]+)\}", 1), ","), lambda p: F.regexp_replace(F.trim(F.element_at(F.split(p, r"\sas\s"), -1)), r"^type\s+", ""))
-    default = F.regexp_extract(line, rf"import\s+({NAME})\s*(?:,|from\b)", 1)
+    listed = F.transform(F.split(F.regexp_extract(code, rf"\{{{MARK}([^}}]+)\}}", 1), ","), lambda p: F.regexp_replace(F.trim(F.element_at(F.split(p, r"\sas\s"), -1)), r"^type\s+", ""))
+    default = F.regexp_extract(code, rf"import\s+({NAME})\s*(?:,|from\b)", 1)
     names = F.filter(F.concat(listed, F.array(F.when(default != "type", default).otherwise(""))), lambda n: n != "")
-    return stated.where(line.rlike(r"^import\b") & local).select("file", "line_no", specifier.alias("specifier"), F.explode(names).alias("symbol"))
+    return stated.where(code.rlike(r"^import\b") & local).select("file", "line_no", specifier.alias("specifier"), F.explode(names).alias("symbol"))
 
 
 def last_links(resolved: DataFrame) -> DataFrame:
@@ -118,22 +103,25 @@ def last_links(resolved: DataFrame) -> DataFrame:
 def called_arguments(stated: DataFrame, most: int = 200) -> DataFrame:
     """(file, line_no, callee, call, arg_index, arg): each argument of each call by name or member, nested calls too; a call without arguments has one row with nulls.
 
-    Declarations are no calls. The callee is the text before the bracket; arguments keep their own brackets and strings and are cut to `most` characters."""
-    pattern = F.concat(F.lit(r"(?<![\w$.])\Q"), F.col("callee"), F.lit(rf"\E\s*\(({INSIDE})\)"))
-    names = F.array_distinct(F.regexp_extract_all(F.regexp_replace("line", r"\bfunction\s*\*?\s*" + NAME, ""), F.lit(rf"(?<![\w$.])({NAME}(?:\.{NAME})*)\s*\("), F.lit(1)))
-    method = F.col("line").rlike(METHOD) & ~F.regexp_extract("line", METHOD, 1).isin(*KEYWORDS)
-    calls = stated.where(~method).select("file", "line_no", "line", F.explode(F.filter(names, lambda n: ~n.isin(*KEYWORDS))).alias("callee"))
-    each = calls.select("file", "line_no", "callee", F.posexplode(F.call_function("regexp_extract_all", F.col("line"), pattern, F.lit(1))).alias("call", "inside"))
-    args = F.filter(F.transform(F.regexp_extract_all("inside", F.lit(ARGUMENT), F.lit(0)), lambda a: F.trim(F.regexp_replace(a, r"\s+", " "))), lambda a: a != "")
+    Declarations are no calls. The callee is the text before the bracket, `call` the place among the statement's calls; arguments keep their
+    own brackets and strings and are cut to `most` characters."""
+    code = F.col("code")
+    method = code.rlike(METHOD) & ~F.regexp_extract(code, METHOD, 1).isin(*KEYWORDS)
+    body = F.when(method, F.regexp_replace(code, METHOD, "")).otherwise(F.regexp_replace(code, r"\bfunction\s*\*?\s*" + NAME, "function"))
+    part = lambda group: F.regexp_extract_all("_body", F.lit(CALL), F.lit(group))
+    heads = stated.select("file", "line_no", body.alias("_body")).where(F.col("_body").rlike(CALL)).select("file", "line_no", F.posexplode(F.arrays_zip(part(1).alias("callee"), part(3).alias("inside"))).alias("call", "c"))
+    each = heads.select("file", "line_no", F.col("c.callee").alias("callee"), "call", F.col("c.inside").alias("inside")).where(~F.col("callee").isin(*KEYWORDS))
+    args = F.filter(F.transform(F.regexp_extract_all("inside", F.lit(ARGUMENT), F.lit(0)), lambda a: F.trim(F.regexp_replace(source.plain(a), r"\s+", " "))), lambda a: a != "")
     return each.select("file", "line_no", "callee", "call", F.posexplode_outer(F.transform(args, lambda a: F.substring(a, 1, most))).alias("arg_index", "arg"))
 
 
 def imported_call_sites(arguments: DataFrame, owned: DataFrame, links: DataFrame) -> DataFrame:
     """(caller_file, caller, line_no, callee_file, callee, call, arg_index, arg): calls of imported names, of a member by its first part. A call outside functions is of <module>.
 
-    owned: (file, name, start_line). A function reaches to the next one of its file: the caller is the last that starts at the line or before, by one equality join."""
+    owned: (file, name, start_line), with end_line if functions have one: the caller is the last that starts at the line or before and has not ended, by one equality join."""
     hit = arguments.withColumn("symbol", F.element_at(F.split("callee", r"\."), 1)).join(links, ["file", "symbol"])
-    before = hit.select("file", "line_no").distinct().join(owned.select("file", F.col("name").alias("caller"), "start_line"), "file").where("start_line <= line_no")
+    ends = F.col("end_line") if "end_line" in owned.columns else F.lit(1 << 30)
+    before = hit.select("file", "line_no").distinct().join(owned.select("file", F.col("name").alias("caller"), "start_line", ends.alias("end_line")), "file").where("line_no between start_line and end_line")
     caller = before.groupBy("file", "line_no").agg(F.max_by("caller", "start_line").alias("caller"))
     rows = hit.join(caller, ["file", "line_no"], "left")
     return rows.select(F.col("file").alias("caller_file"), F.coalesce("caller", F.lit("<module>")).alias("caller"), "line_no", F.col("target").alias("callee_file"), F.col("symbol").alias("callee"), "call", "arg_index", "arg")

@@ -1,25 +1,34 @@
-"""Static-analysis rules as data: the YAML form of pattern rules, run as the algebra of `rules` over statements.
+"""Static-analysis rules as data: the YAML form of pattern rules, run over statements of lexed source.
 
-A pattern becomes a regular expression: `$NAME` is a name, number, string or member and the same text wherever it stands again, `...` is
-anything, white space may be missing; a line of `...` stands for any statements of the function. It sees statements' texts, not their
-trees. `pattern-inside` and `pattern-not-inside` look at the
-function around, as far as it reaches.
+A pattern becomes a regular expression over a statement's code. `$NAME` is an expression, and the same text wherever it stands again, in
+other parts of the rule too; `...` is anything within the brackets around it; strings are equal whatever their quotes; white space may be
+missing. Every match is a row with its place and bindings, those within other matches too; comments and strings are no code. A rule's parts
+are joined: by equal bindings, and by containment of places.
+
+`pattern-inside` and `pattern-not-inside` hold for what lies within a match. A line of `...` stands for any statements of the function
+around, or of the file outside functions; `for (...) { ... }` and the like are blocks, with what they have to hold.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from functools import reduce
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import path_regex
-from . import rules
+from . import rules, source
+from .modules import NAME
+from .source import HIDDEN, LINE, MARK
 
-VARIABLE = r"[\w$.\[\]]+|\"[^\"]*\"|'[^']*'"
 #: A comparison of a captured value with a number.
 COMPARISON = re.compile(r"^\s*(?:int\()?\$(\w+)\)?\s*(<=|>=|==|!=|<|>)\s*(-?[0-9.]+)\s*$")
+_TOKEN = re.compile(r"""\.\.\.|\$\.\.\.[A-Z_0-9]+|\$[A-Z_][A-Z0-9_]*|"[^"]*"|'[^']*'|`[^`]*`|=>|[=!]==?|[<>]=|&&|\|\||\?\?|\w+|\s+|.""", re.S)
+_BLOCK = re.compile(r"^\s*(for|while|if|switch|try)\s*(\(\s*\.\.\.\s*\))?\s*\{(.*?)\}\s*(?:catch\s*(?:\(.*?\))?\s*\{\s*\.\.\.\s*\}\s*)?$", re.S)
 
 
 def load_rules(folder: str) -> list[dict]:
@@ -29,66 +38,272 @@ def load_rules(folder: str) -> list[dict]:
     return [rule for path in sorted(Path(folder).glob("*.yaml")) for rule in (yaml.safe_load(path.read_text(encoding="utf-8")) or {}).get("rules") or []]
 
 
-def pattern_regex(pattern: str) -> tuple[str, list[str]]:
-    """(regular expression, its captured variables in order)."""
-    lines = [x.strip() for x in pattern.strip().splitlines()]
-    body = " ".join(x for x in lines if x != "...")
-    out, names = "", []
-    for token in re.findall(r"\$[A-Z_][A-Z0-9_]*|\.\.\.|\w+|\s+|.", body):
-        if token.startswith("$") and len(token) > 1:
-            if token[1:] in names:
-                out += rf"\{names.index(token[1:]) + 1}"
+class Pattern(NamedTuple):
+    """A regular expression over code, to be put into one group, and the group of each place of a metavariable."""
+
+    regex: str
+    places: tuple[tuple[str, int], ...]
+
+    @property
+    def names(self) -> set[str]:
+        return {name for name, _ in self.places}
+
+
+class _Builder:
+    """Writes a pattern's regular expression. Repeats are possessive or go by whole items, as long texts need it; group 1 is the whole match."""
+
+    def __init__(self) -> None:
+        self.groups, self.places = 1, []
+
+    def _group(self) -> int:
+        self.groups += 1
+        return self.groups
+
+    def _pair(self) -> str:
+        g = self._group()
+        return rf"[(\[{{]({MARK})[\s\S]*?[)\]}}]\{g}"
+
+    def parts(self, but: str, repeat: str) -> str:
+        """Text and whole brackets, without these characters outside of them."""
+        return rf"(?:[^()\[\]{{}}{but}]++|{self._pair()}){repeat}"
+
+    def captured(self, name: str, regex) -> str:
+        self.places.append((name, self._group()))
+        return f"({regex()})"
+
+    def expression(self) -> str:
+        """Names, literals, calls and members in a chain, perhaps behind an operator."""
+        first = rf"(?:{NAME}|\d[\w.]*|[\"']{HIDDEN}*+[\"']|`[^`]*+`|{self._pair()})"
+        return rf"(?:(?:new|await|typeof)\s+|[!~-]\s*)?{first}(?:\s*\??\.\s*{NAME}|{self._pair()})*"
+
+    def template(self, text: str) -> str:
+        out = "`"
+        for token in re.findall(r"\.\.\.|\$\{|\}|\$[A-Z_][A-Z0-9_]*|[^.$}]+|.", text):
+            if token == "...":
+                out += "[^`]*?"
+            elif token.startswith("$") and len(token) > 1 and token != "${":
+                inner = lambda: self.captured(token[1:], self.expression)  # noqa: B023, E731
+                out += rf"\s*{inner()}\s*" if out.endswith(f"{MARK}") else rf"\$\{{{MARK}\s*{inner()}\s*\}}{MARK}"
+            elif token in ("${", "}"):
+                out += ("\\$\\{" if token == "${" else "\\}") + MARK
+            elif token.strip():
+                out += re.escape(source.hidden(token.strip()))
+        return out + "`"
+
+    def build(self, pattern: str) -> Pattern:
+        tokens = [t for t in _TOKEN.findall(pattern.strip()) if not t.isspace()]
+        out, opened, i = "", [], 0
+        while i < len(tokens):
+            t = tokens[i]
+            before, after = tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""
+            if t == "..." or t.startswith("$..."):
+                if after == ",":
+                    out, i = out + rf"(?:{self.parts(',', '*+')},)*?\s*", i + 1
+                elif opened:
+                    out += self.parts("", "*+")
+                else:  # the rest of a statement
+                    out += self.parts(";", "*+")
+            elif t == "," and after == "..." and i + 2 < len(tokens) and tokens[i + 2] in ")]}":
+                out, i = out + rf"\s*(?:,{self.parts(',', '*+')})*+", i + 1
+            elif t.startswith("$") and len(t) > 1:
+                if before == ".":
+                    out += self.captured(t[1:], lambda: NAME)
+                elif before and before in "([,:" or before == "..." or (before == "{" and after in (",", "}")):
+                    whole = after and after in ",)]}"
+                    out += r"\s*" + self.captured(t[1:], lambda: self.parts(",;", "++") if whole else self.expression())  # noqa: B023
+                else:
+                    out += ("" if out else r"(?<![\w$.])") + self.captured(t[1:], self.expression)
+                if after and (after[0].isalnum() or after[0] == "$"):
+                    out += r"\s+"
+            elif t[0] in "\"'" and len(t) > 1:
+                inner = t[1:-1]
+                if inner == "...":
+                    out += rf"[\"'`]{HIDDEN}*+[\"'`]"
+                elif re.fullmatch(r"\$[A-Z_][A-Z0-9_]*", inner):
+                    out += rf"[\"'`]{self.captured(inner[1:], lambda: HIDDEN + '*+')}[\"'`]"
+                else:
+                    out += rf"[\"'`]{re.escape(source.hidden(inner))}[\"'`]"
+            elif t[0] == "`" and len(t) > 1:
+                out += self.template(t[1:-1])
+            elif t in "([{":
+                opened.append(self._group())
+                out += rf"\s*\{t}({MARK})\s*"
+            elif t in ")]}" and opened:
+                out += rf"\s*,?\s*\{t}\{opened.pop()}"
+            elif t in ")]}" or t == "{":
+                out += rf"\s*\{t}{MARK}"
+            elif t == "=":
+                # What is declared may have a type.
+                out += r"(?:\s*:[^=;(){}]+)?\s*(?<![=!<>])=(?![=>])\s*"
+            elif re.match(r"\w", t):
+                out += rf"(?<![\w${'' if out else '.'}]){t}(?![\w$])" + (r"\s*+" if after and re.match(r"[\w$\"'`]", after) else "")
+            elif t == ";":
+                out += r"\s*;?"
             else:
-                names.append(token[1:])
-                out += f"({VARIABLE})"
-        elif token == "...":
-            out += r"[\s\S]*?"
-        elif token.isspace():
-            out += r"\s*"
-        else:
-            out += (r"\b" if token[0].isalnum() else r"\s*") + re.escape(token) + (r"\b" if token[-1].isalnum() else r"\s*")
-    # `..., x` also stands for x alone, and `x, ...` too.
-    out = out.replace(r"[\s\S]*?\s*,\s*", r"(?:[\s\S]*?,)?\s*").replace(r"\s*,\s*\s*[\s\S]*?", r"(?:\s*,[\s\S]*?)?")
-    return out, names
+                guard = r"(?<![=!<>])" if t[0] in "=!<>" else ""
+                out += rf"\s*{guard}{re.escape(t)}" + ("(?![=>])" if t[0] in "=!<>" else "") + r"\s*"
+            i += 1
+        return Pattern(out, tuple(self.places))
+
+
+def compiled(pattern: str) -> Pattern:
+    return _Builder().build(pattern)
+
+
+def _place(line_no: Column, text: Column) -> Column:
+    """The place behind so much of a statement's code."""
+    lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return (line_no + lines).cast("long") * LINE + F.char_length(F.substring_index(text, "\n", -1))
+
+
+def matches(stated: DataFrame, pattern: str, raw: bool = False) -> DataFrame:
+    """(file, first, last, values): each match of the pattern in a statement, with its first and last place and its bindings; those that begin within others too.
+
+    raw: a regular expression over lines as they are, whose matches are whole statements."""
+    if raw:
+        hit = stated.where(F.col("line").rlike(pattern))
+        return hit.select("file", (F.col("line_no").cast("long") * LINE).alias("first"), ((F.col("last").cast("long") + 1) * LINE - 1).alias("last"), F.create_map().cast("map<string,string>").alias("values"))
+    made = compiled(pattern)
+    ahead = f"(?=({made.regex}))"
+    every = lambda g: F.regexp_extract_all("code", F.lit(ahead), F.lit(g))
+    groups = [g for _, g in made.places]
+    found = stated.where(F.col("code").rlike(ahead)).select("file", "line_no", F.split("code", ahead, -1).alias("_pieces"), F.posexplode(F.arrays_zip(every(1).alias("whole"), *(every(g).alias(f"g{g}") for g in groups))).alias("_i", "_m"), F.size(every(1)).alias("_n"))
+    before = F.array_join(F.slice("_pieces", 1, F.col("_i") + F.size("_pieces") - F.col("_n")), "")
+    found = found.withColumn("_before", before)
+    value = lambda g: F.trim(F.regexp_replace(source.plain(F.col(f"_m.g{g}")), r"\s+", " "))
+    first = dict(reversed(made.places))
+    for name, g in made.places:  # the same text wherever a name stands
+        if g != first[name]:
+            found = found.where(value(g) == value(first[name]))
+    values = F.create_map(*(c for name, g in first.items() for c in (F.lit(name), value(g)))) if first else F.create_map().cast("map<string,string>")
+    return found.select("file", _place(F.col("line_no"), F.col("_before")).alias("first"), (_place(F.col("line_no"), F.concat("_before", "_m.whole")) - 1).alias("last"), values.alias("values"))
+
 
+class _Rows(NamedTuple):
+    """Matches and the names that all of them bind."""
 
-def _spans(stated: DataFrame, pattern: str, raw: bool = False) -> DataFrame:
-    regex, names = (pattern, []) if raw else pattern_regex(pattern)
-    values = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.regexp_extract("line", regex, i + 1) for i in range(len(names))))) if names else F.create_map().cast("map<string,string>")
-    return stated.where(F.col("line").rlike(regex)).select("file", F.col("line_no").alias("first"), "last", values.alias("values"))
+    rows: DataFrame
+    names: frozenset
 
 
-def _steps(pattern: str) -> list[str]:
-    """The parts of a pattern between lines of `...`, which stand for any statements."""
+class _Run:
+    """One run of rules: the statements, and the nested spans of functions and of blocks."""
+
+    def __init__(self, stated: DataFrame, owned: DataFrame, blocks: DataFrame | None):
+        self.stated, self.blocks = stated, blocks
+        self.functions = owned.select("file", "depth", (F.col("start_line").cast("long") * LINE).alias("first"), ((F.col("end_line").cast("long") + 1) * LINE - 1).alias("last")).dropDuplicates(["file", "depth", "first"])
+
+    def within(self, globs: list[str]) -> _Run:
+        """The run over files that one of the globs fits."""
+        out = object.__new__(_Run)
+        out.stated, out.blocks, out.functions = self.stated.where(F.col("file").rlike("|".join(path_regex(g, recursive=True) for g in globs))), self.blocks, self.functions
+        return out
+
+    def _own(self, rows: DataFrame) -> DataFrame:
+        """rows with the function around each, or the whole file, as _from and _to."""
+        spans = self.functions.select("file", "depth", "first", "last", F.col("first").alias("_from"), F.col("last").alias("_to"))
+        found = source.innermost(rows.withColumn("at", F.col("first")).withColumnsRenamed({"first": "_first", "last": "_last"}), spans)
+        named = found.drop("at", "first", "last", "depth").withColumnsRenamed({"_first": "first", "_last": "last"})
+        return named.withColumn("_to", F.coalesce("_to", F.lit((1 << 62)))).withColumn("_from", F.coalesce("_from", F.lit(0).cast("long")))
+
+    def _scoped(self, step: str) -> _Rows:
+        """Matches of a step as (file, _from, _a, _z, _more): once for each function around and once for the file."""
+        hit = matches(self.stated, step)
+        spans = self.functions.select("file", "depth", "first", "last", F.col("first").alias("_from"))
+        inner = source.around(hit.withColumn("at", F.col("first")), spans).select("file", "at", "_from")
+        inner = hit.join(inner.withColumnRenamed("at", "first"), ["file", "first"])
+        every = inner.unionByName(hit.withColumn("_from", F.lit(0).cast("long")))
+        return _Rows(every.select("file", "_from", F.col("first").alias("_a"), F.col("last").alias("_z"), F.col("values").alias("_more")), frozenset(compiled(step).names))
+
+    def sequence(self, steps: list[str]) -> _Rows:
+        """From a match of the first step to the next one of the second in its function, and so on, with equal bindings."""
+        out, known = self._own(matches(self.stated, steps[0])), frozenset(compiled(steps[0]).names)
+        for step in steps[1:]:
+            later, names = self._scoped(step)
+            joined = _unified(out, later, known & names, ["file", "_from"]).where("_a > last")
+            nearest = joined.groupBy("file", "_from", "_to", "first", "last", F.to_json("values").alias("_key")).agg(F.min_by(F.struct("_z", "values", "_more"), "_a").alias("n"))
+            out = nearest.select("file", "_from", "_to", "first", F.col("n._z").alias("last"), _added(F.col("n.values"), F.col("n._more")).alias("values"))
+            known |= names
+        return _Rows(out.drop("_from", "_to"), known)
+
+    def block(self, owner: str, body: str) -> _Rows:
+        """Blocks of this owner, from the line of their statement, that hold the steps of the body in order, with their bindings."""
+        if self.blocks is None:
+            raise ValueError("rules on blocks need the bracket intervals")
+        spans = self.blocks.where((F.col("owner") == owner) & F.col("block")).select("file", "depth", "first", "last", (F.col("first_line").cast("long") * LINE).alias("_head"), F.col("last").alias("_to"))
+        out, known = None, frozenset()
+        for step in _steps(body).steps:
+            hit = matches(self.stated, step)
+            inner = hit.join(source.around(hit.withColumn("at", F.col("first")), spans).select("file", F.col("at").alias("first"), "_head", "_to"), ["file", "first"])
+            names = frozenset(compiled(step).names)
+            if out is None:
+                out = inner
+            else:
+                later = inner.select("file", "_head", "_to", F.col("first").alias("_a"), F.col("last").alias("_z"), F.col("values").alias("_more"))
+                joined = _unified(out, later, known & names, ["file", "_head", "_to"]).where("_a > last")
+                out = joined.select("file", "_head", "_to", "first", F.col("_z").alias("last"), _added(F.col("values"), F.col("_more")).alias("values"))
+            known |= names
+        if out is None:
+            out = spans.withColumn("values", F.create_map().cast("map<string,string>"))
+        return _Rows(out.select("file", F.col("_head").alias("first"), F.col("_to").alias("last"), "values"), known)
+
+    def pattern(self, text: str) -> _Rows:
+        if m := _BLOCK.match(text):
+            return self.block(m[1], m[3])
+        parts = _steps(text)
+        if len(parts.steps) > 1:
+            return self.sequence(parts.steps)
+        return _Rows(matches(self.stated, parts.steps[0]), frozenset(compiled(parts.steps[0]).names))
+
+    def held(self, found: _Rows, text: str) -> DataFrame:
+        """The rows of `found` that lie within a match of the pattern with equal bindings."""
+        rows, keys = found.rows, ["file", "first", "last", "_key"]
+        rows = rows.withColumn("_key", F.to_json("values"))
+        parts = _steps(text)
+        if (m := _BLOCK.match(text)) or (len(parts.steps) == 1 and not parts.leads and not parts.trails):
+            inner, names = self.block(m[1], m[3]) if m else self.pattern(text)
+            inner = inner.select("file", F.col("first").alias("_a"), F.col("last").alias("_z"), F.col("values").alias("_more"))
+            return _unified(rows, inner, found.names & names, ["file"]).where("_a <= first and _z >= last").select(*keys)
+        out, known = self._own(rows), found.names
+        for k, step in enumerate(parts.steps):
+            inner, names = self._scoped(step)
+            out = _unified(out, inner, known & names, ["file", "_from"])
+            out = out.where("_a > _end") if k else out if parts.leads else out.where("_a <= first")
+            out = out.select("file", "first", "last", "_key", "_from", _added(F.col("values"), F.col("_more")).alias("values"), F.col("_z").alias("_end"))
+            if k + 1 < len(parts.steps):  # of equal bindings the first end leaves most to what follows
+                out = out.groupBy("file", "first", "last", "_key", "_from", F.to_json("values").alias("_now")).agg(F.min_by(F.struct("values", "_end"), "_end").alias("n")).select("file", "first", "last", "_key", "_from", "n.*")
+            known |= names
+        return (out if parts.trails else out.where("_end >= last")).select(*keys)
+
+
+class _Parts(NamedTuple):
+    steps: list[str]
+    leads: bool
+    trails: bool
+
+
+def _steps(pattern: str) -> _Parts:
+    """The parts of a pattern between lines of `...`, which stand for any statements, and whether it begins and ends with such a line."""
+    lines = [x.strip() for x in pattern.strip().splitlines() if x.strip()]
     parts: list[list[str]] = [[]]
-    for line in pattern.strip().splitlines():
-        if line.strip() == "...":
+    for line in lines:
+        if line == "...":
             parts.append([])
         else:
             parts[-1].append(line)
-    return ["\n".join(p) for p in parts if p]
+    return _Parts(["\n".join(p) for p in parts if p], lines[:1] == ["..."], len(lines) > 1 and lines[-1] == "...")
 
 
-def _sequence(stated: DataFrame, scopes: DataFrame, steps: list[str]) -> DataFrame:
-    """Spans from a statement of the first step to the next of the second, and so on, in one function, with equal variables: an equality join for each step."""
-    reach = scopes.select("file", F.col("first").alias("_scope"), F.col("last").alias("_end"))
-    out, known = None, set()
-    for step in steps:
-        hit = _spans(stated, step)
-        hit = hit.join(reach, (hit["file"] == reach["file"]) & hit["first"].between(F.col("_scope"), F.col("_end")), "left").select(hit["file"], F.coalesce("_scope", F.lit(0)).alias("_scope"), "first", "last", "values")
-        names = set(pattern_regex(step)[1])
-        if out is None:
-            out = hit
-        else:
-            later = hit.select("file", "_scope", F.col("first").alias("_a"), F.col("last").alias("_z"), F.col("values").alias("_more"))
-            joined = out.join(later, ["file", "_scope"]).where("_a > last")
-            for name in known & names:
-                joined = joined.where(F.col("values")[name] == F.col("_more")[name])
-            nearest = joined.groupBy("file", "_scope", "first", F.to_json("values").alias("_key")).agg(F.min_by(F.struct("_z", "values", "_more"), "_a").alias("n"))
-            more = F.map_filter("n._more", lambda k, _: ~F.array_contains(F.map_keys("n.values"), k))
-            out = nearest.select("file", "_scope", "first", F.col("n._z").alias("last"), F.map_concat("n.values", more).alias("values"))
-        known |= names
-    return out.drop("_scope")
+def _unified(left: DataFrame, right: DataFrame, names: frozenset, keys: list[str]) -> DataFrame:
+    """left joined with right (keys, _a, _z, _more) on equal keys and equal bindings of these names."""
+    bound = {f"_v{i}": n for i, n in enumerate(sorted(names))}
+    a = left.withColumns({c: F.col("values")[n] for c, n in bound.items()}) if bound else left
+    b = right.withColumns({c: F.col("_more")[n] for c, n in bound.items()}) if bound else right
+    return a.join(b, [*keys, *bound]).drop(*bound)
+
+
+def _added(values: Column, more: Column) -> Column:
+    return F.map_concat(values, F.map_filter(more, lambda k, _: ~F.array_contains(F.map_keys(values), k)))
 
 
 def _condition(entry: dict) -> Column | None:
@@ -104,64 +319,64 @@ def _condition(entry: dict) -> Column | None:
     return None
 
 
-def _scopes(stated: DataFrame, scopes: DataFrame, pattern: str) -> DataFrame:
-    """The functions (file, first, last) in which the pattern is."""
-    hit = _spans(stated, pattern).select(F.col("file").alias("_f"), F.col("first").alias("_at"))
-    return scopes.join(hit, (F.col("file") == F.col("_f")) & F.col("_at").between(F.col("first"), F.col("last")), "left_semi").select("file", "first", "last")
-
-
-def _found(stated: DataFrame, scopes: DataFrame, rule: dict) -> DataFrame:
+def _found(run: _Run, rule: dict) -> _Rows:
     parts = rule.get("patterns") or [{k: v for k, v in rule.items() if k.startswith("pattern")}]
     out, later = None, []
     for entry in parts:
         for key, value in entry.items():
             if key == "pattern":
-                steps = _steps(value)
-                hit = _spans(stated, value) if len(steps) == 1 else _sequence(stated, scopes, steps)
+                hit = run.pattern(value)
             elif key == "pattern-regex":
-                hit = _spans(stated, value, raw=True)
+                hit = _Rows(matches(run.stated, value, raw=True), frozenset())
             elif key == "pattern-either":
-                hit = None
-                for choice in value:
-                    more = _found(stated, scopes, choice)
-                    hit = more if hit is None else hit.unionByName(more)
+                choices = [_found(run, choice) for choice in value]
+                hit = _Rows(reduce(DataFrame.unionByName, (c.rows for c in choices)), frozenset.intersection(*(c.names for c in choices)))
             else:
                 later.append((key, value, entry))
                 continue
-            kept = hit.select("file", "first", "last", F.col("values").alias("_more"))
-            out = hit if out is None else out.join(kept, ["file", "first", "last"]).withColumn("values", F.map_concat("values", F.map_filter("_more", lambda k, v: ~F.array_contains(F.map_keys("values"), k)))).drop("_more")
+            if out is None:
+                out = hit
+            else:
+                more = hit.rows.withColumnRenamed("values", "_more")
+                joined = _unified(out.rows, more, out.names & hit.names, ["file", "first", "last"])
+                out = _Rows(joined.select("file", "first", "last", _added(F.col("values"), F.col("_more")).alias("values")), out.names | hit.names)
     if out is None:
         raise ValueError(f"rule without a pattern: {rule}")
     for key, value, entry in later:
-        if key == "pattern-not":
-            out = rules.without(out, _spans(stated, value))
-        elif key == "pattern-inside":
-            out = rules.inside(out, _scopes(stated, scopes, value))
-        elif key == "pattern-not-inside":
-            out = rules.not_inside(out, _scopes(stated, scopes, value))
+        if key in ("pattern-not", "pattern-inside", "pattern-not-inside"):
+            # A negative pattern takes out what lies within its matches, and `pattern-not` is no more than that for equal or wider ones.
+            held = run.held(out, value)
+            rows = out.rows.withColumn("_key", F.to_json("values")).join(held.distinct(), ["file", "first", "last", "_key"], "left_semi" if key == "pattern-inside" else "left_anti").drop("_key")
         elif (condition := _condition(entry)) is not None:
-            out = rules.where(out, condition)
+            rows = rules.where(out.rows, condition)
         else:
             raise ValueError(f"no such part of a rule: {key}")
+        out = _Rows(rows, out.names)
     return out
 
 
-def run_rules(stated: DataFrame, owned: DataFrame, rule_list: list[dict]) -> DataFrame:
-    """(rule_id, file, line_start, line_end, severity, message, metadata): each rule's distinct hits; metadata as JSON. owned: (file, name, start_line), each reaching to the next.
+def _message(text: str, names: frozenset) -> Column:
+    """The message with the bindings in place of their names; a name that is not bound stays."""
+    out = F.lit(text)
+    for name in sorted(names, key=len, reverse=True):
+        if f"${name}" in text:
+            out = F.replace(out, F.lit(f"${name}"), F.coalesce(F.col("values")[name], F.lit(f"${name}")))
+    return out
 
-    paths.include narrows a rule to the files that a glob fits; a few rules are a union of a few filters over one scan."""
-    import json
 
-    from pyspark.sql import Window
+def run_rules(stated: DataFrame, owned: DataFrame, rule_list: list[dict], blocks: DataFrame | None = None) -> DataFrame:
+    """(rule_id, file, line_start, line_end, severity, message, metadata): each rule's distinct hits, with bindings in the message; metadata as JSON.
 
-    last = stated.groupBy("file").agg(F.max("last").alias("_end"))
-    after = F.lead("start_line").over(Window.partitionBy("file").orderBy("start_line"))
-    scopes = owned.withColumn("_next", after).join(last, "file").select("file", F.col("start_line").alias("first"), F.coalesce(F.col("_next") - 1, F.col("_end")).alias("last"))
-    out = None
+    owned: `modules.functions`; blocks: `source.intervals`, for rules on loops and the like. paths.include narrows a rule to the files that a
+    glob fits. Each rule is a plan of its own over the same statements, which are best written first."""
+    run, out = _Run(stated, owned, blocks), None
     for rule in rule_list:
         globs = (rule.get("paths") or {}).get("include") or []
-        seen = stated.where(F.col("file").rlike("|".join(path_regex(g, recursive=True) for g in globs))) if globs else stated
-        hits = rules.reported(_found(seen, scopes, rule).select("file", "first", "last").distinct(), rule["id"], rule.get("severity", "WARNING"))
-        hits = hits.withColumns({"message": F.lit(rule.get("message", "")), "metadata": F.lit(json.dumps(rule.get("metadata") or {}, sort_keys=True))})
-        out = hits if out is None else out.unionByName(hits)
+        hits, names = _found(run.within(globs) if globs else run, rule)
+        line = lambda c: F.floor(F.col(c) / LINE).cast("int")
+        named = hits.select("file", line("first").alias("first"), line("last").alias("last"), _message(rule.get("message", ""), names).alias("message")).distinct()
+        same = {"rule_id": rule["id"], "severity": rule.get("severity", "WARNING"), "metadata": json.dumps(rule.get("metadata") or {}, sort_keys=True)}
+        made = named.withColumnsRenamed({"first": "line_start", "last": "line_end"}).withColumns({c: F.lit(x) for c, x in same.items()})
+        made = made.select("rule_id", "file", "line_start", "line_end", "severity", "message", "metadata")
+        out = made if out is None else out.unionByName(made)
     return out

@@ -164,9 +164,8 @@ calls AS (
 )"""
 #: What each event's statements in a module say, known from how they are made.
 MODULES = """
-event AS (SELECT *, 'm' || user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 3 - 2 AS b, event_id AS k, CASE WHEN event_type IN ('click', 'signup', 'view', 'purchase') THEN event_type ELSE 'rest' END AS kind FROM events),
+event AS (SELECT *, 'm' || user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 4 - 2 AS b, event_id AS k, CASE WHEN event_type IN ('click', 'signup', 'view', 'purchase') THEN event_type ELSE 'rest' END AS kind FROM events),
 fn AS (SELECT file, 'f' || (k % 50) AS name, true AS exported, b AS start_line, 'key,iv' AS params FROM event WHERE kind = 'signup' UNION ALL SELECT file, 'K' || k || '.seal', false, b + 1, 'key,data' FROM event WHERE kind = 'purchase'),
-scope AS (SELECT *, lead(start_line) OVER w AS next_line, lead(name) OVER w AS next_name FROM fn WINDOW w AS (PARTITION BY file ORDER BY start_line)),
 link AS (SELECT 'm' || user_id AS file, 'r' || (k % 5) AS symbol, max(CASE WHEN EXISTS (SELECT 1 FROM events o WHERE o.user_id = e.user_id + 1) THEN '' ELSE './' END || 'm' || (user_id + 1)) AS target FROM event e WHERE kind = 'click' GROUP BY ALL)"""
 #: Recorded answers and whether they can be read, known from how they are made.
 _ANSWERS = """
@@ -253,9 +252,9 @@ def oracle_sql() -> dict[str, str]:
         "imported_call_sites": f"WITH {MODULES} SELECT e.file AS caller_file, coalesce((SELECT arg_max(name, start_line) FROM fn WHERE fn.file = e.file AND start_line <= b), '<module>') AS caller, b AS line_no, target AS callee_file, symbol AS callee, unnest([0, 1, 2]) AS arg_index, unnest(['wrap(iv, ''a,b'')', '[1, 2]', '{{ n: data }}']) AS arg FROM event e JOIN link ON link.file = e.file AND symbol = 'r' || (k % 5) WHERE kind = 'view'",
         "imported_signatures": f"WITH {MODULES}, first AS (SELECT name, min({{'f': file, 'l': start_line}}) AS a FROM fn WHERE exported GROUP BY name) SELECT DISTINCT 'm' || (user_id - 1) AS file, name, a.f AS target, a.l AS line_no, 'key,iv' AS params FROM event JOIN first ON name = 'f' || (k % 50) WHERE kind = 'signup'",
         "sast_rule_files": f"""WITH {MODULES}, hit AS (
-          SELECT 'short-number' AS rule_id, file, b + 1 AS line_start, b + 1 AS line_end, 'WARNING' AS severity, 'number $N too low' AS message, '{{"cwe": "CWE-916"}}' AS metadata FROM event WHERE kind = 'rest' AND k % 20 < 12
+          SELECT 'short-number' AS rule_id, file, b + 1 AS line_start, b + 1 AS line_end, 'WARNING' AS severity, 'number ' || (k % 20) || ' too low' AS message, '{{"cwe": "CWE-916"}}' AS metadata FROM event WHERE kind = 'rest' AND k % 20 < 12
           UNION ALL SELECT 'unverified-token', file, b + 2, b + 2, 'ERROR', 'decoded without verification', '{{"checklist_map": "JWT01"}}' FROM event WHERE kind = 'rest' AND file LIKE 'm1%'
-          UNION ALL SELECT 'wrapped-outside-class', file, b, b + 1, 'INFO', 'wrapped', '{{}}' FROM event e WHERE kind = 'view' AND k % 5 <> 4 AND NOT EXISTS (SELECT 1 FROM scope s WHERE s.file = e.file AND start_line <= b AND b < next_line AND next_name LIKE 'K%')
+          UNION ALL SELECT 'wrapped-outside-class', file, b, b + 1, 'INFO', 'wrapped', '{{}}' FROM event e WHERE kind = 'view' AND k % 5 <> 4 AND (EXISTS (SELECT 1 FROM fn WHERE fn.file = e.file AND start_line <= b) OR NOT EXISTS (SELECT 1 FROM fn WHERE fn.file = e.file AND name LIKE 'K%'))
         ) SELECT * FROM hit""",
         "status_shares": full + "".join(f" {'UNION ALL ' if i else ''}SELECT '{x}' AS name, count(*) FILTER ({c} = '{x}') AS n, round(count(*) FILTER ({c} = '{x}') * 100 / greatest(count(*), 1), 1) AS percent FROM tiered{w}" for i, (c, x, w) in enumerate([("triage_status", x, "") for x in ("rejected", "passed_layer1", "rejected_by_ml", "validated", "whitelisted")] + [("confidence_tier", x, " WHERE triage_status = 'validated'") for x in ("high", "medium", "low")])),
         "normalize_findings": "WITH " + FINDINGS + " SELECT pos, CASE WHEN pos % 8 = 0 THEN NULL ELSE checklist_item END AS checklist_item, severity, line_start, greatest(line_start, CASE pos % 6 WHEN 0 THEN line_start WHEN 1 THEN 3 ELSE line_end END) AS line_end, trim(finding, ' ') AS finding, trim(evidence, ' ') AS evidence FROM findings",

@@ -301,7 +301,7 @@ def _stated(spark, sf_dir):
 
 
 def module_functions(spark, sf_dir):
-    return modules.functions(_stated(spark, sf_dir)).withColumn("params", F.array_join("params", ","))
+    return modules.functions(_stated(spark, sf_dir)).withColumn("params", F.array_join("params", ",")).drop("end_line", "depth")
 
 
 def module_exports(spark, sf_dir):
@@ -326,7 +326,7 @@ def _module_links(spark, sf_dir):
 
 
 def imported_call_sites(spark, sf_dir):
-    stated = _stated(spark, sf_dir)
+    stated = written(_stated(spark, sf_dir))
     return modules.imported_call_sites(modules.called_arguments(stated), modules.functions(stated), _module_links(spark, sf_dir)).drop("call")
 
 
@@ -361,7 +361,7 @@ RULES = [
 
 
 def sast_rule_files(spark, sf_dir):
-    stated = _stated(spark, sf_dir)
+    stated = written(_stated(spark, sf_dir))
     return rule_files.run_rules(stated, modules.functions(stated), RULES)
 
 

@@ -105,16 +105,42 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def module_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, line_no, line): a user's events in order as statements of a module, three lines each, with imports under other names, methods, and lists and calls over several lines."""
+    """(file, line_no, line): a user's events in order as statements of a module, four lines each, with imports under other names, methods, and lists and calls over several lines.
+
+    Sign-ups and purchases open a function, or a class with a method, that last to the next of them; the first line of other events has brackets
+    and quotes in comments, templates and regular expressions."""
     e = table(spark, sf_dir, "events")
     k, u = F.col("event_id"), F.col("user_id")
     text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, F.Column) else F.lit(p) for p in parts))
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    opened = F.last(F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    odd = _chosen(k % 4, {0: "// see the notes :(", 1: "/* it's { open */", 2: "  const open = /[({]'\\/\"/g;"}, "  const note = `a ${k} ({'` + '// [';")
+    first = F.when(~F.col("event_type").isin("signup", "purchase"), odd).otherwise(_chosen(opened, {"signup": "}", "purchase": "}}"}, ""))
     lines = _chosen(F.col("event_type"), {
         "click": F.array(text("import def", k, ", { a", k % 7, " as r", k % 5, ", b", k % 3, " } from './m", u + 1, "';"), F.lit("import * as ns from 'package';"), F.lit("import './effects';")),
         "signup": F.array(text("export const f", k % 50, " = async ("), F.lit("  key: CryptoKey, iv = mix(1, 'a,(b'),"), F.lit(") => {")),
-        "view": F.array(text("  await r", k % 5, "(wrap(iv, 'a,b'), [1, 2],"), F.lit("    { n: data });"), F.lit("}")),
-        "purchase": F.array(text("export class K", k, " {"), F.lit("  static async seal(key, data) {"), F.lit("}")),
+        "view": F.array(text("  await r", k % 5, "(wrap(iv, 'a,b'), [1, 2],"), F.lit("    { n: data });"), F.lit("  // }")),
+        "purchase": F.array(text("export class K", k, " {"), F.lit("  static async seal(key, data) {"), F.lit("    return key;")),
     }, F.array(text("export { x", k, ", y as z", k, " } from './m0';"), text("export const c", k, " = ", k % 20, ";"), F.lit("jwt.decode(token, options);")))
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    each = e.select(F.concat(F.lit("m"), u.cast("string")).alias("file"), place.alias("_place"), lines.alias("_lines"))
-    return each.select("file", "_place", F.posexplode("_lines").alias("_i", "line")).select("file", (F.col("_place") * 3 - 2 + F.col("_i")).alias("line_no"), "line")
+    each = e.select(F.concat(F.lit("m"), u.cast("string")).alias("file"), F.row_number().over(order).alias("_place"), F.concat(F.array(first), lines).alias("_lines"))
+    return each.select("file", "_place", F.posexplode("_lines").alias("_i", "line")).select("file", (F.col("_place") * 4 - 3 + F.col("_i")).alias("line_no"), "line")
+
+
+def nested_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, line_no, line): a user's events in order, ten lines each, as functions with one inside the other, loops, and the same names in all of them.
+
+    Sign-ups pass the vector on as a parameter, clicks draw it, views derive it in a loop with an encryption after the loop too, purchases fix it
+    in the inner function; others have all of it in comments and strings."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id").cast("string")
+    text = lambda *parts: F.concat(*(p if isinstance(p, F.Column) else F.lit(p) for p in parts))
+    call = "crypto.subtle.encrypt({ name: 'AES-GCM', iv: iv }, key, data);"
+    body = lambda *lines: F.array(text("export function f", k, "(", lines[0], ") {"), *(p if isinstance(p, F.Column) else F.lit(p) for p in lines[1:]), F.lit("}"))
+    lines = _chosen(F.col("event_type"), {
+        "signup": body("key, iv, data", "  // const iv = 'not this one';", "  function inner(data) {", "    const iv = 42;", "    return data;", "  }", "  const t = `${iv} { (`;", "  await " + call, "  return t;"),
+        "click": body("key, data", "  const iv = crypto.getRandomValues(new Uint8Array(12));", "  if (data) {", "    /* } */ await " + call, "  }", "  const p = /[)}]/;", "  return iv;", "", ""),
+        "view": body("key, data", "  for (const part of data) {", "    const iv = await hkdf(key, '}');", "    await " + call, "  }", "  const iv = 7;", "  await " + call, "", ""),
+        "purchase": body("key, iv", "  function seal(data) {", "    const iv = 'fixed';", "    await " + call, "  }", "  return seal;", "", "", ""),
+    }, body("key, iv, data", "  /* for (;;) {", "  await " + call, "  } */", '  const s = "await crypto.subtle.encrypt({ iv: iv }, key)";', "  return s;", "", "", ""))
+    each = e.select(F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("file"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("_place"), lines.alias("_lines"))
+    return each.select("file", "_place", F.posexplode("_lines").alias("_i", "line")).select("file", (F.col("_place") * 10 - 9 + F.col("_i")).alias("line_no"), "line")
