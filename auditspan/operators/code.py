@@ -1,7 +1,8 @@
 """Facts from TypeScript-like source, read line by line with regular expressions.
 
 A full parser would be a library behind a thin function; these read declarations, imports and calls that stand on one line, which is what
-the audit asks about, and they do it inside Spark expressions. input: (file, line_no, line).
+the audit asks about, and they do it inside Spark expressions. input: (file, line_no, line). `masked` gives lines in which comments are
+blank and strings cannot be taken for code; traces and assignments read both kinds.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import source
+
 #: What counts as a call of the cryptography interface.
 SUBTLE = ("encrypt", "decrypt", "deriveKey", "deriveBits", "importKey", "exportKey", "generateKey", "sign", "verify", "wrapKey", "unwrapKey", "digest")
 HELPERS = ("deriveChunkIV", "encryptLargeSecretKey", "decryptLargeSecretKey", "encryptFilename", "decryptFilename", "argon2id", "hkdf", "encryptFileChunk", "decryptFileChunk", "encryptHybrid", "decryptHybrid", "wrapKey", "unwrapKey", "keyWrap")
@@ -19,6 +22,11 @@ CALL = r"([A-Za-z_$][A-Za-z0-9_$.]*)\s*\("
 KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "await", "async")
 
 
+def masked(lexed: DataFrame) -> DataFrame:
+    """(file, line_no, line) of `source.lexed`: the code alone, without depth marks, strings in their shadow alphabet."""
+    return lexed.where("bracket is null").select("file", "line_no", F.regexp_replace("code", source.MARK, "").alias("line"))
+
+
 def functions(rows: DataFrame) -> DataFrame:
     """(file, name, exported, start_line, end_line, params): a function ends before the next one of its file, or with the file."""
     either = lambda g: F.when(F.regexp_extract("line", FUNCTION, 2) != "", F.regexp_extract("line", FUNCTION, g)).otherwise(F.regexp_extract("line", ARROW, g))
@@ -107,7 +115,7 @@ def assignments(rows: DataFrame) -> DataFrame:
     origin, via = F.lit(None), F.lit(None)
     for name, pattern, group in reversed(ORIGINS[1:]):
         hit = F.col("_right").rlike("^" + pattern)
-        origin, via = F.when(hit, name).otherwise(origin), F.when(hit, F.regexp_extract("_right", "^" + pattern, group)).otherwise(via)
+        origin, via = F.when(hit, name).otherwise(origin), F.when(hit, source.plain(F.regexp_extract("_right", "^" + pattern, group))).otherwise(via)
     random = F.col("_right").rlike("^" + ORIGINS[0][1])
     origin = F.when(random | filled, "crypto_random").otherwise(origin)
     via = F.when(random | filled, "crypto.getRandomValues").otherwise(via)
@@ -126,7 +134,8 @@ def traces(rows: DataFrame) -> DataFrame:
     key = F.regexp_extract("line", r"(?:encrypt|decrypt|wrapKey|unwrapKey)\s*\([^,]+,\s*(\w+)", 1)
     salt = F.regexp_extract("_salt", r"\bsalt\s*:\s*(\w+)", 1)
     known = lambda c: F.when(c != "", c).otherwise("unknown")
-    algorithm = known(F.regexp_extract("_name", r"name\s*:\s*['\"](\w[\w-]*)['\"]", 1))
+    char = rf"[\w{source.SHADOWS[0]}-{source.SHADOWS[-1]}]"
+    algorithm = known(source.plain(F.regexp_extract("_name", rf"name\s*:\s*['\"]({char}(?:{char}|-)*)['\"]", 1)))
     one = lambda operation, role, var, alg: F.struct(operation.alias("operation"), F.lit(role).alias("role"), var.alias("var"), alg.alias("algorithm"))
     op = lambda names: F.regexp_extract("line", rf"crypto\.subtle\.({names})\s*\(", 1)
     none = F.lit(None).cast("string")
@@ -150,3 +159,27 @@ def origins(found: DataFrame, assigned: DataFrame, first_lines: DataFrame) -> Da
     parameter = F.coalesce(F.regexp_like("_first", F.concat(F.lit(r"[(,]\s*\Q"), F.coalesce("var", F.lit("?")), F.lit(r"\E\s*[,:)\[]"))), F.lit(False)) & (F.col("var") != "unknown")
     origin = F.coalesce("o.origin", F.when(parameter, "parameter"), F.lit("unknown"))
     return rows.select("file", "line_no", "operation", "role", "var", "algorithm", origin.alias("origin"), F.coalesce("o.origin_line", F.when(parameter, F.lit(1))).alias("origin_line"), F.col("o.via").alias("via"))
+
+
+def scoped_origins(found: DataFrame, assigned: DataFrame, owned: DataFrame) -> DataFrame:
+    """traces with function, origin, origin_line and via, each seen from the innermost function around it.
+
+    owned: (file, name, start_line, end_line, depth, params). The earliest assignment from the function's first line to the trace's decides,
+    not counting those of functions within it that do not hold the trace; else the innermost function around that has the variable as a
+    parameter, with its line; else unknown. Outside functions the whole file counts, function is null and there are no parameters.
+
+    Traces and assignments are placed by an as-of join for each depth (`source.around`) and meet by equal file, function and variable."""
+    line = lambda c: F.col(c).cast("long")
+    spans = owned.select("file", "depth", line("start_line").alias("first"), line("end_line").alias("last"), F.col("name").alias("function"), F.col("params").alias("_params")).dropDuplicates(["file", "depth", "first"])
+    points = found.select("file", "var", "line_no").distinct()
+    every = source.around(points.withColumn("at", line("line_no")), spans).select("file", F.col("at").cast("int").alias("line_no"), "depth", "first", "function", "_params")
+    own = every.groupBy("file", "line_no").agg(F.max_by(F.struct("first", "function"), "depth").alias("f"))
+    placed = points.join(own, ["file", "line_no"], "left").select("file", "var", "line_no", F.coalesce("f.first", F.lit(0).cast("long")).alias("_scope"), "f.function")
+    lines = assigned.select("file", "line_no").distinct().withColumn("at", line("line_no"))
+    of = source.around(lines, spans).groupBy("file", "at").agg(F.max_by("first", "depth").alias("_scope"))
+    by = assigned.withColumn("at", line("line_no")).join(of, ["file", "at"], "left").select("file", "var", F.coalesce("_scope", F.lit(0).cast("long")).alias("_scope"), F.col("line_no").alias("_at"), "origin", "via")
+    hit = placed.join(by, ["file", "var", "_scope"]).where("_at <= line_no").groupBy("file", "var", "line_no").agg(F.min_by(F.struct("origin", F.col("_at").alias("origin_line"), "via"), "_at").alias("o"))
+    given = points.join(every.where("size(_params) > 0"), ["file", "line_no"]).where(F.array_contains("_params", F.col("var"))).groupBy("file", "var", "line_no").agg(F.max("first").cast("int").alias("_given"))
+    rows = found.join(placed.drop("_scope"), ["file", "var", "line_no"]).join(hit, ["file", "var", "line_no"], "left").join(given, ["file", "var", "line_no"], "left")
+    origin = F.coalesce("o.origin", F.when(F.col("_given").isNotNull(), "parameter"), F.lit("unknown"))
+    return rows.select("file", "line_no", "function", "operation", "role", "var", "algorithm", origin.alias("origin"), F.coalesce("o.origin_line", "_given").alias("origin_line"), F.col("o.via").alias("via"))

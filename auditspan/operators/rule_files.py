@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import path_regex
 from . import rules, source
-from .modules import NAME
+from .modules import ARGUMENT, NAME
 from .source import HIDDEN, LINE, MARK
 
 #: A comparison of a captured value with a number.
@@ -39,21 +39,24 @@ def load_rules(folder: str) -> list[dict]:
 
 
 class Pattern(NamedTuple):
-    """A regular expression over code, to be put into one group, and the group of each place of a metavariable."""
+    """A regular expression over code, to be put into one group, and the group of each place of a metavariable.
+
+    items: where a metavariable begins an item anywhere in a list, the group of the list, the pattern of an item, and whether it has to be the last; each item that fits is a match."""
 
     regex: str
     places: tuple[tuple[str, int], ...]
+    items: tuple[int, Pattern, bool] | None = None
 
     @property
     def names(self) -> set[str]:
-        return {name for name, _ in self.places}
+        return {name for name, _ in self.places} | (self.items[1].names if self.items else set())
 
 
 class _Builder:
     """Writes a pattern's regular expression. Repeats are possessive or go by whole items, as long texts need it; group 1 is the whole match."""
 
-    def __init__(self) -> None:
-        self.groups, self.places = 1, []
+    def __init__(self, groups: int = 1) -> None:
+        self.groups, self.places, self.items = groups, [], None
 
     def _group(self) -> int:
         self.groups += 1
@@ -90,14 +93,23 @@ class _Builder:
                 out += re.escape(source.hidden(token.strip()))
         return out + "`"
 
-    def build(self, pattern: str) -> Pattern:
+    def build(self, pattern: str, item: bool = False) -> Pattern:
+        """item: the pattern is an item of a list."""
         tokens = [t for t in _TOKEN.findall(pattern.strip()) if not t.isspace()]
-        out, opened, i = "", [], 0
+        out, opened, i, edge = "", [], 0, "," if item else ""
         while i < len(tokens):
             t = tokens[i]
-            before, after = tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""
+            before, after = tokens[i - 1] if i else edge, tokens[i + 1] if i + 1 < len(tokens) else edge
             if t == "..." or t.startswith("$..."):
-                if after == ",":
+                if after == "," and opened and re.match(r"\$[A-Z_]", tokens[i + 2]):
+                    if self.items:
+                        raise ValueError(f"two lists with a metavariable anywhere: {pattern}")
+                    end = _item_end(tokens, i + 2)
+                    last = tokens[end] != ","
+                    self.items = (self._group(), _Builder(0).build(" ".join(tokens[i + 2:end]), True), last)
+                    out += f"({self.parts('', '*+')})"
+                    i = end - 1 if last else end + 1  # on to what closes the list
+                elif after == ",":
                     out, i = out + rf"(?:{self.parts(',', '*+')},)*?\s*", i + 1
                 elif opened:
                     out += self.parts("", "*+")
@@ -143,7 +155,17 @@ class _Builder:
                 guard = r"(?<![=!<>])" if t[0] in "=!<>" else ""
                 out += rf"\s*{guard}{re.escape(t)}" + ("(?![=>])" if t[0] in "=!<>" else "") + r"\s*"
             i += 1
-        return Pattern(out, tuple(self.places))
+        return Pattern(out, tuple(self.places), self.items)
+
+
+def _item_end(tokens: list[str], start: int) -> int:
+    """Where the item that starts here ends: at a comma or what closes the list."""
+    depth = 0
+    for i in range(start, len(tokens)):
+        if not depth and tokens[i] in (",", ")", "]", "}"):
+            return i
+        depth += (tokens[i] in ("(", "[", "{")) - (tokens[i] in (")", "]", "}"))
+    raise ValueError(f"a list without an end: {' '.join(tokens)}")
 
 
 def compiled(pattern: str) -> Pattern:
@@ -166,7 +188,7 @@ def matches(stated: DataFrame, pattern: str, raw: bool = False) -> DataFrame:
     made = compiled(pattern)
     ahead = f"(?=({made.regex}))"
     every = lambda g: F.regexp_extract_all("code", F.lit(ahead), F.lit(g))
-    groups = [g for _, g in made.places]
+    groups = [g for _, g in made.places] + ([made.items[0]] if made.items else [])
     found = stated.where(F.col("code").rlike(ahead)).select("file", "line_no", F.split("code", ahead, -1).alias("_pieces"), F.posexplode(F.arrays_zip(every(1).alias("whole"), *(every(g).alias(f"g{g}") for g in groups))).alias("_i", "_m"), F.size(every(1)).alias("_n"))
     before = F.array_join(F.slice("_pieces", 1, F.col("_i") + F.size("_pieces") - F.col("_n")), "")
     found = found.withColumn("_before", before)
@@ -175,7 +197,19 @@ def matches(stated: DataFrame, pattern: str, raw: bool = False) -> DataFrame:
     for name, g in made.places:  # the same text wherever a name stands
         if g != first[name]:
             found = found.where(value(g) == value(first[name]))
-    values = F.create_map(*(c for name, g in first.items() for c in (F.lit(name), value(g)))) if first else F.create_map().cast("map<string,string>")
+    bound = [(name, value(g)) for name, g in first.items()]
+    if made.items:
+        group, item, last = made.items
+        listed = F.regexp_extract_all(F.col(f"_m.g{group}"), F.lit(ARGUMENT), F.lit(0))
+        found = found.withColumn("_item", F.explode(F.slice(listed, -1, 1) if last else listed)).where(F.col("_item").rlike(rf"^\s*{item.regex}\s*$"))
+        for name, g in item.places:
+            more = F.trim(F.regexp_replace(source.plain(F.regexp_extract("_item", rf"^\s*{item.regex}\s*$", g)), r"\s+", " "))
+            known = dict(bound).get(name)
+            if known is None:
+                bound.append((name, more))
+            else:
+                found = found.where(more == known)
+    values = F.create_map(*(c for name, v in bound for c in (F.lit(name), v))) if bound else F.create_map().cast("map<string,string>")
     return found.select("file", _place(F.col("line_no"), F.col("_before")).alias("first"), (_place(F.col("line_no"), F.concat("_before", "_m.whole")) - 1).alias("last"), values.alias("values"))
 
 

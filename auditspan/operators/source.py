@@ -29,7 +29,7 @@ _TAKEN = re.compile(f"[{chr(DEPTH)}-{SHADOWS[-1]}]")
 #: A place in a file: its line times this, and the column in `code`.
 LINE = 1 << 21
 
-_TOKEN = re.compile(r"""//.*|/\*|"(?:[^"\\]|\\.)*"?|'(?:[^'\\]|\\.)*'?|`|[()\[\]{}]|[A-Za-z_$][\w$]*|\d[\w.]*|=>|\s+|.""", re.S)
+_TOKEN = re.compile(r"""//.*|/\*|"(?:[^"\\]|\\.)*"?|'(?:[^'\\]|\\.)*'?|`|[()\[\]{}]|(?:[^\W\d]|\$)[\w$]*|\d[\w.]*|=>|\s+|.""", re.S)
 _REGEX = re.compile(r"/(?:[^/\\\[]|\\.|\[(?:[^\]\\]|\\.)*\])+/[a-z]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{)|\\$)*", re.S)
 _GOES_ON = re.compile(r"\s*(?:\.(?!\.)|\?\.|&&|\|\||\?\?|\?\s)")
@@ -247,3 +247,16 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     rest = [c for c in spans.columns if c not in ("file", "depth")]
     best = around(points, spans).groupBy("file", "at").agg(F.max_by(F.struct(*rest), "depth").alias("_span"), F.max("depth").alias("depth"))
     return points.join(best, ["file", "at"], "left").select(*points.columns, "depth", *(f"_span.{c}" for c in rest))
+
+
+def nodes_at(points: DataFrame, found: DataFrame) -> DataFrame:
+    """points (file, line_no, …) with the innermost bracket pair of `intervals` that covers some of the line: node_bracket, node_owner, node_block, node_first, node_last, node_statement.
+
+    The one of the greatest start on the line, of equal starts the least end; where none starts there, the innermost around its beginning."""
+    line = F.col("line_no").cast("long") * LINE
+    carried = F.struct("bracket", "owner", "block", "first", "last", "statement")
+    begun = found.groupBy("file", F.col("first_line").alias("line_no")).agg(F.max_by(carried, F.struct("first", -F.col("last"))).alias("_begun"))
+    asked = points.select("file", "line_no").distinct().join(begun, ["file", "line_no"], "left")
+    spans = found.select("file", "depth", "first", "last", carried.alias("_held"))
+    held = innermost(asked.withColumn("at", line), spans).select("file", "line_no", F.coalesce("_begun", "_held").alias("_node"))
+    return points.join(held, ["file", "line_no"]).select(*points.columns, *(F.col(f"_node.{c}").alias(f"node_{c}") for c in ("bracket", "owner", "block", "first", "last", "statement")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import fnmatch_regex, valid_regex
 from ..functions.text import bucket, flat, hit_ratio, normalized, tokens
+from . import source
 
 #: Weights of the confidence score.
 CONSENSUS, EVIDENCE, SAST, DESIGN, DIVERSITY, ADVERSARIAL = 0.30, 0.25, 0.20, 0.15, 0.10, 0.15
@@ -54,9 +55,14 @@ def construct(item: Column, line: Column) -> Column:
     return F.when(F.regexp_like(F.lower(line), words) | line.rlike(r"[a-zA-Z_]+\(|="), "fuzzy").otherwise("no_match")
 
 
-def evidence_quality(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Layer 1.5: evidence found in its lines is exact, within five lines or by most of its tokens fuzzy, else the construct decides."""
+def evidence_quality(findings: DataFrame, files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Layer 1.5: evidence found in its lines is exact, within five lines or by most of its tokens fuzzy, else the construct decides.
+
+    nodes: (file, line_no, node_text), what stands in and around the innermost brackets at a line (`node_texts`); without it, and where it
+    has no row, the construct is looked for in the line alone."""
     rows = findings.join(_lines(files), "file", "left")
+    if nodes is not None:
+        rows = rows.join(nodes.select("file", F.col("line_no").alias("line_start"), "node_text"), ["file", "line_start"], "left")
     lines, quote = F.col("lines"), normalized(F.coalesce("evidence", F.lit("")))
     own = normalized(_between(lines, F.col("line_start"), F.col("line_end"), "\n"))
     near = normalized(_between(lines, F.col("line_start") - 5, F.col("line_end") + 5, "\n"))
@@ -66,8 +72,19 @@ def evidence_quality(findings: DataFrame, files: DataFrame) -> DataFrame:
     live = F.col("triage_status") != "rejected"
     detail = F.when(live & lines.isNotNull(), F.when(outside, "lines_out_of_range").when(some & F.contains(own, quote), F.lit(None)).when(some & F.contains(near, quote), "matched_nearby").when(some & (hit_ratio(words, near) >= 0.6), "key_tokens_matched"))
     line = F.get(lines, F.col("line_start") - 1)
+    if nodes is not None:
+        line = F.coalesce("node_text", line)
     quality = F.when(lines.isNull() | outside, "no_match").when(some & F.contains(own, quote), "exact").when(detail.isNotNull(), "fuzzy").otherwise(construct(F.col("checklist_item"), line))
-    return rows.withColumn("evidence_quality", F.when(live, quality)).withColumn("evidence_detail", detail).drop("lines", "n_lines")
+    return rows.withColumn("evidence_quality", F.when(live, quality)).withColumn("evidence_detail", detail).drop("lines", "n_lines", "node_text")
+
+
+def node_texts(points: DataFrame, lexed: DataFrame) -> DataFrame:
+    """(file, line_no, node_text) of points (file, line_no): the statement that opens the innermost brackets at the line, without comments; the line's own statement outside of all. lexed: `source.lexed`."""
+    at = source.nodes_at(points.select("file", "line_no").distinct(), source.intervals(lexed))
+    own = lexed.where("bracket is null").select("file", "line_no", F.col("statement").alias("_own"))
+    stated = source.statements(lexed).select("file", F.col("line_no").alias("_statement"), source.plain(F.col("code")).alias("node_text"))
+    found = at.join(own, ["file", "line_no"]).select("file", "line_no", F.coalesce("node_statement", "_own").alias("_statement"))
+    return found.join(stated, ["file", "_statement"]).select("file", "line_no", "node_text")
 
 
 def nearest_sections(queries: DataFrame, sections: DataFrame, block: int = 4096) -> DataFrame:

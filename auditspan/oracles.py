@@ -167,6 +167,18 @@ MODULES = """
 event AS (SELECT *, 'm' || user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 4 - 2 AS b, event_id AS k, CASE WHEN event_type IN ('click', 'signup', 'view', 'purchase') THEN event_type ELSE 'rest' END AS kind FROM events),
 fn AS (SELECT file, 'f' || (k % 50) AS name, true AS exported, b AS start_line, 'key,iv' AS params FROM event WHERE kind = 'signup' UNION ALL SELECT file, 'K' || k || '.seal', false, b + 1, 'key,data' FROM event WHERE kind = 'purchase'),
 link AS (SELECT 'm' || user_id AS file, 'r' || (k % 5) AS symbol, max(CASE WHEN EXISTS (SELECT 1 FROM events o WHERE o.user_id = e.user_id + 1) THEN '' ELSE './' END || 'm' || (user_id + 1)) AS target FROM event e WHERE kind = 'click' GROUP BY ALL)"""
+NESTED = """
+event AS (SELECT 'n' || user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 10 - 9 AS b, 'f' || event_id AS f, CASE WHEN event_type IN ('click', 'signup', 'view', 'purchase') THEN event_type ELSE 'rest' END AS kind FROM events)"""
+#: The innermost brackets at each of an event's ten lines: f a function's block, o an object, t what a template holds, h and u round ones, l a loop, c a condition.
+_NODES = {"signup": "fffffftoff", "click": "fucocfffff", "view": "flholfofff", "purchase": "fffoffffff", "rest": "ffffffffff"}
+_BRACKETS = {"f": ("{", "function", True), "o": ("{", "", False), "t": ("{", "$", False), "h": ("(", "hkdf", False), "u": ("(", "Uint8Array", False), "l": ("{", "for", True), "c": ("{", "if", True)}
+
+
+def _nodes() -> str:
+    rows = ", ".join(f"('{kind}', {i}, '{_BRACKETS[x][0]}', '{_BRACKETS[x][1]}', {_BRACKETS[x][2]})" for kind, marks in _NODES.items() for i, x in enumerate(marks))
+    return f"WITH {NESTED}, node(kind, off, node_bracket, node_owner, node_block) AS (VALUES {rows}) SELECT file, b + off AS line_no, node_bracket, node_owner, node_block FROM event JOIN node USING (kind)"
+
+
 #: Recorded answers and whether they can be read, known from how they are made.
 _ANSWERS = """
 , said AS (
@@ -256,6 +268,19 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT 'unverified-token', file, b + 2, b + 2, 'ERROR', 'decoded without verification', '{{"checklist_map": "JWT01"}}' FROM event WHERE kind = 'rest' AND file LIKE 'm1%'
           UNION ALL SELECT 'wrapped-outside-class', file, b, b + 1, 'INFO', 'wrapped', '{{}}' FROM event e WHERE kind = 'view' AND k % 5 <> 4 AND (EXISTS (SELECT 1 FROM fn WHERE fn.file = e.file AND start_line <= b) OR NOT EXISTS (SELECT 1 FROM fn WHERE fn.file = e.file AND name LIKE 'K%'))
         ) SELECT * FROM hit""",
+        "nested_functions": f"WITH {NESTED} SELECT file, f AS name, true AS exported, b AS start_line, b + 9 AS end_line, 0 AS depth, CASE WHEN kind IN ('click', 'view') THEN 'key,data' WHEN kind = 'purchase' THEN 'key,iv' ELSE 'key,iv,data' END AS params FROM event UNION ALL SELECT file, 'inner', false, b + 2, b + 5, 1, 'data' FROM event WHERE kind = 'signup' UNION ALL SELECT file, 'seal', false, b + 1, b + 4, 1, 'data' FROM event WHERE kind = 'purchase'",
+        "nested_traces": f"""WITH {NESTED}, t AS (
+          SELECT file, b, b + 7 AS line_no, f AS function, 'parameter' AS origin, b AS origin_line, NULL AS via FROM event WHERE kind = 'signup'
+          UNION ALL SELECT file, b, b + 3, f, 'crypto_random', b + 1, 'crypto.getRandomValues' FROM event WHERE kind = 'click'
+          UNION ALL SELECT file, b, b + unnest([3, 6]), f, 'derived', b + 2, 'hkdf' FROM event WHERE kind = 'view'
+          UNION ALL SELECT file, b, b + 3, 'seal', 'hardcoded', b + 2, chr(39) || 'fixed' || chr(39) FROM event WHERE kind = 'purchase'
+        ) SELECT file, line_no, function, 'encrypt' AS operation, unnest(['iv', 'key']) AS role, 'iv' AS var, 'AES-GCM' AS algorithm, origin, origin_line, via FROM t""",
+        "nodes_at_lines": _nodes(),
+        "nested_rule_hits": f"""WITH {NESTED}
+          SELECT 'encrypt-in-loop' AS rule_id, file, b + 1 AS line_start, b + 4 AS line_end, 'ERROR' AS severity, 'iv again for data' AS message FROM event WHERE kind = 'view'
+          UNION ALL SELECT 'short-vector', file, b + 5, b + 5, 'WARNING', 'iv is 7' FROM event WHERE kind = 'view'
+          UNION ALL SELECT 'encrypt-outside-loop', file, b + o, b + o, 'WARNING', 'with key' FROM (SELECT *, CASE kind WHEN 'signup' THEN 7 WHEN 'view' THEN 6 ELSE 3 END AS o FROM event WHERE kind <> 'rest')
+          UNION ALL SELECT 'fixed-vector', file, b + 2, b + 2, 'WARNING', 'iv' FROM event WHERE kind = 'purchase'""",
         "status_shares": full + "".join(f" {'UNION ALL ' if i else ''}SELECT '{x}' AS name, count(*) FILTER ({c} = '{x}') AS n, round(count(*) FILTER ({c} = '{x}') * 100 / greatest(count(*), 1), 1) AS percent FROM tiered{w}" for i, (c, x, w) in enumerate([("triage_status", x, "") for x in ("rejected", "passed_layer1", "rejected_by_ml", "validated", "whitelisted")] + [("confidence_tier", x, " WHERE triage_status = 'validated'") for x in ("high", "medium", "low")])),
         "normalize_findings": "WITH " + FINDINGS + " SELECT pos, CASE WHEN pos % 8 = 0 THEN NULL ELSE checklist_item END AS checklist_item, severity, line_start, greatest(line_start, CASE pos % 6 WHEN 0 THEN line_start WHEN 1 THEN 3 ELSE line_end END) AS line_end, trim(finding, ' ') AS finding, trim(evidence, ' ') AS evidence FROM findings",
     }

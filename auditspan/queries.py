@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import responses
 from .functions.globs import path_regex
 from .functions.text import jaccard
-from .operators import chunks, code, graphs, lines, modules, reports, rule_files, rules
+from .operators import chunks, code, graphs, lines, modules, reports, rule_files, rules, source
 from .operators import triage as layers
 from .operators.consensus import consensus_merge
 from .operators.dedup import semantic_dedup
@@ -413,6 +413,42 @@ def _responses(spark, sf_dir):
     return raw.select("pos", "file", "line_start", "line_end", text.alias("raw"))
 
 
+def _nested(spark, sf_dir):
+    return written(source.lexed(r.nested_lines(spark, sf_dir)))
+
+
+def nested_functions(spark, sf_dir):
+    return modules.functions(source.statements(_nested(spark, sf_dir))).withColumn("params", F.array_join("params", ","))
+
+
+def nested_traces(spark, sf_dir):
+    """Traces seen from the function around them; code in comments and strings is none."""
+    lexed = _nested(spark, sf_dir)
+    rows = code.masked(lexed)
+    return code.scoped_origins(code.traces(rows), code.assignments(rows), modules.functions(source.statements(lexed)))
+
+
+def nodes_at_lines(spark, sf_dir):
+    lexed = _nested(spark, sf_dir)
+    points = lexed.where("bracket is null").select("file", "line_no")
+    return source.nodes_at(points, source.intervals(lexed)).select("file", "line_no", "node_bracket", "node_owner", "node_block")
+
+
+#: Rules whose parts share bindings, and rules on blocks.
+NESTED_RULES = [
+    {"id": "encrypt-in-loop", "pattern": "for (...) {\n  ...\n  crypto.subtle.encrypt({ name: 'AES-GCM', iv: $IV }, $KEY, $DATA)\n  ...\n}", "message": "$IV again for $DATA", "severity": "ERROR"},
+    {"id": "short-vector", "patterns": [{"pattern": "const $IV = $N"}, {"metavariable-comparison": {"metavariable": "$N", "comparison": "$N < 12"}}, {"pattern-inside": "...\n{ name: 'AES-GCM', iv: $IV }"}], "message": "$IV is $N"},
+    {"id": "encrypt-outside-loop", "patterns": [{"pattern": "crypto.subtle.encrypt({ ... }, $KEY, ...)"}, {"pattern-not-inside": "for (...) { ... }"}], "message": "with $KEY"},
+    {"id": "fixed-vector", "patterns": [{"pattern": 'const $IV = "..."'}, {"pattern-inside": "...\ncrypto.subtle.encrypt({ ..., iv: $IV, ... }, ...)\n..."}, {"pattern-not-inside": "...\n$IV.fill(0)\n..."}], "message": "$IV"},
+]
+
+
+def nested_rule_hits(spark, sf_dir):
+    lexed = _nested(spark, sf_dir)
+    stated = written(source.statements(lexed))
+    return rule_files.run_rules(stated, modules.functions(stated), NESTED_RULES, source.intervals(lexed)).drop("metadata")
+
+
 def queries() -> dict[str, Query]:
     every = [
         consensus_merge_, l1_rule_cascade, l15_evidence_quality, l2_design_knn, l25_sast_crossval, l3_whitelist, l4_semantic_dedup, l5_confidence, triage_funnel, triage_counters, ranked_findings,
@@ -421,5 +457,6 @@ def queries() -> dict[str, Query]:
         code_functions, code_imports, import_candidates, crypto_call_sites, crypto_traces, cross_file_call_sites, callers_depth3, call_components, call_graph, semantic_chunks, file_segments, audit_prompts,
         module_functions, module_exports, module_imports, import_statements, call_arguments, imported_call_sites, imported_signatures, parameter_origins_of_traces, sast_rule_files, status_shares, attack_prompts,
         chunk_sast_overlap, sast_rule_algebra, parse_llm_findings, parse_adversarial, parse_lenient_objects, normalize_findings,
+        nested_functions, nested_traces, nodes_at_lines, nested_rule_hits,
     ]
     return {f.__name__.rstrip("_"): f for f in every}
