@@ -54,8 +54,11 @@ def mask(text):
                 group = (group or text[j] == "[") and text[j] != "]"
                 j += 2 if text[j] == "\\" else 1
             if text[j:j + 1] == "/" and j > i + 1 and not group:
-                out += ["c", *"s" * (j - i - 1), "c"]
-                i, last = j + 1, '"'
+                end = j + 1
+                while end < len(text) and "a" <= text[end] <= "z":  # flags
+                    end += 1
+                out += ["c", *"s" * (j - i - 1), *"c" * (end - j)]
+                i, last = end, '"'
                 continue
         if c == "`":
             stack.append("`")
