@@ -107,6 +107,27 @@ ASK = "Report each check that the source fails as an element of a JSON array; []
 ATTACK = "Report each concrete attack that the source allows as an element of a JSON array with attack_vector, preconditions, impact, exploitability, affected_lines and evidence; [] if there is none."
 
 
+#: What findings look like, and what none looks like, by stage: (source, finding or null, why). Given to `with_examples`, or others in their place.
+EXAMPLES = {
+    "crypto": [
+        ("const iv = new Uint8Array(12);\nawait crypto.subtle.encrypt({ name: 'AES-GCM', iv }, key, data);", '{"checklist_item": "C01", "severity": "critical"}', "the vector stays all zero: nothing fills it"),
+        ("const key = await crypto.subtle.importKey('raw', encoder.encode(password), 'AES-GCM', false, ['encrypt']);", '{"checklist_item": "KD01", "severity": "high"}', "a password is no key without a derivation"),
+        ("const iv = await deriveChunkIV(fileKey, fileId, index);", None, "each index gives another vector"),
+        ("const salt = encoder.encode('app recovery v1');", None, "a fixed salt separates domains where the input is random itself"),
+    ],
+}
+
+
+def with_examples(chunks: DataFrame, examples: dict[str, list[tuple[str, str | None, str]]] = EXAMPLES) -> DataFrame:
+    """chunks with `examples`: the examples of their stage as text, findings first; null for stages without any."""
+    text = F.lit(None).cast("string")
+    for stage, rows in examples.items():
+        ordered = sorted(rows, key=lambda r: r[1] is None)
+        shown = "\n\n".join(f"{source}\n{'Finding: ' + found if found else 'No finding'} ({why})" for source, found, why in ordered)
+        text = F.when(F.col("stage") == stage, F.lit(shown)).otherwise(text)
+    return chunks.withColumn("examples", text)
+
+
 def _assembled(rows: DataFrame, sections: list[str], extra: list, ask: str):
     imports = F.when(F.size("imports") > 0, F.concat(F.lit("Imports in use:\n"), F.array_join("imports", "\n")))
     code = F.concat(F.lit("Source:\n"), numbered(F.split("text", "\n", -1), F.col("line_start")))

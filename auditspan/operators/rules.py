@@ -55,11 +55,20 @@ def reported(spans: DataFrame, rule_id: str, severity: str = "WARNING") -> DataF
 
 
 def hints(chunks: DataFrame, hits: DataFrame) -> DataFrame:
-    """(chunk_id, file, rule_id, line_start): hits that overlap a chunk of the same file, or of one whose path ends with the other's.
-
-    Paths are joined by their last part, an equality, and then compared by their ends, so nothing is compared with everything."""
-    tail = lambda c: F.element_at(F.split(F.regexp_replace(c, r"\\", "/"), "/"), -1)
-    c = chunks.select("chunk_id", F.col("file").alias("_file"), F.col("line_start").alias("_a"), F.col("line_end").alias("_z"), tail(F.col("file")).alias("_tail"))
-    h = hits.withColumn("_tail", tail(F.col("file")))
-    same = F.col("_file").endswith(F.col("file")) | F.col("file").endswith(F.col("_file"))
-    return c.join(h, "_tail").where(same & (F.col("line_start") <= F.col("_z")) & (F.col("line_end") >= F.col("_a"))).select("chunk_id", F.col("_file").alias("file"), "rule_id", "line_start")
+    """(chunk_id, file, rule_id, line_start): hits that overlap a chunk of the same file, or of one whose path ends, by whole parts, with the other's.
+
+    The shorter path is sought among the ends of the longer one, each a key of an equality join, so a common last part brings nothing together."""
+    path = lambda c: F.regexp_replace(c, r"\\", "/")
+    c = chunks.select("chunk_id", F.col("file").alias("_file"), F.col("line_start").alias("_a"), F.col("line_end").alias("_z"), path(F.col("file")).alias("_path"))
+    h = hits.select("rule_id", "line_start", "line_end", path(F.col("file")).alias("_other"))
+
+    def ends(rows: DataFrame, name: str, first: int) -> DataFrame:
+        """rows with each end of a path, from the part of this number on."""
+        parts = F.split(name, "/")
+        every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+        return rows.withColumn("_end", F.explode(F.slice(every, first, F.greatest(F.size(every) - first + 1, F.lit(0)))))
+
+    longer = c.join(ends(h, "_other", 1), F.col("_path") == F.col("_end"))
+    shorter = ends(c, "_path", 2).join(h, F.col("_end") == F.col("_other"))
+    every = [x.where("line_start <= _z and line_end >= _a").select("chunk_id", F.col("_file").alias("file"), "rule_id", "line_start") for x in (longer, shorter)]
+    return every[0].unionByName(every[1])

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.globs import fnmatch_regex, valid_regex
 from ..functions.text import bucket, flat, hit_ratio, normalized, tokens
 from . import source
+from .nearest import measure
 
 #: Weights of the confidence score.
 CONSENSUS, EVIDENCE, SAST, DESIGN, DIVERSITY, ADVERSARIAL = 0.30, 0.25, 0.20, 0.15, 0.10, 0.15
@@ -98,25 +96,6 @@ def nearest_sections(queries: DataFrame, sections: DataFrame, block: int = 4096)
     held = sections.select(F.lit(True).alias("held"), "vec_id", "embedding", own(blocks).alias("block"), each(parts).alias("part"))
     asked = queries.select(F.lit(False).alias("held"), "vec_id", "embedding", each(blocks).alias("block"), own(parts).alias("part"))
 
-    def matrix(part: pa.Table) -> np.ndarray:
-        flat = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.astype(np.float64).reshape(part.num_rows, -1)
-
-    def measure(group: pa.Table) -> pa.Table:
-        found, held_, asked_ = [], group.filter(group.column("held")), group.filter(pc.invert(group.column("held")))
-        if asked_.num_rows and held_.num_rows:
-            held_ = held_.sort_by("vec_id")
-            ids, there, asking = held_.column("vec_id").to_numpy(), matrix(held_), matrix(asked_)
-            lengths = np.linalg.norm(there, axis=1)[None, :]
-            for i in range(0, len(asking), 512):
-                q = asking[i:i + 512]
-                far = np.round(1 - q @ there.T / np.maximum(np.linalg.norm(q, axis=1)[:, None] * lengths, 1e-300), 6)
-                best = far.argmin(axis=1)
-                found.append((ids[best], far[np.arange(len(q)), best]))
-        kinds = (np.int64, np.float64)
-        section, distance = (np.concatenate([np.empty(0, k), *(f[i] for f in found)]) for i, k in enumerate(kinds))
-        return pa.table({"vec_id": asked_.column("vec_id").cast(pa.int64()) if found else pa.array([], pa.int64()), "section_id": pa.array(section.astype(np.int64)), "distance": pa.array(distance)})
-
     found = held.unionByName(asked).groupBy("block", "part").applyInArrow(measure, "vec_id long, section_id long, distance double")
     return found.groupBy("vec_id").agg(F.min(F.struct("distance", "section_id")).alias("m")).select("vec_id", "m.section_id", F.col("m.distance").alias("distance"))
 

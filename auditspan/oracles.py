@@ -214,6 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "l1_rule_cascade": l1 + " SELECT pos, file, status1 AS triage_status, reason1 AS triage_reason FROM passed",
         "l15_evidence_quality": l15 + " SELECT pos, evidence_quality, evidence_detail FROM l15",
         "l2_design_knn": "WITH RECURSIVE x AS (SELECT 1)" + KNN + " SELECT vec_id, m.s AS section_id, m.d AS distance FROM nearest",
+        "l2_design_index": "WITH RECURSIVE x AS (SELECT 1)" + KNN + " SELECT vec_id, m.s AS section_id, m.d AS distance FROM nearest",
         "l25_sast_crossval": l1 + SAST + _crossed("passed", "status1") + " SELECT pos, corroborated AS semgrep_corroborated, rule AS semgrep_rule_match, boost::DOUBLE AS confidence_boost, penalty::DOUBLE AS confidence_penalty FROM crossed",
         "l3_whitelist": l1 + _listed("passed", "status1", "reason1") + " SELECT pos, triage_status, triage_reason FROM listed",
         "l5_confidence": full + " SELECT pos, triage_status, confidence_score, confidence_tier FROM tiered",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import responses
 from .functions.globs import path_regex
 from .functions.text import jaccard
-from .operators import chunks, code, graphs, lines, modules, reports, rule_files, rules, source
+from .operators import chunks, code, graphs, lines, modules, nearest, reports, rule_files, rules, source
 from .operators import triage as layers
 from .operators.consensus import consensus_merge
 from .operators.dedup import semantic_dedup
@@ -64,6 +64,12 @@ def l2_design_knn(spark, sf_dir):
     return _nearest(spark, sf_dir)
 
 
+def l2_design_index(spark, sf_dir):
+    """The same as l2_design_knn by the inverted-file index, in its exact way."""
+    sections, asked = r.vectors(spark, sf_dir)
+    return nearest.nearest_by_index(asked, sections)
+
+
 def l25_sast_crossval(spark, sf_dir):
     return layers.sast_crossval(layers.rule_cascade(_merged(spark, sf_dir), r.files(spark, sf_dir)), r.sast(spark, sf_dir)).select("pos", "semgrep_corroborated", "semgrep_rule_match", "confidence_boost", "confidence_penalty")
 
@@ -362,7 +368,7 @@ RULES = [
 
 def sast_rule_files(spark, sf_dir):
     stated = written(_stated(spark, sf_dir))
-    return rule_files.run_rules(stated, modules.functions(stated), RULES)
+    return rule_files.run_rules(stated, written(modules.functions(stated)), RULES)
 
 
 def status_shares(spark, sf_dir):
@@ -425,7 +431,7 @@ def nested_traces(spark, sf_dir):
     """Traces seen from the function around them; code in comments and strings is none."""
     lexed = _nested(spark, sf_dir)
     rows = code.masked(lexed)
-    return code.scoped_origins(code.traces(rows), code.assignments(rows), modules.functions(source.statements(lexed)))
+    return code.scoped_origins(written(code.traces(rows)), written(code.assignments(rows)), written(modules.functions(source.statements(lexed))))
 
 
 def nodes_at_lines(spark, sf_dir):
@@ -446,12 +452,12 @@ NESTED_RULES = [
 def nested_rule_hits(spark, sf_dir):
     lexed = _nested(spark, sf_dir)
     stated = written(source.statements(lexed))
-    return rule_files.run_rules(stated, modules.functions(stated), NESTED_RULES, source.intervals(lexed)).drop("metadata")
+    return rule_files.run_rules(stated, written(modules.functions(stated)), NESTED_RULES, written(source.intervals(lexed).where("block"))).drop("metadata")
 
 
 def queries() -> dict[str, Query]:
     every = [
-        consensus_merge_, l1_rule_cascade, l15_evidence_quality, l2_design_knn, l25_sast_crossval, l3_whitelist, l4_semantic_dedup, l5_confidence, triage_funnel, triage_counters, ranked_findings,
+        consensus_merge_, l1_rule_cascade, l15_evidence_quality, l2_design_knn, l2_design_index, l25_sast_crossval, l3_whitelist, l4_semantic_dedup, l5_confidence, triage_funnel, triage_counters, ranked_findings,
         stage_assignment, stage_summary, report_rollups, severity_histogram, report_compare, report_overlap, latest_reports, rule_fk_gaps, verdict_filter, verdict_tallies,
         grep_lines, grep_first_hits, read_file_slice, symbol_definition, context_window, numbered_lines, doc_sections, doc_excerpt_argmax, hunk_ranges, focus_notes, jaccard_pairs,
         code_functions, code_imports, import_candidates, crypto_call_sites, crypto_traces, cross_file_call_sites, callers_depth3, call_components, call_graph, semantic_chunks, file_segments, audit_prompts,

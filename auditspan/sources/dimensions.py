@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -31,12 +32,13 @@ def checklist_listing(items: DataFrame) -> DataFrame:
 
 
 def whitelist_rules(folder: str) -> list[dict]:
-    """The rules of all JSON files in order of name: lists are joined, single objects added, broken files skipped."""
+    """The rules of all JSON files in order of name: lists are joined, single objects added, broken files skipped with a warning."""
     rules: list[dict] = []
     for path in sorted(Path(folder).glob("*.json")):
         try:
             data = json.loads(path.read_text(encoding="utf-8"))
-        except (OSError, ValueError):
+        except (OSError, ValueError) as e:
+            warnings.warn(f"whitelist {path.name} left out: {e}", stacklevel=2)
             continue
         rules += data if isinstance(data, list) else [data] if isinstance(data, dict) else []
     return rules

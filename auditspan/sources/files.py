@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.globs import path_regex
@@ -49,11 +49,53 @@ def report_names(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_name").alias("name"), F.round(F.col("_metadata.file_size") / 1024, 1).alias("size_kb"), F.coalesce(F.size("findings"), F.lit(0)).alias("n_findings"))
 
 
+#: In a unified diff a file's part begins with these two lines, or a diff with the second; in one of git what comes before tells more about it.
+_PART = r"\n(?=--- [^\n]*\n\+\+\+ [^\n]*(?:\n|$))|^\n(?=\+\+\+ b/)"
+
+
+def _diff_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(head, body) of each part of a diff: the lines that git puts before, and those from the old side's name on. Files are split at git's headers while they are read, so a part is what a task holds."""
+    rows = spark.read.option("lineSep", "\ndiff --git ").text(path)
+    pieces = F.split(F.concat(F.lit("\n"), "value"), _PART)
+    # The first piece is the head; it goes with the part behind it, or alone where a file has no lines to show.
+    parts = F.when(F.size(pieces) > 1, F.transform(F.slice(pieces, 2, F.size(pieces)), lambda b, i: F.struct(F.when(i == 0, F.get(pieces, F.lit(0))).otherwise("").alias("head"), b.alias("body"))))
+    alone = F.array(F.struct(F.get(pieces, F.lit(0)).alias("head"), F.lit(None).cast("string").alias("body")))
+    return rows.select(F.explode(F.coalesce(parts, alone)).alias("p")).select("p.*")
+
+
+def _side(body, sign: str):
+    """The name of one side of a part, without its folder a or b and what follows a tab; empty for none."""
+    name = F.regexp_extract(body, rf"(?m)^\Q{sign}\E (?:[ab]/)?([^\t\n]*)", 1)
+    return F.when(name == "/dev/null", "").otherwise(name)
+
+
+def diff_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, old_file, status) of each file that unified diffs change: added, deleted, renamed, copied, binary or modified.
+
+    A deleted file goes by its old name; renames, modes and binary files need no lines of their own. Empty diffs give no rows."""
+    p = _diff_parts(spark, path)
+    head, line = F.col("head"), lambda what: F.regexp_extract("head", rf"(?m)^{what} (.*)$", 1)
+    new, old = F.coalesce(_side(F.col("body"), "+++"), F.lit("")), F.coalesce(_side(F.col("body"), "---"), F.lit(""))
+    named = F.regexp_extract("head", r"^\n?(?:diff --git )?a/(.*?) b/", 1)
+    first = lambda *names: F.coalesce(*(F.nullif(n, F.lit("")) for n in names))
+    file = first(new, line("rename to"), line("copy to"), old, named)
+    before = first(old, line("rename from"), line("copy from"), new, named)
+    has = lambda what: head.rlike(rf"(?m)^{what}")
+    gone, born = F.col("body").isNotNull() & (new == ""), F.col("body").isNotNull() & (old == "")
+    status = (
+        F.when(has("deleted file") | gone, "deleted").when(has("new file") | born, "added").when(has("rename to"), "renamed").when(has("copy to"), "copied")
+        .when(has("Binary files|GIT binary patch"), "binary").otherwise("modified")
+    )
+    return p.select(file.alias("file"), before.alias("old_file"), status.alias("status")).where("file is not null")
+
+
 def diff_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of unified diffs: the new side's file name is carried on from its header, within each diff file."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_diff"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    name = F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 4096))
-    return rows.withColumn("file", F.last(name, ignorenulls=True).over(Window.partitionBy("_diff").orderBy("line_no"))).where("file is not null").select("file", "line_no", "line")
+    """(file, line_no, line) of unified diffs, from the new side's name on, by that name; line_no counts on from there in each part.
+
+    A deleted file has no new side, and its lines are left out; so are git's own lines. Removed lines that look like a header are none unless
+    the two lines of one follow each other."""
+    p = _diff_parts(spark, path).where("body is not null").withColumn("file", _side(F.col("body"), "+++")).where("file <> ''")
+    return p.select("file", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).where("line_no > 0 or not startswith(line, '--- ')")
 
 
 def scanner_hits(spark: SparkSession, root: str, base: str = "") -> DataFrame:
