@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import numbered
+from ..sources.shared import written
 
 
-def batches(functions: DataFrame, most: int = 200) -> DataFrame:
-    """(file, component, chunk, line_start, line_end, functions): functions in order of line, cut where a batch that has some would grow beyond `most` lines.
+#: Components of so many functions are cut by a fold over an array of them; larger ones by jumps.
+FOLDED = 5000
+
 
-    A component whose span fits is one chunk. The lines of a function are its last less its first, so one-line functions cost nothing."""
+def _folded(functions: DataFrame, most: int) -> DataFrame:
+    """functions with chunk, by one fold over each component's array."""
     one = F.struct("start_line", "end_line", "name")
     groups = functions.groupBy("file", "component").agg(F.array_sort(F.collect_list(one)).alias("fns"))
     first, last = F.get("fns", F.lit(0)), F.element_at("fns", -1)
@@ -24,8 +27,51 @@ def batches(functions: DataFrame, most: int = 200) -> DataFrame:
         return F.struct(batch.alias("batch"), F.when(cut, n).otherwise(a["lines"] + n).alias("lines"), F.when(cut, F.lit(1)).otherwise(a["size"] + 1).cast("long").alias("size"), F.concat(a["out"], F.array(batch)).alias("out"))
 
     cuts = F.when(last["end_line"] - first["start_line"] <= most, F.transform("fns", lambda f: F.lit(0).cast("long"))).otherwise(F.aggregate("fns", zero, step, lambda a: a["out"]))
-    each = groups.select("file", "component", F.explode(F.arrays_zip(F.col("fns"), cuts.alias("cut"))).alias("z")).select("file", "component", F.col("z.cut").alias("chunk"), F.col("z.fns").alias("f"))
-    return each.groupBy("file", "component", "chunk").agg(F.min("f.start_line").alias("line_start"), F.max_by("f.end_line", "f.start_line").alias("line_end"), F.transform(F.array_sort(F.collect_list(F.struct("f.start_line", "f.name"))), lambda x: x["name"]).alias("functions"))
+    each = groups.select("file", "component", F.explode(F.arrays_zip(F.col("fns"), cuts.alias("cut"))).alias("z"))
+    return each.select("file", "component", F.col("z.cut").alias("chunk"), F.col("z.fns.start_line").alias("start_line"), F.col("z.fns.end_line").alias("end_line"), F.col("z.fns.name").alias("name"))
+
+
+def _jumped(functions: DataFrame, most: int, keep) -> DataFrame:
+    """functions with chunk, without an array of a component's functions.
+
+    For each function the start of the next batch, had one started with it, is the first whose running sum passes its own by more than
+    `most`: one sort of all sums finds them. From the first function the starts are reached by jumps that double, in as many rounds as the
+    logarithm of the batches."""
+    key = ["file", "component"]
+    order = Window.partitionBy(*key).orderBy("start_line", "end_line", "name")
+    n = (F.col("end_line") - F.col("start_line")).cast("long")
+    rows = keep(functions.select(*key, "start_line", "end_line", "name", F.row_number().over(order).alias("i"), F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), n.alias("n")))
+    span = rows.groupBy(*key).agg((F.max(F.struct("start_line", "end_line"))["end_line"] - F.min("start_line") > most).alias("cut"))
+    wide = rows.join(span.where("cut").select(*key), key)
+    asked = wide.select(*key, (F.col("sum") - F.col("n") + most).alias("value"), F.lit(0).alias("kind"), "i")
+    known = wide.select(*key, F.col("sum").alias("value"), F.lit(1).alias("kind"), "i")
+    before = Window.partitionBy(*key).orderBy(F.desc("value"), "kind", F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    after = asked.unionByName(known).withColumn("next", F.last(F.when(F.col("kind") == 1, F.col("i")), ignorenulls=True).over(before)).where("kind = 0")
+    jumps = keep(after.where("next is not null").select(*key, "i", F.greatest(F.col("i") + 1, "next").alias("next")).join(rows.groupBy(*key).agg(F.max("i").alias("_most")), key).where("next <= _most").drop("_most"))
+    starts = keep(wide.where("i = 1").select(*key, "i"))
+    while True:
+        reached = keep(starts.join(jumps, [*key, "i"]).select(*key, F.col("next").alias("i")))
+        if reached.isEmpty():
+            break
+        starts = keep(starts.union(reached).distinct())
+        jumps = keep(jumps.join(jumps.select(*key, F.col("i").alias("next"), F.col("next").alias("_next")), [*key, "next"]).select(*key, "i", F.col("_next").alias("next")))
+    marked = rows.join(starts.withColumn("start", F.lit(1)), [*key, "i"], "left")
+    chunk = F.greatest(F.coalesce(F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1)) - 1, F.lit(0))
+    return marked.select(*key, chunk.cast("long").alias("chunk"), "start_line", "end_line", "name")
+
+
+def batches(functions: DataFrame, most: int = 200, keep=written, folded: int = FOLDED) -> DataFrame:
+    """(file, component, chunk, line_start, line_end, functions): functions in order of line, cut where a batch that has some would grow beyond `most` lines.
+
+    A component whose span fits is one chunk. The lines of a function are its last less its first, so one-line functions cost nothing; no
+    function ends before it starts. Both ways to cut give the same batches; `keep` writes what the rounds of the second one reach."""
+    key = ["file", "component"]
+    large = keep(functions.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > folded).select(*key))
+    if large.isEmpty():
+        each = _folded(functions, most)
+    else:
+        each = _folded(functions.join(large, key, "left_anti"), most).unionByName(_jumped(functions.join(large, key, "left_semi"), most, keep))
+    return each.groupBy(*key, "chunk").agg(F.min("start_line").alias("line_start"), F.max_by("end_line", "start_line").alias("line_end"), F.transform(F.array_sort(F.collect_list(F.struct("start_line", "name"))), lambda x: x["name"]).alias("functions"))
 
 
 def with_content(batched: DataFrame, owned: DataFrame, rows: DataFrame, calls: DataFrame) -> DataFrame:
