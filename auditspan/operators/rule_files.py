@@ -408,11 +408,12 @@ def _message(text: str, names: frozenset) -> Column:
     return out
 
 
-def run_rules(stated: DataFrame, owned: DataFrame, rule_list: list[dict], blocks: DataFrame | None = None) -> DataFrame:
+def run_rules(stated: DataFrame, owned: DataFrame, rule_list: list[dict], blocks: DataFrame | None = None, keep=lambda hits: hits) -> DataFrame:
     """(rule_id, file, line_start, line_end, severity, message, metadata): each rule's distinct hits, with bindings in the message; metadata as JSON.
 
     owned: `modules.functions`; blocks: `source.intervals`, for rules on loops and the like. paths.include narrows a rule to the files that a
-    glob fits. Each rule is a plan of its own over the same statements, which are best written first."""
+    glob fits. Each rule is a plan of its own over the same statements, which are best written first; `keep` can write each rule's hits, so that many
+    rules do not become one large plan."""
     run, out = _Run(stated, owned, blocks), None
     for rule in rule_list:
         globs = (rule.get("paths") or {}).get("include") or []
@@ -421,6 +422,6 @@ def run_rules(stated: DataFrame, owned: DataFrame, rule_list: list[dict], blocks
         named = hits.select("file", line("first").alias("first"), line("last").alias("last"), _message(rule.get("message", ""), names).alias("message")).distinct()
         same = {"rule_id": rule["id"], "severity": rule.get("severity", "WARNING"), "metadata": json.dumps(rule.get("metadata") or {}, sort_keys=True)}
         made = named.withColumnsRenamed({"first": "line_start", "last": "line_end"}).withColumns({c: F.lit(x) for c, x in same.items()})
-        made = made.select("rule_id", "file", "line_start", "line_end", "severity", "message", "metadata")
+        made = keep(made.select("rule_id", "file", "line_start", "line_end", "severity", "message", "metadata"))
         out = made if out is None else out.unionByName(made)
     return out

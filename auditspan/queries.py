@@ -452,7 +452,7 @@ NESTED_RULES = [
 def nested_rule_hits(spark, sf_dir):
     lexed = _nested(spark, sf_dir)
     stated = written(source.statements(lexed))
-    return rule_files.run_rules(stated, written(modules.functions(stated)), NESTED_RULES, written(source.intervals(lexed).where("block"))).drop("metadata")
+    return rule_files.run_rules(stated, written(modules.functions(stated)), NESTED_RULES, written(source.intervals(lexed).where("block")), written).drop("metadata")
 
 
 def queries() -> dict[str, Query]:
