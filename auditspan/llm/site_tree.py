@@ -5,7 +5,8 @@ tags, and the contents, that is its texts, links and images. Entropy over these
 what looks and reads the same on every page of a site is unimportant. Branches all of whose nodes are unimportant go from each page. A prior multiplies the
 importance of nodes whose tag or class names a role that is never main text, such as menus and adverts, whose texts may well differ from
 page to page, but not of wrappers around the main text; and within an article only branches set apart by a class can be boilerplate, since
-one article may be on many pages.
+one article may be on many pages. There a class has the prior only if it names a role and nothing else: `related-posts` is a role,
+`related-work` and `search-engine-history` may be a section of the article, and the tree alone decides on them. A button amid a sentence is part of it.
 
 The tree is a table by (host, node) from its counts on: entropies, weights and sums are Spark aggregations, and no task holds a host.
 """
@@ -42,6 +43,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 #: Roles that are never main text, as tags and as words of class, id and role.
 NOISE_TAGS = frozenset("nav header footer aside form menu dialog button search fieldset head".split()) | RAW
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies discussion disqus dialog footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply responses respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
+#: Words that may stand beside a role's name in a class without telling of anything else.
+FRAME_WORDS = frozenset("area article articles bar block body bottom box btn button buttons card cards col column container content count cta customer customers desktop entry facebook feed footer form group header icon icons inline inner item items js large left link links list main mobile module news outer page panel post posts primary reader readers right row secondary section site slot small stories story thread top twitter unit user users visitor visitors wrap wrapper your".split())
 #: What a page's main text stands in, if it has such a node.
 MAIN_TAGS = frozenset(("article", "main"))
 #: An opening tag closes these open ones first.
@@ -75,14 +78,16 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 @lru_cache(maxsize=1 << 14)
-def _look(tag: str, telling: str) -> tuple[str, bool, bool, bool]:
-    """(kind, role, main, named) of a node by its tag and the attributes that tell its role."""
+def _look(tag: str, telling: str) -> tuple[str, bool, bool, bool, bool]:
+    """(kind, role, sure, main, named) of a node by its tag and the attributes that tell its role; sure: by more than a word among others of a class."""
     names = _attributes(telling)
-    words = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(names.get(k, "") for k in ("class", "id", "role"))).lower()))
+    tokens = [set(WORDS.findall(t.lower())) for t in re.sub(r"([a-z])([A-Z])", r"\1-\2", " ".join(names.get(k, "") for k in ("class", "id", "role"))).split()]
+    words = set().union(*tokens)
     hidden = "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
     role = tag in NOISE_TAGS or hidden or bool(words & NOISE_WORDS)
+    sure = tag in NOISE_TAGS or hidden or any(t & NOISE_WORDS and all(len(w) == 1 or w in NOISE_WORDS or w in FRAME_WORDS for w in t) for t in tokens)
     main = (tag in MAIN_TAGS or names.get("role") == "main" or names.get("itemprop") == "articleBody")
-    return (f"{tag}.{'.'.join(sorted(words))}" if words else tag), role and tag not in ("html", "body"), main, bool(words)
+    return (f"{tag}.{'.'.join(sorted(words))}" if words else tag), role and tag not in ("html", "body"), sure, main, bool(words)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -90,14 +95,15 @@ def _key(parent: int, kind: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{parent}/{kind}".encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _node(tag: str, raw: str, parent: Node) -> Node:
-    kind, role, main, named = _look(tag, raw if raw and TELLING.search(raw) else "")
+def _node(tag: str, raw: str, parent: Node, amid: bool) -> Node:
+    """amid: text of the parent stands before it on its line."""
+    kind, role, sure, main, named = _look(tag, raw if raw and TELLING.search(raw) else "")
     while parent.depth >= DEEPEST:
         parent = parent.parent
     if not parent.kinds or parent.kinds[-1] != kind:
         parent.kinds.append(kind)
     node = Node(tag, kind, _key(parent.key, kind), parent.depth + 1, parent, parent.role, parent.main, named)
-    if role:
+    if role and (sure or parent.main is None) and not (tag == "button" and amid):
         node.role = node
     if main:
         node.main = node
@@ -180,7 +186,7 @@ def parse(page: str, linked: bool = True) -> tuple[list[Node], list[tuple[Node,
             close_open(CLOSES[tag])
         if tag in BLOCKS:
             flush()
-        node = _node(tag, raw, stack[-1])
+        node = _node(tag, raw, stack[-1], owner is stack[-1])
         nodes.append(node)
         if tag in RAW:
             ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at) if not raw.rstrip().endswith("/") else None

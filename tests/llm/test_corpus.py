@@ -81,6 +81,21 @@ def test_the_tree_finds_boilerplate_that_nothing_names(spark):
     assert site_tree.main_text(named[3][2], set()) != out[3] and "Home of all" in site_tree.main_text(named[3][2], set())
 
 
+def test_sections_of_an_article_that_a_word_names_stay():
+    body = "<body><nav>n</nav><div class=search-box>s</div><article><p>First.</p>{}<p>Last.</p></article><div class=related-work>w</div></body>"
+    stays = {"<div class='search-engine-history'><p>In 1990.</p></div>": "In 1990.", "<section class='social-impact'><p>On people.</p></section>": "On people.",
+             "<div class=relatedWork><p>By others.</p></div>": "By others.", "<p>Press <button>Start</button> to go on.</p>": "Press Start to go on.",
+             "<div id=header-files-in-c><p>Of C.</p></div>": "Of C."}
+    goes = ("<div class=related-posts>r</div>", "<div class='reader comments'>c</div>", "<ul class=share-buttons><li>t</ul>", "<div class=newsletterSignup>n</div>", "<aside>a</aside>",
+            "<div class=ad-slot-1>a</div>", "<form><p>f <button>b</button></p></form>", "<button>Share</button>", "<div class='sidebar left'>s</div>", "<div hidden>h</div>")
+    for part, text in stays.items():
+        assert site_tree.main_text(body.format(part), set()) == f"First. {text} Last."
+        low = {n.key for n in site_tree.parse(body.format(part))[0] if n.parent and n.parent.tag in ("article", "div", "section") and n.named or n.tag == "p" and n.parent.named}
+        assert site_tree.main_text(body.format(part), low) == ("First. Last." if part[1] != "p" else f"First. {text} Last.")  # the tree can still take them out
+    for part in goes:
+        assert site_tree.main_text(body.format(part), set()) == "First. Last."
+
+
 def plain_importances(pages):
     """{(host, path): (pages, importance)} from the leaves up, by the definition."""
     seen, runs, texts = Counter(), defaultdict(Counter), defaultdict(lambda: defaultdict(list))
