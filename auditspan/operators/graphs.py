@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,34 @@ def parameter_origins(roots: DataFrame, sites: DataFrame, passed: DataFrame, dep
         found = found.select("root", "root_index", F.lit(d).alias("depth"), "origin", "n")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def caller_chains(roots: DataFrame, sites: DataFrame, passed: DataFrame, keep, depth: int = 3, most: int = 20) -> DataFrame:
+    """(root, root_index, rank, origin, chain): the first `most` chains of calls that give a parameter its value, and what stands at their far ends.
+
+    roots: (callee, arg_index). sites: (caller, callee, arg_index, arg, place), place of any type with an order. passed: (caller, arg,
+    param_index), of which the least index counts. A chain is an array of (place, caller, arg) from the root outwards; it goes on through an
+    argument that is a parameter of the caller, ends with the argument's origin, or says that nobody calls, that no call has such an
+    argument, or that `depth` calls were followed. Chains are ranked by their places, call by call, so those through one call stand together.
+
+    The first `most` are exact, though no more are ever held of a root: each chain still open ends in one chain or more that stand at its
+    place, so what comes after `most` others never gets among them. For the same reason the first `most` calls of a parameter are enough,
+    and a function that everybody calls joins no more rows than that. Spark limits both groups before it shuffles them."""
+    first = Window.partitionBy("callee", "arg_index").orderBy("place", "caller", "arg")
+    inner = passed.groupBy("caller", "arg").agg(F.min("param_index").alias("_next"))
+    told = sites.where("arg is not null").select("callee", "arg_index", "place", "caller", "arg").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
+    told = told.withColumn("_origin", argument_origin(F.col("arg"))).join(inner, ["caller", "arg"], "left")
+    going = (F.col("_origin") == "variable") & F.col("_next").isNotNull()
+    told = keep(told.select("callee", "arg_index", F.struct("place", "caller", "arg").alias("_call"), F.when(~going, F.col("_origin")).alias("_origin"), F.col("caller").alias("_caller"), F.when(going, F.col("_next")).alias("_next")))
+    called = sites.select("callee").distinct().withColumn("_called", F.lit(True))
+    call = told.schema["_call"].dataType.simpleString()
+    chains = roots.distinct().select(F.col("callee").alias("root"), F.col("arg_index").alias("root_index"), "callee", "arg_index", F.expr(f"cast(array() as array<{call}>)").alias("chain"), F.lit(None).cast("string").alias("origin"))
+    ranked = Window.partitionBy("root", "root_index").orderBy("chain")
+    for _ in range(depth):
+        longer = chains.where("origin is null").drop("origin").join(told, ["callee", "arg_index"], "left").join(called, "callee", "left")
+        none = F.when(F.col("_called").isNull(), "no_callers_found").otherwise("no_matching_arg_index")
+        ends = F.when(F.col("_call").isNull(), none).otherwise(F.col("_origin"))
+        longer = longer.select("root", "root_index", F.col("_caller").alias("callee"), F.col("_next").alias("arg_index"), F.when(F.col("_call").isNull(), F.col("chain")).otherwise(F.concat("chain", F.array("_call"))).alias("chain"), ends.alias("origin"))
+        every = longer.unionByName(chains.where("origin is not null").select(*longer.columns))
+        chains = keep(every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= most))
+    return chains.select("root", "root_index", "rank", F.coalesce("origin", F.lit("max_depth_reached")).alias("origin"), "chain")

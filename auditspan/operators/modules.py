@@ -151,3 +151,13 @@ def resolved_parameters(found: DataFrame, sites: DataFrame, exported: DataFrame,
     keyed = found.withColumn("root", at("file", "function")).withColumnRenamed("param_index", "root_index")
     roots = keyed.select(F.col("root").alias("callee"), F.col("root_index").alias("arg_index")).distinct()
     return keyed.join(graphs.parameter_origins(roots, calls, passed, depth), ["root", "root_index"]).select("file", "line_no", "operation", "var", "function", "depth", "origin", "n")
+
+
+def parameter_chains(found: DataFrame, sites: DataFrame, exported: DataFrame, keep, depth: int = 3, most: int = 20) -> DataFrame:
+    """(file, line_no, operation, var, function, rank, origin, chain): as resolved_parameters, with the calls of each chain and their places (file, line_no, call); the first `most` of each parameter."""
+    at = lambda file, name: F.concat_ws("#", file, name)
+    calls = sites.select(at("caller_file", "caller").alias("caller"), at("callee_file", "callee").alias("callee"), "arg_index", "arg", F.struct(F.col("caller_file").alias("file"), "line_no", "call").alias("place"))
+    passed = exported.select(at("file", "name").alias("caller"), F.posexplode("params").alias("param_index", "arg"))
+    keyed = found.withColumn("root", at("file", "function")).withColumnRenamed("param_index", "root_index")
+    chains = graphs.caller_chains(keyed.select(F.col("root").alias("callee"), F.col("root_index").alias("arg_index")), calls, passed, keep, depth, most)
+    return keyed.join(chains, ["root", "root_index"]).select("file", "line_no", "operation", "var", "function", "rank", "origin", "chain")

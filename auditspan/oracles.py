@@ -249,6 +249,14 @@ def oracle_sql() -> dict[str, str]:
         "call_graph": f"WITH {CODE}{OWNED}{CALLED} SELECT DISTINCT c.file, o.name AS src, t.name AS dst FROM called c JOIN owned o ON o.file = c.file AND c.line_no BETWEEN o.start_line AND o.end_line JOIN owned t ON t.file = c.file AND t.name = c.callee WHERE o.name <> t.name",
         "cross_file_call_sites": f"WITH {CODE}{OWNED}{CALLED}, target AS (SELECT name, min(file) AS target FROM owned GROUP BY name), site AS (SELECT c.file AS caller_file, o.name AS caller, c.line_no, target AS callee_file, callee FROM called c JOIN target ON name = callee JOIN owned o ON o.file = c.file AND c.line_no BETWEEN o.start_line AND o.end_line) SELECT site.*, unnest([0, 1, 2]) AS arg_index, unnest(['key', '''fixed''', 'data']) AS arg FROM site",
         "callers_depth3": _depth3(),
+        "caller_chains": f"""WITH RECURSIVE {CALLS}, step AS (
+            SELECT DISTINCT callee AS root, arg_index AS root_index, callee, arg_index, 0 AS depth, []::BIGINT[] AS places, NULL::VARCHAR AS origin, '' AS chain FROM calls
+            UNION ALL SELECT root, root_index, c.caller, (c.caller % 2)::INT, depth + 1, CASE WHEN c.pos IS NULL THEN places ELSE list_append(places, c.pos) END,
+              CASE WHEN c.pos IS NOT NULL THEN CASE WHEN c.origin <> 'variable' THEN c.origin END WHEN s.callee IN (SELECT callee FROM calls) THEN 'no_matching_arg_index' ELSE 'no_callers_found' END,
+              CASE WHEN c.pos IS NULL THEN chain ELSE chain || CASE WHEN chain <> '' THEN ' < ' ELSE '' END || c.caller || '@' || c.pos END
+            FROM step s LEFT JOIN calls c ON c.callee = s.callee AND c.arg_index = s.arg_index WHERE s.origin IS NULL AND depth < 3
+          ) SELECT root, root_index, row_number() OVER (PARTITION BY root, root_index ORDER BY places)::INT AS rank, coalesce(origin, 'max_depth_reached') AS origin, len(places)::INT AS n_calls, chain
+          FROM step WHERE origin IS NOT NULL OR depth = 3 QUALIFY rank <= 20""",
         "call_components": f"WITH RECURSIVE {CALLS}, node AS (SELECT DISTINCT caller AS n FROM calls), edge AS (SELECT caller AS a, callee AS b FROM calls SEMI JOIN node ON node.n = calls.callee WHERE origin = 'variable'), both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge), reach AS (SELECT n AS a, n AS b FROM node UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a",
         "file_segments": f"WITH cut AS (SELECT 'u' || doc_id AS file, string_split(text, chr(10)) AS l FROM documents), step AS (SELECT *, CASE WHEN len(l) <= 20 THEN len(l) ELSE 8 END AS n FROM cut), part AS (SELECT *, unnest(range(0, (len(l) + n - 1) // n)) AS segment FROM step) SELECT file, segment::INT AS segment, (segment * n + 1)::INT AS line_start, least(len(l), segment * n + n)::INT AS line_end, array_to_string(l[segment * n + 1:segment * n + n], chr(10)) AS text FROM part",
         "chunk_sast_overlap": "WITH " + FINDINGS + SAST + ", chunk AS (SELECT chunk_id, file, min(line_start) AS a, max(line_end) AS z FROM findings GROUP BY ALL) SELECT chunk_id, 'src/' || c.file AS file, rule_id, s.line_start FROM chunk c JOIN sast s ON s.file = c.file AND s.line_start <= z AND s.line_end >= a",

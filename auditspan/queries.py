@@ -255,6 +255,15 @@ def callers_depth3(spark, sf_dir):
     return graphs.parameter_origins(sites.select("callee", "arg_index").distinct(), sites, passed)
 
 
+def caller_chains(spark, sf_dir):
+    """The first twenty chains of calls of each parameter, as text from the root outwards."""
+    sites = r.calls(spark, sf_dir).withColumnRenamed("pos", "place")
+    passed = sites.select("caller", "arg", (F.col("caller") % 2).cast("int").alias("param_index")).where("arg = 'param'").distinct()
+    chains = graphs.caller_chains(sites.select("callee", "arg_index"), sites, passed, written)
+    said = F.transform("chain", lambda c: F.concat_ws("@", c["caller"], c["place"]))
+    return chains.select("root", "root_index", "rank", "origin", F.size("chain").alias("n_calls"), F.array_join(said, " < ").alias("chain"))
+
+
 def call_components(spark, sf_dir):
     sites = r.calls(spark, sf_dir).where("arg = 'param'")
     nodes = r.calls(spark, sf_dir).select(F.col("caller").alias("node")).distinct()
@@ -460,7 +469,7 @@ def queries() -> dict[str, Query]:
         consensus_merge_, l1_rule_cascade, l15_evidence_quality, l2_design_knn, l2_design_index, l25_sast_crossval, l3_whitelist, l4_semantic_dedup, l5_confidence, triage_funnel, triage_counters, ranked_findings,
         stage_assignment, stage_summary, report_rollups, severity_histogram, report_compare, report_overlap, latest_reports, rule_fk_gaps, verdict_filter, verdict_tallies,
         grep_lines, grep_first_hits, read_file_slice, symbol_definition, context_window, numbered_lines, doc_sections, doc_excerpt_argmax, hunk_ranges, focus_notes, jaccard_pairs,
-        code_functions, code_imports, import_candidates, crypto_call_sites, crypto_traces, cross_file_call_sites, callers_depth3, call_components, call_graph, semantic_chunks, file_segments, audit_prompts,
+        code_functions, code_imports, import_candidates, crypto_call_sites, crypto_traces, cross_file_call_sites, callers_depth3, caller_chains, call_components, call_graph, semantic_chunks, file_segments, audit_prompts,
         module_functions, module_exports, module_imports, import_statements, call_arguments, imported_call_sites, imported_signatures, parameter_origins_of_traces, sast_rule_files, status_shares, attack_prompts,
         chunk_sast_overlap, sast_rule_algebra, parse_llm_findings, parse_adversarial, parse_lenient_objects, normalize_findings,
         nested_functions, nested_traces, nodes_at_lines, nested_rule_hits,
