@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graphs, source
+from .lines import lines
 from .source import MARK
 
 NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
@@ -161,3 +162,9 @@ def parameter_chains(found: DataFrame, sites: DataFrame, exported: DataFrame, ke
     keyed = found.withColumn("root", at("file", "function")).withColumnRenamed("param_index", "root_index")
     chains = graphs.caller_chains(keyed.select(F.col("root").alias("callee"), F.col("root_index").alias("arg_index")), calls, passed, keep, depth, most)
     return keyed.join(chains, ["root", "root_index"]).select("file", "line_no", "operation", "var", "function", "rank", "origin", "chain")
+
+
+def graph_facts(files: DataFrame, keep) -> dict[str, DataFrame]:
+    """Of files (file, text), the tables a dependency graph is joined from: functions, exports, imported names and arguments of calls, each file's by itself. The statements are made once."""
+    stated = keep(statements(lines(files)))
+    return {"functions": functions(stated), "exports": exports(stated), "imports": imported_names(stated), "arguments": called_arguments(stated)}
