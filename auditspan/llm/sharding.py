@@ -31,23 +31,34 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return np.random.default_rng(seed).permutation(n)
 
 
-def _numbered(docs: DataFrame, number: str) -> DataFrame:
-    """docs with a number from 0 that tells equal rows apart. Rows are counted by hash first, and only those of repeated hashes are brought together, as counts."""
-    digest, n = fresh(docs, "_hash", "_count")
+#: Copies of one row are numbered by so many in a task.
+COPIES = 1 << 16
+
+
+def _numbered(docs: DataFrame, number: str, most: int) -> DataFrame:
+    """docs with a number from 0 that tells equal rows apart. Rows are counted by hash first, and only those of repeated hashes are brought together, as counts.
+
+    Where a hash has more than `most` rows, the numbers come in ranges of so many, dealt over the tasks before they become rows."""
+    digest, n, part = fresh(docs, "_hash", "_count", "_part")
     hashed = docs.withColumn(digest, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    repeated = written(hashed.groupBy(digest).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(digest))
+    repeated = written(hashed.groupBy(digest).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1))
     if repeated.isEmpty():
         return docs.withColumn(number, F.lit(0).cast("long"))
-    repeated = small(repeated, 500_000)
+    hot = not repeated.where(F.col(n) > most).isEmpty()
+    repeated = small(repeated.select(digest), 500_000)
     counted = hashed.join(repeated, digest, "left_semi").groupBy(*(F.col(f"`{c}`") for c in docs.columns)).agg(F.count(F.lit(1)).alias(n))
-    copies = counted.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))).drop(n)
+    first, last = F.lit(0).cast("long"), F.col(n) - 1
+    if hot:
+        counted = counted.withColumn(part, F.explode(F.sequence(first, F.floor(last / most)))).repartition(part, *(F.col(f"`{c}`") for c in docs.columns))
+        first, last = F.col(part) * most, F.least(last, F.col(part) * most + (most - 1))
+    copies = counted.withColumn(number, F.explode(F.sequence(first, last))).drop(n, part)
     return hashed.join(repeated, digest, "left_anti").drop(digest).withColumn(number, F.lit(0).cast("long")).unionByName(copies)
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, text: str = "text", bucket_bytes: int = BUCKET_BYTES, copies: int = COPIES) -> DataFrame:
     """docs with shard (int) and slot (long, from 0 without gaps in each shard).
 
-    The order depends on the seed, the rows and the bucket size alone, not on how Spark partitions docs or on how many cores there are.
+    The order depends on the seed, the rows and the bucket size alone, not on `copies`, on how Spark partitions docs or on how many cores there are.
     Null ids and texts hash like any value; equal rows are numbered and scatter like others; an empty table stays empty. A text of any length
     is one record. Extra columns named shard or slot give way, and other names don't matter.
     A lost executor's buckets are made again the same, since each bucket is sorted before it is shuffled."""
@@ -57,7 +68,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, text: str =
     buckets = max(shards, -(-int(total["bytes"] or 0) // bucket_bytes))
     bucket, digest, before, number = fresh(docs, "_bucket", "_digest", "_before", "_number")
     key = [*(F.col(f"`{c}`") for c in docs.columns), F.col(number)]
-    placed = _numbered(docs, number).withColumn(digest, F.xxhash64(F.lit(seed + 1), *key)).withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).cast("int"))
+    placed = _numbered(docs, number, copies).withColumn(digest, F.xxhash64(F.lit(seed + 1), *key)).withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).cast("int"))
 
     counts = written(placed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")))  # a row for each bucket
     starts = counts.select(bucket, (F.sum("_n").over(Window.orderBy(bucket)) - F.col("_n")).alias(before))

@@ -18,8 +18,17 @@ def test_equal_rows_scatter(spark):
     for shard in range(8):
         own = [d for d, s, _ in found if s == shard]
         assert len(own) == 3750 and 1100 < sum(d is None for d in own) < 1400
-    again = sharding.sharded(rows.repartition(5), bucket_bytes=4096)
-    assert sorted(map(str, found)) == sorted(str((r.doc_id, r.shard, r.slot)) for r in again.collect())
+    for again in (sharding.sharded(rows.repartition(5), bucket_bytes=4096), sharding.sharded(rows, bucket_bytes=4096, copies=999)):
+        assert sorted(map(str, found)) == sorted(str((r.doc_id, r.shard, r.slot)) for r in again.collect())
+
+
+def test_many_equal_rows_are_numbered_in_ranges(spark):
+    """Three million copies of one row and some of others: each has its own number, and no array is longer than `most`."""
+    rows = spark.range(3_000_000).selectExpr("7 as doc_id", "'x' as text", "1 as _part").unionAll(spark.range(9).selectExpr("id div 3 as doc_id", "null", "2"))
+    for most in (1 << 16, 3_000_000):
+        out = sharding._numbered(rows, "n", most)
+        assert sorted(map(tuple, out.groupBy("doc_id", "text", "_part").agg({"n": "max"}).collect()), key=str) == [(0, None, 2, 2), (1, None, 2, 2), (2, None, 2, 2), (7, "x", 1, 2_999_999)]
+        assert out.distinct().count() == out.count() == 3_000_009
 
 
 def test_copies_share_a_shard_no_more_than_by_chance(spark):
