@@ -73,12 +73,15 @@ def mixed(docs: DataFrame, budget: int | None = None, evenness: float = EVENNESS
     names = docs.columns
     src, order, n, bucket, before, share, own, whole_tokens, buckets = fresh(docs, "_src", "_order", "_n", "_bucket", "_before", "_share", "_own", "_tokens", "_buckets")
     own2, bucket2, ahead_of = fresh(docs, "_own2", "_bucket2", "_ahead")
+    counted = tokens is not None
     tokens = token_count(F.col(text)) if tokens is None else tokens
     digest = F.md5(F.coalesce(text, F.lit(""))) if digest is None else digest
     hashed = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), digest))
     rows = docs.withColumn(n, tokens).withColumn(order, hashed).withColumn(src, F.struct(F.col(source).alias("source")))
 
-    totals = written(rows.groupBy(src).agg(F.sum(n).alias("tokens"), F.count(F.lit(1)).alias("rows")))  # a row for each source
+    facts = rows.select(src, order, n)  # of texts, read once; the draws read them a second time
+    facts = facts if counted else written(facts)
+    totals = written(facts.groupBy(src).agg(F.sum(n).alias("tokens"), F.count(F.lit(1)).alias("rows")))  # a row for each source
     whole = int(totals.agg(F.sum("tokens")).first()[0] or 0)
     budget = None if budget is None else min(budget, int(most_repeats * whole))
     a = exponent(totals, budget, whole, evenness, most_repeats)
@@ -92,8 +95,10 @@ def mixed(docs: DataFrame, budget: int | None = None, evenness: float = EVENNESS
     plan = plan.where(F.col(share) > 0)
 
     place = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.col(buckets) / F.lit(1 << 32)).cast("int")
-    ready = rows.join(small(plan, 100_000), F.col(src) == F.col(own)).withColumn(bucket, place)
-    sums = ready.groupBy(own, bucket).agg(F.sum(n).alias("_sum"))
+    plan = small(plan, 100_000)
+    planned = lambda df: df.join(plan, F.col(src) == F.col(own)).withColumn(bucket, place)
+    ready = planned(rows)
+    sums = planned(facts).groupBy(own, bucket).agg(F.sum(n).alias("_sum"))
     ahead = Window.partitionBy(own).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(own).alias(own2), F.col(bucket).alias(bucket2), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias(ahead_of))
     ready = ready.join(small(sums, 100_000), (F.col(own) == F.col(own2)) & (F.col(bucket) == F.col(bucket2)))
