@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +28,26 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     """df as a Parquet table in the shared folder, with a folder for each value of the columns `by`: it cuts the lineage and outlives lost executors. The folder goes when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/auditspan-{uuid.uuid4().hex}"
-    released(spark)  # of the step before, whose plan was still held when it ended
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    released(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Has the driver's garbage collected: Spark removes shuffle files when their plan is, and otherwise those of all finished steps of a long job pile up."""
-    spark.sparkContext._jvm.System.gc()
+#: The setting by which Spark deletes a statement's shuffle files when it ends, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files, so those of a long job's steps don't pile up. The session's own setting holds again afterwards."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def dropped(df: DataFrame) -> None:
