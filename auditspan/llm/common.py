@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import dropped, written  # noqa: F401  the operators take it from here
+from ..sources.shared import dropped, tidy, written  # noqa: F401  the operators take them from here
 
 #: Lower-casing of A to Z alone: `lower` would also change letters outside ASCII.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,7 +28,8 @@ BROADCAST_BYTES = 64 << 20
 
 def small(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """A hint to broadcast df if it is seen to have at most `rows` rows and `most` bytes, else df itself, for a shuffled join."""
-    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))).alias("bytes")).first()
+    with tidy(df.sparkSession):
+        seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))).alias("bytes")).first()
     return F.broadcast(df) if seen["n"] <= rows and (seen["bytes"] or 0) <= most else df
 
 

@@ -264,6 +264,11 @@ def _radius(percent: int) -> float:
     return (100 - percent) / 100 + 1e-9
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows with the shingles of their nodes. Few rows go to the sets, so that these are shuffled once only, to where they are compared."""
+    return sets.select("node", "shingles").join(small(rows, BROADCAST_ROWS), "node")
+
+
 def _with_pivots(work: DataFrame, leaf: int, level: int, count: int) -> DataFrame:
     """(region, part, node, pivot): the nodes of each region of (region, node, size), dealt over parts of about `leaf` nodes, and a copy of
     the region's pivots, drawn by hash, for each part."""
@@ -292,7 +297,7 @@ def _cells(work: DataFrame, sets: DataFrame, percent: int, leaf: int, level: int
         made = [pa.array([part.column("region")[0].as_py()] * len(mine), pa.int64()), pa.array(names[mine]), pa.array(cells, pa.list_(pa.int64())), pa.array(hits, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(made, ["region", "node", "cells", "hits"])
 
-    rows = _with_pivots(work, leaf, level, PIVOTS).join(sets.select("node", "shingles"), "node")
+    rows = _with_sets(_with_pivots(work, leaf, level, PIVOTS), sets)
     return by_groups(rows, ["region", "part"], measure, "region long, node long, cells array<long>, hits array<long>")
 
 
@@ -312,7 +317,7 @@ def _pivot_distances(work: DataFrame, sets: DataFrame, percent: int, leaf: int,
         made += [pa.array(names[mine]), pa.array(1 - common / union), pa.array(100 * common >= percent * union), pa.array(size), _lists(apart)]
         return pa.RecordBatch.from_arrays(made, ["region", "pivot", "node", "far", "hit", "size", "shingles"])
 
-    rows = _with_pivots(work, leaf, level, 1).join(sets.select("node", "shingles"), "node")
+    rows = _with_sets(_with_pivots(work, leaf, level, 1), sets)
     return by_groups(rows, ["region", "part"], measure, "region long, pivot long, node long, far double, hit boolean, size long, shingles array<long>")
 
 
@@ -409,15 +414,17 @@ def links(docs: DataFrame, text: str, base: DataFrame, unique: DataFrame, n: int
             found = [shingles(t.as_py(), n) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(_name, found)), pa.int64()), _lists(found)], ["node", "shingles"])
 
-    sets = written(chosen.mapInArrow(make, "node long, shingles array<long>").join(small(active, BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"]))
+    sets = chosen.mapInArrow(make, "node long, shingles array<long>").join(small(active, BROADCAST_ROWS), "node", "left_semi")
+    # Only where an id has several rows can a node's set come twice; elsewhere the sets needn't be shuffled to see that.
+    rows = base.join(small(ids, BROADCAST_ROWS), base["id"].eqNullSafe(ids["id"]), "left_semi").count()
+    sets = written(sets if rows == active.count() else sets.dropDuplicates(["node"]))
 
     together = members.join(small(once, BROADCAST_ROWS), "label", "left_semi").select(F.col("label").alias("group"), "node")
-    met = met.join(small(once, BROADCAST_ROWS), "label", "left_anti")
-    found = written(_leaf_links(together.join(sets, "node"), percent))
-    found = found.union(written(_leaf_links(met.where(fits).select(F.col("region").alias("group"), "node").join(sets, "node"), percent)))  # each part's links are written, so that its shuffles can go
-    work, level = met.where(~fits).select("region", "node", "size"), 0
+    met = written(met.join(small(once, BROADCAST_ROWS), "label", "left_anti"))
+    found = written(_leaf_links(_with_sets(together, sets), percent))
+    found = found.union(written(_leaf_links(_with_sets(met.where(fits).select(F.col("region").alias("group"), "node"), sets), percent)))  # each part's links are written, so that its shuffles can go
+    work, level = written(met.where(~fits).select("region", "node", "size")), 0
     while not work.isEmpty():
-        work = written(work)
         cells = written(_cells(work, sets, percent, leaf, level))
         found = found.union(cells.select(F.explode("hits").alias("a"), F.col("node").alias("b")))
         # Regions whose cells overlap too much are cut into rings instead.
@@ -431,8 +438,8 @@ def links(docs: DataFrame, text: str, base: DataFrame, unique: DataFrame, n: int
         # A cell all of whose nodes are linked with its pivot is done.
         sizes = named.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("weight"), F.every("hit").alias("done")).where("nodes > 1 and not done")
         named = written(named.join(small(sizes, BROADCAST_ROWS), "region"))
-        found = found.union(written(_leaf_links(named.where(fits).select(F.col("region").alias("group"), "node").join(sets, "node"), percent)))
-        work, level = named.where(~fits).select("region", "node", "size"), level + 1
+        found = found.union(written(_leaf_links(_with_sets(named.where(fits).select(F.col("region").alias("group"), "node"), sets), percent)))
+        work, level = written(named.where(~fits).select("region", "node", "size")), level + 1
     found = written(found)
     dropped(sets)
     return found
