@@ -3,7 +3,9 @@
 1. Equal sets are one node: groups of copies cost one row.
 2. Nearly all documents are at distance 1 from nearly all others, so pivots drawn at random would copy everything everywhere. Sets are
    first cut by hash into m classes. Linked sets differ in d shingles at most, so of m = d + 1 + SPARE classes more than SPARE are equal in
-   both; a node with fewer classes in common with all others links to none. The pivot of a class is the one of its nodes that has most
+   both; a node with fewer classes in common with all others links to none. Of those that are left, a node stays if the percentage of its
+   shingles that a link asks for are each in some other one too, which passages shared with many don't bring about, and classes are counted
+   again among these. The pivot of a class is the one of its nodes that has most
    company. A node orders its classes by their pivots, those with most company first, and goes only to the pivots of so many first ones
    that one is left in common with any node it may link to: mostly one pivot. Linked nodes meet in a pivot's region.
 3. Small regions are joined at once. A larger one is cut into the Voronoi cells of pivots drawn from it: each node goes to its nearest
@@ -360,26 +362,42 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels_next.select("node", "label")
 
 
-def regions(unique: DataFrame) -> DataFrame:
-    """(region, node, size): each node of (node, size, signatures, needs) with the pivots where it meets all nodes it may be linked with."""
+def _enough(marks: Column, bit: int) -> Column:
+    """The marks that end in this bit, if there are as many as a link needs."""
+    own = F.filter(marks, lambda m: m["mark"].bitwiseAND(F.lit(1)) == bit)
+    return F.slice(own, 1, F.when(F.size(own) >= F.col("needs")[bit], F.size(own)).otherwise(0))
+
+
+def candidates(unique: DataFrame) -> DataFrame:
+    """(node, marks, company, size, needs): the nodes of (node, size, signatures, needs) that share as many classes with others as a link needs, and these."""
     marks = unique.select("node", F.explode("signatures").alias("mark"))
     shared = written(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("company")).where("company > 1"))
+    # Shared classes grow with the documents, so they are joined by a shuffle at every size, in which a class of many nodes can be split.
+    own = marks.join(shared.hint("merge"), "mark").groupBy("node").agg(F.collect_list(F.struct("mark")).alias("marks"), F.sum("company").alias("company"))
+    about = unique.select("node", "size", "needs")
+    own = own.join(about, "node").withColumn("marks", F.concat(_enough(F.col("marks"), 0), _enough(F.col("marks"), 1)))
+    return written(own.where(F.size("marks") > 0))
+
+
+def backed(sets: DataFrame, percent: int) -> DataFrame:
+    """(node): the nodes of (node, shingles) of whose shingles at least `percent` percent are each in another node too; a link asks for as many in one."""
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    shared = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"))
+    counts = each.join(shared.hint("merge"), "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    out = written(sets.select("node", F.size("shingles").alias("size")).join(counts, "node").where(100 * F.col("n") >= percent * F.col("size")).select("node"))
+    dropped(shared)
+    return out
 
-    def enough(marks: Column, bit: int) -> Column:
-        """The marks that end in this bit, if there are as many as a link needs."""
-        own = F.filter(marks, lambda m: m["mark"].bitwiseAND(F.lit(1)) == bit)
-        return F.slice(own, 1, F.when(F.size(own) >= F.col("needs")[bit], F.size(own)).otherwise(0))
+
+def regions(unique: DataFrame) -> DataFrame:
+    """(region, node, size): each node of (node, size, signatures, needs) with the pivots where it meets all nodes it may be linked with."""
 
     def first(marks: Column, bit: int) -> Column:
         """So many of the sorted marks that any set with all the needed ones has one of these."""
-        own = enough(marks, bit)
+        own = _enough(marks, bit)
         return F.slice(own, 1, F.greatest(F.lit(0), F.size(own) - F.col("needs")[bit] + 1))
 
-    # Shared classes grow with the documents, so they are joined by a shuffle at every size, in which a class of many nodes can be split.
-    own = marks.join(shared.hint("merge"), "mark").groupBy("node").agg(F.collect_list(F.struct("mark")).alias("marks"), F.sum("company").alias("company"))
-    about = unique.select("node", "size", "needs")
-    own = own.join(about, "node").withColumn("marks", F.concat(enough(F.col("marks"), 0), enough(F.col("marks"), 1)))
-    own = written(own.where(F.size("marks") > 0))
+    own = candidates(unique)
     each = own.select("node", "company", F.explode("marks.mark").alias("mark"))
     pivots = each.groupBy("mark").agg(F.max(F.struct("company", "node")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pivots = written(pivots.select("mark", F.col("top.node").alias("pivot"), (-F.col("top.company")).alias("rank")))
@@ -391,8 +409,27 @@ def regions(unique: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, text: str, base: DataFrame, unique: DataFrame, n: int, percent: int, leaf: int = LEAF) -> DataFrame:
     """(a, b): nodes whose sets are linked, enough of them to connect all that links connect. base: (id, node) of each row; unique: a row for each node."""
-    met = written(regions(unique))
+    # The sets of nodes that may have a link, made again from one text each.
+    active = written(candidates(unique).select("node"))
+    ids = base.join(small(active, BROADCAST_ROWS), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+    chosen = docs.join(small(ids, BROADCAST_ROWS), docs["id"].eqNullSafe(ids["id"]), "left_semi").select(text)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), n) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_name, found)), pa.int64()), _lists(found)], ["node", "shingles"])
+
+    made = chosen.mapInArrow(make, "node long, shingles array<long>").join(small(active, BROADCAST_ROWS), "node", "left_semi")
+    # Only where an id has several rows can a node's set come twice; elsewhere the sets needn't be shuffled to see that.
+    rows = base.join(small(ids, BROADCAST_ROWS), base["id"].eqNullSafe(ids["id"]), "left_semi").count()
+    made = written(made if rows == active.count() else made.dropDuplicates(["node"]))
+    kept = backed(made, percent)
+    sets = written(made.join(small(kept, BROADCAST_ROWS), "node", "left_semi"))
+    fewer = written(unique.join(small(kept, BROADCAST_ROWS), "node", "left_semi"))
+    dropped(made)
     dropped(unique)
+
+    met = written(regions(fewer))
     sizes = met.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("weight")).where("nodes > 1")
     met = written(met.join(small(sizes, BROADCAST_ROWS), "region"))
 
@@ -404,21 +441,6 @@ def links(docs: DataFrame, text: str, base: DataFrame, unique: DataFrame, n: int
     fits = (F.col("nodes") <= leaf) & (F.col("weight") <= LEAF_SHINGLES)
     once = written(hoods.where(fits).select("label"))
 
-    # The sets of nodes in regions, made again from one text each.
-    active = written(met.select("node").distinct())
-    ids = base.join(small(active, BROADCAST_ROWS), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
-    chosen = docs.join(small(ids, BROADCAST_ROWS), docs["id"].eqNullSafe(ids["id"]), "left_semi").select(text)
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t.as_py(), n) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(_name, found)), pa.int64()), _lists(found)], ["node", "shingles"])
-
-    sets = chosen.mapInArrow(make, "node long, shingles array<long>").join(small(active, BROADCAST_ROWS), "node", "left_semi")
-    # Only where an id has several rows can a node's set come twice; elsewhere the sets needn't be shuffled to see that.
-    rows = base.join(small(ids, BROADCAST_ROWS), base["id"].eqNullSafe(ids["id"]), "left_semi").count()
-    sets = written(sets if rows == active.count() else sets.dropDuplicates(["node"]))
-
     together = members.join(small(once, BROADCAST_ROWS), "label", "left_semi").select(F.col("label").alias("group"), "node")
     met = written(met.join(small(once, BROADCAST_ROWS), "label", "left_anti"))
     found = written(_leaf_links(_with_sets(together, sets), percent))
