@@ -400,7 +400,7 @@ def regions(unique: DataFrame) -> DataFrame:
     own = candidates(unique)
     each = own.select("node", "company", F.explode("marks.mark").alias("mark"))
     pivots = each.groupBy("mark").agg(F.max(F.struct("company", "node")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pivots = written(pivots.select("mark", F.col("top.node").alias("pivot"), (-F.col("top.company")).alias("rank")))
+    pivots = written(pivots.select("mark", F.col("top.node").alias("pivot"), F.col("top.company").alias("rank")))
     ranked = each.select("node", "mark").join(small(pivots, BROADCAST_ROWS), "mark").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "pivot", "mark"))).alias("marks"))
     ranked = ranked.join(own.select("node", "size", "needs"), "node")
     chosen = F.array_distinct(F.concat(*(F.transform(first(F.col("marks"), bit), lambda m: m["pivot"]) for bit in (0, 1))))
