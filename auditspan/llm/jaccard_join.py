@@ -6,7 +6,7 @@
    both; a node with fewer classes in common with all others links to none. Of those that are left, a node stays if the percentage of its
    shingles that a link asks for are each in some other one too, which passages shared with many don't bring about, and classes are counted
    again among these. The pivot of a class is the one of its nodes that has most
-   company. A node orders its classes by their pivots, those with most company first, and goes only to the pivots of so many first ones
+   company. A node orders its classes by their pivots, those with least company first, and goes only to the pivots of so many first ones
    that one is left in common with any node it may link to: mostly one pivot. Linked nodes meet in a pivot's region.
 3. Small regions are joined at once. A larger one is cut into the Voronoi cells of pivots drawn from it: each node goes to its nearest
    pivot's cell and, by the triangle inequality, to those that are no more than two radii further, where alone a linked node may be.
@@ -39,8 +39,6 @@ LEAF, LEAF_SHINGLES = 512, 2_000_000
 PIVOTS, SPREAD = 8, 2.0
 #: After so many cuts a region goes by rings whatever its cells.
 DEEPEST = 12
-#: Classes of this many shingles or fewer are like in unrelated sets. A set with SPARE of them or fewer leaves them out.
-POOR = 1
 BROADCAST_ROWS = 500_000
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -104,14 +102,12 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, l
     for k in (own, own - 1) if own and n * percent < bounds[own] * 100 else (own,):
         m, spare = class_count(bounds[k + 1], percent)
         which = ((found >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        size = np.bincount(which, minlength=m)
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, which, mixed)
         sums = _mix(_mix(sums, _K[0]) + np.arange(k << 32, (k << 32) + m, dtype=np.uint64), _K[2])
         sums = (sums & ~np.uint64(1)) | np.uint64(k & 1)
-        rich = size > POOR
-        out.append(sums[rich] if m - rich.sum() <= spare else sums)
-        needs[k & 1] = len(out[-1]) - (m - 1 - spare)
+        out.append(sums)
+        needs[k & 1] = spare + 1
     return np.concatenate(out), needs
 
 
