@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.globs import fnmatch_regex, valid_regex
+from ..functions.globs import fnmatch_regex, searched, valid_regex
 from ..functions.text import bucket, flat, hit_ratio, normalized, tokens
 from . import source
 from .nearest import measure
@@ -134,7 +134,7 @@ def sast_crossval(findings: DataFrame, sast: DataFrame, slack: int = 3) -> DataF
 
 def _has(column: str, pattern: str) -> Column:
     text = F.coalesce(F.col(column), F.lit(""))
-    return text.rlike(f"(?i){pattern}") if valid_regex(pattern) else F.contains(F.lower(text), F.lit(pattern.lower()))
+    return text.rlike(f"(?i){searched(pattern)}") if valid_regex(pattern) else F.contains(F.lower(text), F.lit(pattern.lower()))
 
 
 def whitelist(findings: DataFrame, rules: list[dict]) -> DataFrame:

@@ -83,6 +83,16 @@ def test_whitelist_first_rule_wins_and_bad_patterns_are_literal(spark):
     assert [r.triage_reason for r in triage.whitelist(rows, listed).orderBy("pos").collect()] == ["glob", "literal", None, None]
 
 
+def test_whitelist_patterns_find_what_sql_finds(spark):
+    import duckdb
+
+    texts = ["ungültig, the rest", "Lösung, the", "the ungü", "UNGß the", "ung\rthe", "ung\u2028the", "ung\nthe", "ingthe", "ing_ the", "ungé ing the", "tion"]
+    rows = finding(spark, *(dict(pos=i, triage_status="validated", evidence=t, finding="") for i, t in enumerate(texts)))
+    for pattern in (r"(ing|ung)\b.*the", r"ung\B", r"[\w]\b.the", r"\bü", r"\Bn[gß]\b"):
+        found = [r.triage_reason is not None for r in triage.whitelist(rows, [{"pattern": pattern}]).orderBy("pos").collect()]
+        assert found == [duckdb.execute("select regexp_matches(?, ?)", [t, f"(?i){pattern}"]).fetchone()[0] for t in texts]
+
+
 def test_confidence_penalty_and_missing_values(spark):
     rows = finding(spark, dict(triage_status="validated", consensus=None), dict(triage_status="whitelisted")).withColumn("finding_type", F.lit("adversarial"))
     out = [(r.confidence_score, r.confidence_tier) for r in triage.confidence(rows).orderBy("pos").collect()]
