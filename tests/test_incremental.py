@@ -106,3 +106,11 @@ def test_states_of_streams_equal_the_batch_over_restarts(spark, tmp_path):
         kinds = reports.latest(files.report_names(spark, str(root)).select("name", "n_findings"))
         assert sorted(map(tuple, stream.current(spark, at("last"), "kind").select(kinds.columns).collect())) == sorted(map(tuple, kinds.collect()))
     assert got.where("checklist_item = 'C01'").first().severity == "t2"  # the oldest file came last
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark):
+    from auditspan.sources.shared import shuffled, written
+
+    rows = spark.range(1000).select((F.col("id") % 10).alias("k"), F.lit("x" * 1000).alias("text"))
+    plan = lambda kept: rows.join(kept(rows).groupBy("k").count(), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(written) and "BroadcastHashJoin" not in plan(shuffled)
