@@ -17,7 +17,7 @@ from functools import reduce
 from pathlib import Path
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.globs import path_regex
@@ -231,18 +231,25 @@ class _Rows(NamedTuple):
 
 
 class _Run:
-    """One run of rules: the statements, and the nested spans of functions and of blocks."""
+    """One run of rules: the statements, and the nested spans of functions and of blocks. A pattern's matches are sought once, and kept."""
 
-    def __init__(self, stated: DataFrame, owned: DataFrame, blocks: DataFrame | None):
-        self.stated, self.blocks = stated, blocks
+    def __init__(self, stated: DataFrame, owned: DataFrame, blocks: DataFrame | None, keep=lambda hits: hits):
+        self.stated, self.blocks, self.keep, self.known = stated, blocks, keep, {}
         self.functions = owned.select("file", "depth", (F.col("start_line").cast("long") * LINE).alias("first"), ((F.col("end_line").cast("long") + 1) * LINE - 1).alias("last")).dropDuplicates(["file", "depth", "first"])
 
     def within(self, globs: list[str]) -> _Run:
         """The run over files that one of the globs fits."""
         out = object.__new__(_Run)
+        out.keep, out.known = self.keep, {}
         out.stated, out.blocks, out.functions = self.stated.where(F.col("file").rlike("|".join(path_regex(g, recursive=True) for g in globs))), self.blocks, self.functions
         return out
 
+    def hits(self, pattern: str, raw: bool = False) -> DataFrame:
+        """`matches` of a pattern, the same table for all rules that have it."""
+        if (pattern, raw) not in self.known:
+            self.known[pattern, raw] = self.keep(matches(self.stated, pattern, raw))
+        return self.known[pattern, raw]
+
     def _own(self, rows: DataFrame) -> DataFrame:
         """rows with the function around each, or the whole file, as _from and _to."""
         spans = self.functions.select("file", "depth", "first", "last", F.col("first").alias("_from"), F.col("last").alias("_to"))
@@ -252,7 +259,7 @@ class _Run:
 
     def _scoped(self, step: str) -> _Rows:
         """Matches of a step as (file, _from, _a, _z, _more): once for each function around and once for the file."""
-        hit = matches(self.stated, step)
+        hit = self.hits(step)
         spans = self.functions.select("file", "depth", "first", "last", F.col("first").alias("_from"))
         inner = source.around(hit.withColumn("at", F.col("first")), spans).select("file", "at", "_from")
         inner = hit.join(inner.withColumnRenamed("at", "first"), ["file", "first"])
@@ -261,7 +268,7 @@ class _Run:
 
     def sequence(self, steps: list[str]) -> _Rows:
         """From a match of the first step to the next one of the second in its function, and so on, with equal bindings."""
-        out, known = self._own(matches(self.stated, steps[0])), frozenset(compiled(steps[0]).names)
+        out, known = self._own(self.hits(steps[0])), frozenset(compiled(steps[0]).names)
         for step in steps[1:]:
             later, names = self._scoped(step)
             joined = _unified(out, later, known & names, ["file", "_from"]).where("_a > last")
@@ -277,7 +284,7 @@ class _Run:
         spans = self.blocks.where((F.col("owner") == owner) & F.col("block")).select("file", "depth", "first", "last", (F.col("first_line").cast("long") * LINE).alias("_head"), F.col("last").alias("_to"))
         out, known = None, frozenset()
         for step in _steps(body).steps:
-            hit = matches(self.stated, step)
+            hit = self.hits(step)
             inner = hit.join(source.around(hit.withColumn("at", F.col("first")), spans).select("file", F.col("at").alias("first"), "_head", "_to"), ["file", "first"])
             names = frozenset(compiled(step).names)
             if out is None:
@@ -297,7 +304,7 @@ class _Run:
         parts = _steps(text)
         if len(parts.steps) > 1:
             return self.sequence(parts.steps)
-        return _Rows(matches(self.stated, parts.steps[0]), frozenset(compiled(parts.steps[0]).names))
+        return _Rows(self.hits(parts.steps[0]), frozenset(compiled(parts.steps[0]).names))
 
     def held(self, found: _Rows, text: str) -> DataFrame:
         """The rows of `found` that lie within a match of the pattern with equal bindings."""
@@ -307,7 +314,14 @@ class _Run:
         if (m := _BLOCK.match(text)) or (len(parts.steps) == 1 and not parts.leads and not parts.trails):
             inner, names = self.block(m[1], m[3]) if m else self.pattern(text)
             inner = inner.select("file", F.col("first").alias("_a"), F.col("last").alias("_z"), F.col("values").alias("_more"))
-            return _unified(rows, inner, found.names & names, ["file"]).where("_a <= first and _z >= last").select(*keys)
+            return _covered(rows, inner, found.names & names).select(*keys)
+        if len(parts.steps) == 1:  # of equal bindings in a scope the first start and the last end decide
+            inner, names = self._scoped(parts.steps[0])
+            bound = found.names & names
+            held = F.map_filter("_more", lambda k, _: k.isin(*sorted(bound))) if bound else F.create_map().cast("map<string,string>")
+            inner = inner.groupBy("file", "_from", F.to_json(held).alias("_held")).agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.any_value("_more").alias("_more")).drop("_held")
+            out = _unified(self._own(rows), inner, bound, ["file", "_from"])
+            return (out.where("_z >= last") if parts.leads and not parts.trails else out.where("_a <= first") if parts.trails and not parts.leads else out).select(*keys)
         out, known = self._own(rows), found.names
         for k, step in enumerate(parts.steps):
             inner, names = self._scoped(step)
@@ -346,6 +360,20 @@ def _unified(left: DataFrame, right: DataFrame, names: frozenset, keys: list[str
     return a.join(b, [*keys, *bound]).drop(*bound)
 
 
+def _covered(rows: DataFrame, inner: DataFrame, names: frozenset) -> DataFrame:
+    """The rows (file, first, last, values, …) that lie within some of inner (file, _a, _z, _more) with equal bindings of these names.
+
+    In order of their starts, the farthest end so far decides: no row meets all matches of its file."""
+    bound = {f"_v{i}": n for i, n in enumerate(sorted(names))}
+    asked = rows.withColumns({"_at": F.col("first"), "_asks": F.lit(1), "_end": F.lit(None).cast("long"), **{c: F.col("values")[n] for c, n in bound.items()}})
+    known = inner.select("file", F.col("_a").alias("_at"), F.lit(0).alias("_asks"), F.col("_z").alias("_end"), *(F.col("_more")[n].alias(c) for c, n in bound.items()))
+    before = Window.partitionBy("file", *bound).orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    held = asked.unionByName(known, allowMissingColumns=True).withColumn("_end", F.max("_end").over(before)).where("_asks = 1 and _end >= last")
+    for c in bound:  # a binding that is missing equals none
+        held = held.where(F.col(c).isNotNull())
+    return held.select(*rows.columns)
+
+
 def _added(values: Column, more: Column) -> Column:
     return F.map_concat(values, F.map_filter(more, lambda k, _: ~F.array_contains(F.map_keys(values), k)))
 
@@ -371,7 +399,7 @@ def _found(run: _Run, rule: dict) -> _Rows:
             if key == "pattern":
                 hit = run.pattern(value)
             elif key == "pattern-regex":
-                hit = _Rows(matches(run.stated, value, raw=True), frozenset())
+                hit = _Rows(run.hits(value, raw=True), frozenset())
             elif key == "pattern-either":
                 choices = [_found(run, choice) for choice in value]
                 hit = _Rows(reduce(DataFrame.unionByName, (c.rows for c in choices)), frozenset.intersection(*(c.names for c in choices)))
@@ -412,9 +440,9 @@ def run_rules(stated: DataFrame, owned: DataFrame, rule_list: list[dict], blocks
     """(rule_id, file, line_start, line_end, severity, message, metadata): each rule's distinct hits, with bindings in the message; metadata as JSON.
 
     owned: `modules.functions`; blocks: `source.intervals`, for rules on loops and the like. paths.include narrows a rule to the files that a
-    glob fits. Each rule is a plan of its own over the same statements, which are best written first; `keep` can write each rule's hits, so that many
-    rules do not become one large plan."""
-    run, out = _Run(stated, owned, blocks), None
+    glob fits. Each rule is a plan of its own over the same statements, which are best written first; `keep` can write each pattern's
+    matches and each rule's hits, so that no pattern is sought twice and many rules do not become one large plan."""
+    run, out = _Run(stated, owned, blocks, keep), None
     for rule in rule_list:
         globs = (rule.get("paths") or {}).get("include") or []
         hits, names = _found(run.within(globs) if globs else run, rule)

@@ -287,3 +287,17 @@ def test_constructs_are_looked_for_in_the_node_around(spark):
     assert {(r.line_no, r.node_text) for r in nodes.collect()} == {(2, "const o = makeKey({\n  plain,\n  other\n});"), (5, "plain")}
     assert {(r.pos, r.evidence_quality) for r in triage.evidence_quality(found, files, nodes).collect()} == {(1, "fuzzy"), (2, "no_match")}
     assert {(r.pos, r.evidence_quality) for r in triage.evidence_quality(found, files).collect()} == {(1, "no_match"), (2, "no_match")}
+
+
+def test_containment_of_matches_is_no_join(spark):
+    rng = random.Random(11)
+    spans = lambda n: [(f"f{rng.randint(0, 2)}", a := rng.randint(0, 60), a + rng.randint(0, 30), {"X": rng.choice("ab")} if rng.random() < 0.8 else {}) for _ in range(n)]
+    left, right = spans(80), spans(40)
+    rows = spark.createDataFrame(left, "file string, first long, last long, values map<string,string>")
+    inner = spark.createDataFrame(right, "file string, _a long, _z long, _more map<string,string>")
+    for names in (frozenset(), frozenset("X")):
+        held = rule_files._covered(rows, inner, names)
+        same = lambda v, w: not names or "X" in v and v.get("X") == w.get("X")  # noqa: B023, E731
+        want = [r for r in left if any(r[0] == i[0] and i[1] <= r[1] and i[2] >= r[2] and same(r[3], i[3]) for i in right)]
+        assert sorted(map(str, map(tuple, held.collect()))) == sorted(map(str, want))
+        assert "Join" not in held._jdf.queryExecution().optimizedPlan().toString()
