@@ -301,3 +301,17 @@ def test_containment_of_matches_is_no_join(spark):
         want = [r for r in left if any(r[0] == i[0] and i[1] <= r[1] and i[2] >= r[2] and same(r[3], i[3]) for i in right)]
         assert sorted(map(str, map(tuple, held.collect()))) == sorted(map(str, want))
         assert "Join" not in held._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_read_before_come_to_the_same():
+    rng = random.Random(12)
+    pieces = ["(", ")", "{", "}", "[", "]", "`", "${", "/*", "*/", "//", "'", "if", "class", "function", "=>", "case", ":", ";", ",", "a", "=", " ", "/x(/", "\\", "."]
+    lines = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(60)]
+    seen = {}
+    for _ in range(300):
+        plain, shared = source.Lexer(), source.Lexer(seen)
+        for no in sorted(rng.randint(0, 20) for _ in range(15)):
+            text = rng.choice(lines)
+            assert shared.line(no, text) == plain._read(no, text)
+        assert shared.end() == plain.end()
+    assert 0 < len(seen) <= source.MOST
