@@ -197,11 +197,16 @@ def matches(stated: DataFrame, pattern: str, raw: bool = False) -> DataFrame:
     for word in sorted(required(pattern), key=len, reverse=True):
         stated = stated.where(F.contains("code", F.lit(word)))
     ahead = f"(?=({made.regex}))"
-    every = lambda g: F.regexp_extract_all("code", F.lit(ahead), F.lit(g))
-    groups = [g for _, g in made.places] + ([made.items[0]] if made.items else [])
-    found = stated.where(F.col("code").rlike(ahead)).select("file", "line_no", F.split("code", ahead, -1).alias("_pieces"), F.posexplode(F.arrays_zip(every(1).alias("whole"), *(every(g).alias(f"g{g}") for g in groups))).alias("_i", "_m"), F.size(every(1)).alias("_n"))
-    before = F.array_join(F.slice("_pieces", 1, F.col("_i") + F.size("_pieces") - F.col("_n")), "")
-    found = found.withColumn("_before", before)
+    groups = list(dict.fromkeys([g for _, g in made.places] + ([made.items[0]] if made.items else [])))
+    # One pass puts what matches, and its groups, before each place where it matches; between them stands the text itself.
+    pieces = F.split(F.regexp_replace("code", ahead, source.FREE + "".join(f"${g}{source.FREE}" for g in [1, *groups])), source.FREE, -1)
+    step = len(groups) + 2
+    cut = stated.select("file", "line_no", pieces.alias("_pieces")).withColumn("_n", (F.size("_pieces") - 1) / step).where("_n > 0")
+    each = F.transform(F.sequence(F.lit(0), F.col("_n").cast("int") - 1), lambda i: F.struct(
+        F.array_join(F.transform(F.sequence(F.lit(0), i), lambda j: F.get("_pieces", j * step)), "").alias("before"),
+        *(F.get("_pieces", i * step + 1 + k).alias(name) for k, name in enumerate(["whole", *(f"g{g}" for g in groups)])),
+    ))
+    found = cut.select("file", "line_no", F.explode(each).alias("_m")).withColumn("_before", F.col("_m.before"))
     value = lambda g: F.trim(F.regexp_replace(source.plain(F.col(f"_m.g{g}")), r"\s+", " "))
     first = dict(reversed(made.places))
     for name, g in made.places:  # the same text wherever a name stands
