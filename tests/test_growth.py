@@ -43,3 +43,13 @@ def test_patterns_are_tried_once(spark):
     assert [(a - 5 * source.LINE, x) for a, _, x in got] == [(at[0], "1"), (at[1], "2")]
     nested = rule_files.matches(stated, "$F($X)").where(F.col("first").between(5 * source.LINE, 6 * source.LINE)).collect()
     assert sorted((r["values"]["F"], r["values"]["X"]) for r in nested) == [("g", "h(2)"), ("h", "1"), ("h", "2")]
+
+
+def test_only_pairs_over_lines_are_stabbed(spark):
+    lexed = source.lexed(_lines(spark, 1))
+    points = lexed.where("bracket is null").select("file", "line_no")
+    nodes = source.nodes_at(points.unionByName(points), source.intervals(lexed))
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "(last_line#" in plan and "> first_line#" in plan
+    got = sorted((r.line_no, r.node_bracket) for r in nodes.collect())
+    assert got == sorted(2 * [(1, "("), (2, "("), (3, "{"), (4, "{"), (5, "("), (6, "{"), (7, "`"), (8, "{"), (9, "("), (10, "{"), (11, "{"), (12, "("), (13, "(")])
