@@ -70,9 +70,9 @@ def call_sites(rows: DataFrame, owned: DataFrame, links: DataFrame) -> DataFrame
     text = found.join(rows, ["file", "line_no"])
     raw = F.call_function("regexp_extract", F.col("line"), F.concat(F.lit(r"\b\Q"), "callee", F.lit(r"\E\s*\(([^()]*)\)")), F.lit(1))
     args = F.filter(F.transform(F.split(raw, ","), lambda a: F.trim(a)), lambda a: a != "")
-    each = text.select(F.col("file").alias("caller_file"), "line_no", F.col("target").alias("callee_file"), "callee", F.posexplode(args).alias("arg_index", "arg"))
-    inside = owned.select(F.col("file").alias("caller_file"), F.col("name").alias("caller"), "start_line", "end_line")
-    return each.join(inside, "caller_file").where("line_no between start_line and end_line").drop("start_line", "end_line").withColumn("arg", F.substring("arg", 1, 200))
+    each = text.select("file", "line_no", F.col("target").alias("callee_file"), "callee", F.posexplode(args).alias("arg_index", "arg"))
+    inside = source.on_lines(each, owned.select("file", F.col("name").alias("caller"), "start_line", "end_line"))
+    return inside.select(F.col("file").alias("caller_file"), "line_no", "callee_file", "callee", "arg_index", F.substring("arg", 1, 200).alias("arg"), "caller")
 
 
 def resolved(links: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:

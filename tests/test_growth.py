@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from auditspan.operators import modules, rule_files, source
+from auditspan.operators import graphs, modules, rule_files, source
 
 ROW = "file string, line_no int, line string"
 TEXT = ["export const f = async (", "  key,", ") => {", "  if (key) {", "    g(h(1), 'a(b'); g(h(2));", "  } else {", "    g(`", "      ${k}`,", "    2);", "  }", "}", "const x = (", "// open"]
@@ -45,6 +45,23 @@ def test_patterns_are_tried_once(spark):
     assert sorted((r["values"]["F"], r["values"]["X"]) for r in nested) == [("g", "h(2)"), ("h", "1"), ("h", "2")]
 
 
+def test_lines_meet_functions_by_blocks(spark):
+    spans = [("a", 1, 400, "outer"), ("a", 17, 32, "one"), ("a", 20, 20, "two"), ("a", 300, 299, "none"), ("b", 5, 40, "other")]
+    owned = spark.createDataFrame(spans, "file string, start_line int, end_line int, name string")
+    points = spark.createDataFrame([(f, n) for f in "abc" for n in (1, 16, 17, 20, 32, 33, 299, 300, 400, 401)], "file string, line_no int")
+    got = sorted((r.file, r.line_no, r.name) for r in source.on_lines(points, owned).collect())
+    assert got == sorted((p.file, p.line_no, n) for p in points.collect() for f, a, z, n in spans if f == p.file and a <= p.line_no <= z)
+    calls = points.withColumn("callee", F.lit("two"))
+    assert "_block" in _plan(graphs.call_graph(owned, calls))
+    arguments = calls.withColumns({"call": F.lit(0), "arg_index": F.lit(0), "arg": F.lit("x")})
+    links = spark.createDataFrame([("a", "two", "t")], "file string, symbol string, target string")
+    for functions, last in ((owned, "<module>"), (owned.drop("end_line"), "none")):
+        sites = modules.imported_call_sites(arguments, functions, links)
+        assert "_block" in _plan(sites)
+        callers = {r.line_no: r.caller for r in sites.collect()}
+        assert callers[16] == "outer" and callers[17] == "one" and callers[20] == "two" and callers[401] == last
+
+
 def test_only_pairs_over_lines_are_stabbed(spark):
     lexed = source.lexed(_lines(spark, 1))
     points = lexed.where("bracket is null").select("file", "line_no")
