@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from auditspan import queries
 from auditspan.operators import graphs, modules, rule_files, source
 
 ROW = "file string, line_no int, line string"
@@ -70,3 +71,7 @@ def test_only_pairs_over_lines_are_stabbed(spark):
     assert "(last_line#" in plan and "> first_line#" in plan
     got = sorted((r.line_no, r.node_bracket) for r in nodes.collect())
     assert got == sorted(2 * [(1, "("), (2, "("), (3, "{"), (4, "{"), (5, "("), (6, "{"), (7, "`"), (8, "{"), (9, "("), (10, "{"), (11, "{"), (12, "("), (13, "(")])
+
+
+def test_exports_are_read_once(spark, sf_dir):
+    assert "MapInArrow" not in _plan(queries.imported_signatures(spark, sf_dir))
