@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import numbered
 from ..sources.shared import written
+from . import source
 
 
 #: Components of so many functions are cut by a fold over an array of them; larger ones by jumps.
@@ -78,13 +79,13 @@ def with_content(batched: DataFrame, owned: DataFrame, rows: DataFrame, calls: D
     """batched, and a chunk <module> for each file without functions, with text and crypto_calls.
 
     text: the lines of the chunk's own functions in order, which another component's may interrupt. crypto_calls: (line_no, method) of those
-    among calls (file, line_no, method) that stand in it. Each line belongs to one function, so lines meet chunks in one join by file and function."""
+    among calls (file, line_no, method) that stand in it. Each line belongs to one function, so lines meet chunks in one join by file and block of lines."""
     each = batched.select("file", "component", "chunk", F.explode("functions").alias("name")).join(owned.select("file", "name", "start_line", "end_line"), ["file", "name"])
     bare = rows.join(batched.select("file").distinct(), "file", "left_anti")
     module = bare.groupBy("file").agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end")).select("file", F.lit("<module>").alias("component"), F.lit(0).cast("long").alias("chunk"), "line_start", "line_end", F.array(F.lit("<module>")).alias("functions"))
     spans = each.select("file", "component", "chunk", "start_line", "end_line").unionByName(module.select("file", "component", "chunk", F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line")))
     marked = rows.join(calls.groupBy("file", "line_no").agg(F.sort_array(F.collect_set("method")).alias("_methods")), ["file", "line_no"], "left")
-    held = marked.join(spans, "file").where("line_no between start_line and end_line").groupBy("file", "component", "chunk").agg(F.array_sort(F.collect_set(F.struct("line_no", "line", "_methods"))).alias("_lines"))
+    held = source.on_lines(marked, spans).groupBy("file", "component", "chunk").agg(F.array_sort(F.collect_set(F.struct("line_no", "line", "_methods"))).alias("_lines"))
     methods = F.flatten(F.transform(F.filter("_lines", lambda x: x["_methods"].isNotNull()), lambda x: F.transform(x["_methods"], lambda m: F.struct(x["line_no"].alias("line_no"), m.alias("method")))))
     text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
     return batched.unionByName(module).join(held.select("file", "component", "chunk", text.alias("text"), methods.alias("crypto_calls")), ["file", "component", "chunk"])

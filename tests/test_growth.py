@@ -82,3 +82,9 @@ def test_parameters_are_traced_from_the_first_export_of_a_name(spark, sf_dir):
     assert "MapInArrow" not in _plan(found)
     first = modules.exports(queries._stated(spark, sf_dir)).where("kind = 'function'").groupBy("file", "name").agg(F.min("line_no").alias("line_no"))
     assert found.join(first.withColumnRenamed("name", "function"), ["file", "function", "line_no"], "left_anti").isEmpty()
+
+
+def test_chunks_read_their_lines_once(spark, sf_dir):
+    found = queries.semantic_chunks(spark, sf_dir)
+    assert not [f for f in found.inputFiles() if "events.parquet" in f]
+    assert "_block" in _plan(found)
