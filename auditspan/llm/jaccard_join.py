@@ -14,7 +14,7 @@
    about one pivot instead: linked nodes' distances to it differ by the radius at most, so they lie in one ring of that width or in
    adjacent ones. The innermost ring is linked through the pivot. Rings are joined block by block, and all that travels of a set is its
    difference from the pivot.
-4. Each task returns a forest of the links it found; label propagation joins the forests to components.
+4. Each task returns a forest of the links it found; contracting the forests gives components.
 
 Sets are compared by 64-bit hashes of their shingles, and nodes by a 64-bit hash of their sets.
 """
@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import reached
 from .common import dropped, fresh, small, written
 
 N, PERCENT = 3, 90
@@ -344,20 +345,6 @@ def _ring_links(work: DataFrame, sets: DataFrame, percent: int, leaf: int, level
     return hits.union(_block_links(blocks, percent))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that edges (a, b) reach. Labels are taken over from neighbours and then from the label's own label."""
-    both = written(edges.union(edges.select("b", "a")).toDF("node", "other").distinct())
-    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("new")), "other").groupBy("node").agg(F.min("new").alias("new"))
-        near = labels.join(seen, "node").select("node", F.least("label", "new").alias("label"), F.col("label").alias("old"))
-        ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        labels_next = written(near.join(ahead, "label").select("node", F.least("label", "jump").alias("label"), "old"))
-        if labels_next.where("label <> old").isEmpty():
-            return labels_next.select("node", "label")
-        labels = labels_next.select("node", "label")
-
-
 def _enough(marks: Column, bit: int) -> Column:
     """The marks that end in this bit, if there are as many as a link needs."""
     own = F.filter(marks, lambda m: m["mark"].bitwiseAND(F.lit(1)) == bit)
@@ -430,7 +417,7 @@ def links(docs: DataFrame, text: str, base: DataFrame, unique: DataFrame, n: int
     met = written(met.join(small(sizes, BROADCAST_ROWS), "region"))
 
     # Regions that overlap are one neighbourhood: if it is small, its nodes are joined once instead of in each region.
-    near = components(met.where("region <> node").select(F.col("region").alias("a"), F.col("node").alias("b")))
+    near = reached(met.where("region <> node").select(F.col("region").alias("a"), F.col("node").alias("b")), written)
     met = written(met.join(near.select(F.col("node").alias("region"), "label"), "region"))
     members = met.select("label", "node", "size").distinct()
     hoods = members.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("weight"))
@@ -474,7 +461,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "d
     first = F.first(F.struct(F.col("n_shingles").alias("size"), "signatures", "needs"))
     unique = written(profile.where(F.size("signatures") > 0).groupBy("node").agg(first.alias("x")).select("node", "x.*"))
     dropped(profile)
-    of = written(components(links(narrow, "text", base, unique, n, percent, leaf)))
+    of = written(reached(links(narrow, "text", base, unique, n, percent, leaf), written))
     base = base.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")))
     labelled = base.join(small(of, BROADCAST_ROWS), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")

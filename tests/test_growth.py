@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from auditspan import queries
+from auditspan.llm import jaccard_join
 from auditspan.operators import graphs, modules, rule_files, source
+from auditspan.sources.shared import written
 
 ROW = "file string, line_no int, line string"
 TEXT = ["export const f = async (", "  key,", ") => {", "  if (key) {", "    g(h(1), 'a(b'); g(h(2));", "  } else {", "    g(`", "      ${k}`,", "    2);", "  }", "}", "const x = (", "// open"]
@@ -88,3 +90,24 @@ def test_chunks_read_their_lines_once(spark, sf_dir):
     found = queries.semantic_chunks(spark, sf_dir)
     assert not [f for f in found.inputFiles() if "events.parquet" in f]
     assert "_block" in _plan(found)
+
+
+def test_edges_are_contracted(spark):
+    """Each round's edges are a part of the last one's, also along a path and about a hub; the join finds components in the same way."""
+    path = [(i * 7919 % 1000, (i + 1) * 7919 % 1000) for i in range(600)]
+    hub = [(5000, 5001 + i) for i in range(300)]
+    edges = spark.createDataFrame([*path, *hub, (7000, 7001), (7001, 7000), (8000, 8000)], "src long, dst long")
+    tables = []
+
+    def keep(df):
+        tables.append(written(df))
+        return tables[-1]
+
+    nodes = edges.select("src").union(edges.select("dst")).toDF("node")
+    found = {r.node: r.component for r in graphs.components(nodes, edges, keep).collect()}
+    ends = {n for e in path for n in e}
+    assert {found[n] for n in ends} == {min(ends)} and {found[n] for e in hub for n in e} == {5000}
+    assert (found[7001], found[8000]) == (7000, 8000) and len(found) == len(ends) + 301 + 3
+    counts = [t.count() for t in tables if t.columns == ["a", "b"]]
+    assert counts[0] == 901 and counts[-1] == 0 and sum(counts) < 2 * counts[0]
+    assert jaccard_join.reached is graphs.reached
