@@ -7,7 +7,12 @@ blank and strings cannot be taken for code; traces and assignments read both kin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import source
@@ -105,45 +110,68 @@ ORIGINS = (
 )
 
 
+#: Lines that `assignments` and `traces` read have one of these; the latter, and buffers that are filled later, are read with the lines around.
+ASSIGNED = rf"\w\s*=\s*(?:{'|'.join(pattern for _, pattern, _ in ORIGINS)}|new\s+Uint8Array)"
+HELPER = "deriveChunkIV|encryptLargeSecretKey|decryptLargeSecretKey|encryptFilename|decryptFilename"
+OPERATIONS = "encrypt|decrypt|wrapKey|unwrapKey|deriveKey|deriveBits"
+SIGHT = rf"crypto\.subtle\.(?:{OPERATIONS})\s*\(|{HELPER}|=\s*new\s+Uint8Array"
+BEHIND, AHEAD = 10, 4
+
+
+def _around(rows: DataFrame, behind: int, ahead: int, only: bool = False) -> Column:
+    """The lines around each, as one text, without the line itself if it is only the lines ahead: of `source.picked` those it comes with, else by a window over the file."""
+    if "ahead" not in rows.columns:
+        order = Window.partitionBy("file").orderBy("line_no").rowsBetween(1 if only else -behind, ahead)
+        return F.array_join(F.collect_list("line").over(order), "\n")
+    held = F.slice("ahead", 1, ahead)
+    if not only:
+        held = F.concat(F.slice("behind", F.greatest(F.size("behind") - behind + 1, F.lit(1)), behind), F.array("line"), held)
+    return F.array_join(held, "\n")
+
+
 def assignments(rows: DataFrame) -> DataFrame:
-    """(file, line_no, var, origin, via): each line's assignments that one of the rules knows. A buffer that one of the next four lines fills counts as random."""
-    ahead = Window.partitionBy("file").orderBy("line_no").rowsBetween(1, 4)
-    each = rows.withColumn("_next", F.array_join(F.collect_list("line").over(ahead), "\n")).select("file", "line_no", "line", "_next", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"\b(\w+)\s*="), F.lit(1)))).alias("var"))
-    right = F.call_function("regexp_extract", F.col("line"), F.concat(F.lit(r"\b\Q"), "var", F.lit(r"\E\s*=\s*(.*)$")), F.lit(1))
-    each = each.withColumn("_right", right)
-    filled = F.col("_right").rlike(r"^new\s+Uint8Array") & F.contains("_next", F.concat(F.lit("getRandomValues("), "var"))
-    origin, via = F.lit(None), F.lit(None)
-    for name, pattern, group in reversed(ORIGINS[1:]):
-        hit = F.col("_right").rlike("^" + pattern)
-        origin, via = F.when(hit, name).otherwise(origin), F.when(hit, source.plain(F.regexp_extract("_right", "^" + pattern, group))).otherwise(via)
-    random = F.col("_right").rlike("^" + ORIGINS[0][1])
-    origin = F.when(random | filled, "crypto_random").otherwise(origin)
-    via = F.when(random | filled, "crypto.getRandomValues").otherwise(via)
-    return each.select("file", "line_no", "var", origin.alias("origin"), via.alias("via")).where("origin is not null")
+    """(file, line_no, var, origin, via): each line's assignments that one of the rules knows. A buffer that one of the next four lines fills counts as random.
+
+    rows: lines, or lines of `source.picked` by ASSIGNED and SIGHT."""
+    var, right = (F.regexp_extract_all("line", F.lit(r"\b(\w++)\s*+=(?=\s*(.*)$)"), F.lit(g)) for g in (1, 2))
+    each = F.transform(F.arrays_zip(var.alias("var"), right.alias("right")), lambda x, i: F.struct(x["var"].alias("var"), x["right"].alias("right"), i.alias("i")))
+    each = rows.withColumn("_next", _around(rows, 0, 4, True)).where(F.contains(F.col("line"), F.lit("="))).select("file", "line_no", "_next", var.alias("_vars"), F.explode(each).alias("_e"))
+    each = each.where("array_position(_vars, _e.var) = _e.i + 1").select("file", "line_no", F.col("_e.var").alias("var"), F.col("_e.right").alias("_right"), "_next")
+    right = F.col("_right")
+    filled = F.contains(right, F.lit("Uint8Array")) & right.rlike(r"^new\s+Uint8Array") & F.contains("_next", F.concat(F.lit("getRandomValues("), "var"))
+    random = F.contains(right, F.lit("getRandomValues")) & right.rlike("^" + ORIGINS[0][1])
+    one = lambda origin, via: F.struct(F.lit(origin).alias("origin"), via.alias("via"))
+    origin = F.when(random | filled, one("crypto_random", F.lit("crypto.getRandomValues")))
+    for name, pattern, group in ORIGINS[1:]:
+        origin = origin.when(right.rlike("^" + pattern), one(name, source.plain(F.regexp_extract(right, "^" + pattern, group))))
+    # Exploded, for a filter would be pushed below and every pattern tried twice.
+    return each.select("file", "line_no", "var", F.explode(F.array_compact(F.array(origin))).alias("o")).select("file", "line_no", "var", "o.origin", "o.via")
 
 
 def traces(rows: DataFrame) -> DataFrame:
     """(file, line_no, operation, role, var): operations on a line with the variables that matter, from the lines around.
 
     The initial value is looked up ten lines before to two after, the salt ten before to four after, the algorithm is in `algorithm`; the
-    key is the second argument on the line itself."""
-    around = lambda b, a: F.array_join(F.collect_list("line").over(Window.partitionBy("file").orderBy("line_no").rowsBetween(-b, a)), "\n")
-    wide = rows.withColumns({"_iv": around(10, 2), "_salt": around(10, 4), "_name": around(8, 2)})
+    key is the second argument on the line itself. rows: lines, or lines of `source.picked` by SIGHT."""
+    line, char = F.col("line"), rf"[\w{source.SHADOWS[0]}-{source.SHADOWS[-1]}]"
+    op = lambda *names: F.coalesce(F.get(F.filter("_ops", lambda o: o.isin(*names)), F.lit(0)), F.lit(""))
+    wide = rows.select("file", "line_no", "line", _around(rows, 10, 2).alias("_iv"), _around(rows, 10, 4).alias("_salt"), _around(rows, 8, 2).alias("_name"), *(c for c in ("ahead",) if c in rows.columns))
+    wide = wide.where("ahead is not null" if "ahead" in rows.columns else line.rlike(SIGHT)).withColumn("_ops", F.regexp_extract_all("line", F.lit(rf"crypto\.subtle\.({OPERATIONS})\s*\("), F.lit(1)))
+    wide = wide.withColumns({"_ed": op("encrypt", "decrypt"), "_wrap": op("wrapKey", "unwrapKey"), "_derive": op("deriveKey", "deriveBits"), "_helper": F.when(reduce(or_, (F.contains(line, F.lit(h)) for h in HELPER.split("|"))), F.regexp_extract("line", rf"(?:await\s+)?({HELPER})\s*\(", 1)).otherwise("")})
+    ed, wrap, derive, helper = map(F.col, ("_ed", "_wrap", "_derive", "_helper"))
+    wide = wide.withColumns({
+        "_at": F.when(ed != "", F.regexp_extract("_iv", r"\biv\s*:\s*(\w+)", 1)), "_key": F.when((ed != "") | (wrap != ""), F.regexp_extract("line", r"(?:encrypt|decrypt|wrapKey|unwrapKey)\s*\([^,]+,\s*(\w+)", 1)),
+        "_salt": F.when(derive != "", F.regexp_extract("_salt", r"\bsalt\s*:\s*(\w+)", 1)), "_alg": F.when(ed != "", source.plain(F.regexp_extract("_name", rf"name\s*:\s*['\"]({char}(?:{char}|-)*)['\"]", 1))),
+    })
     short = F.when(F.col("_iv").rlike(r"[\{,]\s*iv\s*[,\}]"), "iv").otherwise("unknown")
-    iv = F.when(F.regexp_extract("_iv", r"\biv\s*:\s*(\w+)", 1) != "", F.regexp_extract("_iv", r"\biv\s*:\s*(\w+)", 1)).otherwise(short)
-    key = F.regexp_extract("line", r"(?:encrypt|decrypt|wrapKey|unwrapKey)\s*\([^,]+,\s*(\w+)", 1)
-    salt = F.regexp_extract("_salt", r"\bsalt\s*:\s*(\w+)", 1)
-    known = lambda c: F.when(c != "", c).otherwise("unknown")
-    char = rf"[\w{source.SHADOWS[0]}-{source.SHADOWS[-1]}]"
-    algorithm = known(source.plain(F.regexp_extract("_name", rf"name\s*:\s*['\"]({char}(?:{char}|-)*)['\"]", 1)))
-    one = lambda operation, role, var, alg: F.struct(operation.alias("operation"), F.lit(role).alias("role"), var.alias("var"), alg.alias("algorithm"))
-    op = lambda names: F.regexp_extract("line", rf"crypto\.subtle\.({names})\s*\(", 1)
+    iv = F.when(F.col("_at") != "", F.col("_at")).otherwise(short)
+    known = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise("unknown")
+    algorithm, key, salt = known("_alg"), known("_key"), known("_salt")
     none = F.lit(None).cast("string")
-    ed, wrap, derive = op("encrypt|decrypt"), op("wrapKey|unwrapKey"), op("deriveKey|deriveBits")
-    helper = F.regexp_extract("line", r"(?:await\s+)?(deriveChunkIV|encryptLargeSecretKey|decryptLargeSecretKey|encryptFilename|decryptFilename)\s*\(", 1)
+    one = lambda operation, role, var, alg: F.struct(operation.alias("operation"), F.lit(role).alias("role"), var.alias("var"), alg.alias("algorithm"))
     found = F.array_compact(F.array(
-        F.when(ed != "", one(ed, "iv", iv, algorithm)), F.when(ed != "", one(ed, "key", known(key), algorithm)), F.when(wrap != "", one(wrap, "wrapping_key", known(key), none)),
-        F.when(derive != "", one(derive, "salt", known(salt), none)), F.when(helper != "", one(helper, "helper", none, none)),
+        F.when(ed != "", one(ed, "iv", iv, algorithm)), F.when(ed != "", one(ed, "key", key, algorithm)), F.when(wrap != "", one(wrap, "wrapping_key", key, none)),
+        F.when(derive != "", one(derive, "salt", salt, none)), F.when(helper != "", one(helper, "helper", none, none)),
     ))
     return wide.select("file", "line_no", F.explode(found).alias("t")).select("file", "line_no", "t.*")
 
@@ -161,25 +189,56 @@ def origins(found: DataFrame, assigned: DataFrame, first_lines: DataFrame) -> Da
     return rows.select("file", "line_no", "operation", "role", "var", "algorithm", origin.alias("origin"), F.coalesce("o.origin_line", F.when(parameter, F.lit(1))).alias("origin_line"), F.col("o.via").alias("via"))
 
 
-def scoped_origins(found: DataFrame, assigned: DataFrame, owned: DataFrame) -> DataFrame:
+def scoped_origins(found: DataFrame, assigned: DataFrame, owned: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """traces with function, origin, origin_line and via, each seen from the innermost function around it.
 
     owned: (file, name, start_line, end_line, depth, params). The earliest assignment from the function's first line to the trace's decides,
     not counting those of functions within it that do not hold the trace; else the innermost function around that has the variable as a
     parameter, with its line; else unknown. Outside functions the whole file counts, function is null and there are no parameters.
 
-    Traces and assignments are placed by an as-of join for each depth (`source.around`) and meet by equal file, function and variable."""
-    line = lambda c: F.col(c).cast("long")
-    spans = owned.select("file", "depth", line("start_line").alias("first"), line("end_line").alias("last"), F.col("name").alias("function"), F.col("params").alias("_params")).dropDuplicates(["file", "depth", "first"])
-    points = found.select("file", "var", "line_no").distinct()
-    every = source.around(points.withColumn("at", line("line_no")), spans).select("file", F.col("at").cast("int").alias("line_no"), "depth", "first", "function", "_params")
-    own = every.groupBy("file", "line_no").agg(F.max_by(F.struct("first", "function"), "depth").alias("f"))
-    placed = points.join(own, ["file", "line_no"], "left").select("file", "var", "line_no", F.coalesce("f.first", F.lit(0).cast("long")).alias("_scope"), "f.function")
-    lines = assigned.select("file", "line_no").distinct().withColumn("at", line("line_no"))
-    of = source.around(lines, spans).groupBy("file", "at").agg(F.max_by("first", "depth").alias("_scope"))
-    by = assigned.withColumn("at", line("line_no")).join(of, ["file", "at"], "left").select("file", "var", F.coalesce("_scope", F.lit(0).cast("long")).alias("_scope"), F.col("line_no").alias("_at"), "origin", "via")
-    hit = placed.join(by, ["file", "var", "_scope"]).where("_at <= line_no").groupBy("file", "var", "line_no").agg(F.min_by(F.struct("origin", F.col("_at").alias("origin_line"), "via"), "_at").alias("o"))
-    given = points.join(every.where("size(_params) > 0"), ["file", "line_no"]).where(F.array_contains("_params", F.col("var"))).groupBy("file", "var", "line_no").agg(F.max("first").cast("int").alias("_given"))
-    rows = found.join(placed.drop("_scope"), ["file", "var", "line_no"]).join(hit, ["file", "var", "line_no"], "left").join(given, ["file", "var", "line_no"], "left")
-    origin = F.coalesce("o.origin", F.when(F.col("_given").isNotNull(), "parameter"), F.lit("unknown"))
-    return rows.select("file", "line_no", "function", "operation", "role", "var", "algorithm", origin.alias("origin"), F.coalesce("o.origin_line", "_given").alias("origin_line"), F.col("o.via").alias("via"))
+    Traces and assignments are placed in one pass over each file's lines (`_placed`); the earliest assignment is a running first one by
+    file, function and variable. Nothing is joined. keep: writes what was placed, so that all before it runs as one step."""
+    none = {c: F.lit(None).cast(k) for c, k in (("var", "string"), ("operation", "string"), ("role", "string"), ("algorithm", "string"), ("origin", "string"), ("via", "string"), ("depth", "int"), ("last", "int"), ("name", "string"), ("params", "array<string>"))}
+    rows = lambda df, kind, at, **cols: df.select("file", F.col(at).cast("int").alias("line_no"), F.lit(kind).alias("kind"), *(F.col(cols[c]).alias(c) if c in cols else v.alias(c) for c, v in none.items()))
+    same = lambda *names: dict(zip(names, names))
+    every = rows(owned, 0, "start_line", last="end_line", **same("depth", "name", "params")).unionByName(rows(assigned, 1, "line_no", **same("var", "origin", "via"))).unionByName(rows(found, 2, "line_no", **same("operation", "role", "var", "algorithm")))
+    placed = keep(source.dealt(every, "line_no", "kind").mapInArrow(_placed, _PLACED))
+    before = Window.partitionBy("file", "scope", "var").orderBy("line_no", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.first(F.when(F.col("kind") == 1, F.struct("origin", F.col("line_no").alias("origin_line"), "via")), ignorenulls=True).over(before)
+    seen = placed.withColumn("o", first).where("kind = 2")
+    origin = F.coalesce("o.origin", F.when(F.col("given").isNotNull(), "parameter"), F.lit("unknown"))
+    return seen.select("file", "line_no", "function", "operation", "role", "var", "algorithm", origin.alias("origin"), F.coalesce("o.origin_line", "given").alias("origin_line"), F.col("o.via").alias("via"))
+
+
+_CARRIED = ("file", "line_no", "kind", "var", "operation", "role", "algorithm", "origin", "via")
+_PLACED = "file string, line_no int, kind int, var string, operation string, role string, algorithm string, origin string, via string, scope int, function string, given int"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of `scoped_origins` but for functions, which come in order of their lines, first functions, then assignments, then traces: each
+    with the first line and the name of the innermost function around, and the first line of the innermost that has the variable as a parameter.
+
+    Functions are nested, so of each depth only the last that starts at a line or before it can hold the line."""
+    file, spans = None, {}
+    for part in batches:
+        taken, scopes, names, given = [], [], [], []
+        ints = [source.values(part.column(c).fill_null(0)) for c in ("line_no", "kind", "depth", "last")]
+        params = part.column("params")
+        each, ends = source.values(params.values), source.values(params.offsets)
+        for i, (own, at, kind, depth, last, name, var) in enumerate(zip(source.values(part.column("file")), *ints, source.values(part.column("name")), source.values(part.column("var")))):
+            if own != file:
+                file, spans = own, {}
+            if kind == 0:
+                spans[depth] = at, last, name, frozenset(each[ends[i]:ends[i + 1]])
+                continue
+            held = {d: s for d, s in spans.items() if s[1] >= at}
+            if len(held) < len(spans):
+                spans = held
+            around = spans[max(spans)] if spans else (0, 0, None)
+            taken.append(i)
+            scopes.append(around[0])
+            names.append(around[2])
+            given.append(max((s[0] for s in spans.values() if var in s[3]), default=None) if kind == 2 else None)
+        if taken:
+            columns = [part.column(c).take(pa.array(taken, pa.int32())) for c in _CARRIED]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scopes, pa.int32()), pa.array(names, pa.string()), pa.array(given, pa.int32())], [*_CARRIED, "scope", "function", "given"])
